@@ -18,4 +18,4 @@ def register(name: str, sql: str | None = None):
     return put
 
 
-from chronoloom.llm.queries import numeric  # noqa: E402,F401
+from chronoloom.llm.queries import numeric, texts  # noqa: E402,F401
