@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronoloom.llm import mixing, packing, tokens
+from chronoloom.llm import mixing, packing, residue, tokens
 from chronoloom.llm.queries import register
 from chronoloom.session import staged
 from chronoloom.sources.tables import table
@@ -53,3 +53,19 @@ def p7_mixed(spark, folder):
 def p7_shares(spark, folder):
     """Target and reached share of every wanted source."""
     return mixing.shares(p7_mixed(spark, folder), _targets(spark, folder))
+
+
+def _classified(spark, folder):
+    return residue.classify(table(spark, folder, "documents").select("doc_id", "text"), F.col("doc_id"), F.col("text"))
+
+
+@register("p8_found")
+def p8_found(spark, folder):
+    """Posts with residue, filler, an error page or a notice in place of their own words."""
+    return _classified(spark, folder).where("residue").select("doc_id")
+
+
+@register("p8_classes")
+def p8_classes(spark, folder):
+    """Every post with own words: its near-duplicate class, its links and the verdict."""
+    return _classified(spark, folder)
