@@ -76,7 +76,9 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
 _PACKED = "pack_kind string, capacity_tokens int, part long, bin long, doc_id {id}, piece int, tokens long, used long, gap long"
 
 
-def pack(items: DataFrame, containers: list[tuple[str, int]], id_col: str = "doc_id", size_col: str = "tokens") -> DataFrame:
+def pack(
+    items: DataFrame, containers: list[tuple[str, int]], id_col: str = "doc_id", size_col: str = "tokens", per_partition: int = ITEMS_PER_PARTITION
+) -> DataFrame:
     """Assign every item to a container of each kind.
 
     Rows: ``pack_kind, capacity_tokens, bin_id, <id_col>, piece, start_token, tokens, bin_tokens,
@@ -110,7 +112,7 @@ def pack(items: DataFrame, containers: list[tuple[str, int]], id_col: str = "doc
         (F.col("size") > F.col("capacity_tokens")).alias("cut"),
     ).where("tokens > 0 or not cut").drop("cut")
     n = base.count()
-    parts = max(1, -(-n // ITEMS_PER_PARTITION))
+    parts = max(1, -(-n // per_partition))
     at = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(parts)))
 
     def fresh(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -123,21 +125,12 @@ def pack(items: DataFrame, containers: list[tuple[str, int]], id_col: str = "doc
         if not stats or all(r["p"] < 2 for r in stats):
             break
         # whole containers move, to fewer partitions than they came from
-        target = {r["pack_kind"]: max(1, min(-(-r["c"] // ITEMS_PER_PARTITION), r["p"] - 1)) for r in stats}
+        target = {r["pack_kind"]: max(1, min(-(-r["c"] // per_partition), r["p"] - 1)) for r in stats}
         to = F.element_at(F.create_map(*[x for k, v in target.items() for x in (F.lit(k), F.lit(v))]), F.col("pack_kind"))
         seeded = F.xxhash64("part", "bin", F.lit(turn))
         moved = done.where(moving).withColumn("to", F.pmod(seeded, to))
-        base_part = turn * (parts + 1)
-
-        def again(pdf: pd.DataFrame, base_part=base_part) -> pd.DataFrame:
-            new = _packed(pdf, base_part + int(pdf["to"].iat[0]))
-            old = len(pdf[["part", "bin"]].drop_duplicates())
-            if new["bin"].nunique() < old or new["gap"].iat[0] == 0:
-                return new
-            return pdf[new.columns]
-
         stay = done.where(~moving)
-        repacked = moved.groupBy("pack_kind", "capacity_tokens", "to").applyInPandas(again, schema)
+        repacked = moved.groupBy("pack_kind", "capacity_tokens", "to").applyInPandas(_repacked(turn * (parts + 1)), schema)
         done = staged(stay.unionByName(repacked), "packing")
     return done.unionByName(alone).select(
         "pack_kind", "capacity_tokens", F.concat_ws("-", "part", F.hex("bin")).alias("bin_id"), F.col("doc_id").alias(id_col), "piece",
@@ -145,6 +138,17 @@ def pack(items: DataFrame, containers: list[tuple[str, int]], id_col: str = "doc
     )
 
 
+def _repacked(base_part: int):
+    """Pack moved containers again; the old packing stays where the new one needs as many containers."""
+
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        new = _packed(pdf, base_part + int(pdf["to"].iat[0]))
+        old = len(pdf[["part", "bin"]].drop_duplicates())
+        return new if new["bin"].nunique() < old or new["gap"].iat[0] == 0 else pdf[new.columns]
+
+    return again
+
+
 def _packed(pdf: pd.DataFrame, part: int) -> pd.DataFrame:
     sizes, capacity = pdf["tokens"].to_numpy(dtype=np.int64), int(pdf["capacity_tokens"].iat[0])
     where = best_fit_decreasing(sizes, capacity)
