@@ -11,6 +11,7 @@ from chronoloom.operators import neighbours as nb
 from chronoloom.operators.metrics import brier, brier_skill
 from chronoloom.operators.temporal import nearest_date
 from chronoloom.plans.analogue import AnalogueConfig, query
+from chronoloom.session import staged
 
 
 def split(df: DataFrame, train_end, val_start, val_end, date: str = "date") -> tuple[DataFrame, DataFrame]:
@@ -55,6 +56,7 @@ def run_fold(rows: DataFrame, fold: dict, features: list[str], config: AnalogueC
 
 def run(rows: DataFrame, folds: list[dict], features: list[str], config: AnalogueConfig, benchmark: DataFrame | None = None) -> DataFrame:
     """``fold, n_total, n_scored, base_rate, mean_prob, brier, bss, avg_k`` per fold; bear rows are not scored."""
+    rows = staged(rows, "folds")  # read by several jobs of every fold
     scored = reduce(DataFrame.unionByName, [run_fold(rows, f, features, config, benchmark) for f in folds])
     ok, p, y = ~F.col("bear"), F.col("prob"), F.col("y")
     base = scored.groupBy("fold").agg(
