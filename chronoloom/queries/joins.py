@@ -91,14 +91,14 @@ def compare(spark, folder):
     "j33_reconcile",
     f"""with {TRADES}, e as (select ticker as key, sum(shares) as expected from tr where exit_reason <> 'stop_loss' and shares is not null group by 1),
 a as (select ticker as key, sum(shares) as actual from tr where exit_reason <> 'max_hold' and shares is not null group by 1)
-select coalesce(e.key, a.key) as key, round(expected, 3) as expected, round(actual, 3) as actual,
+select coalesce(e.key, a.key) as key, round(expected, 4) as expected, round(actual, 4) as actual,
 case when actual is null then 'missing' when expected is null then 'unexpected' when abs(actual - expected) > 0.05 * abs(expected) then 'mismatch' else 'ok' end as status
 from e full join a on e.key = a.key""",
 )
 def reconciled(spark, folder):
     tr = replay_trades(spark, folder).where("shares is not null").select("trade_id", "ticker", "shares", "exit_reason")
     out = t.reconcile(tr.where("exit_reason <> 'stop_loss'"), tr.where("exit_reason <> 'max_hold'"), "ticker", "shares")
-    return out.select("key", F.round("expected", 3).alias("expected"), F.round("actual", 3).alias("actual"), "status")
+    return out.select("key", F.round("expected", 4).alias("expected"), F.round("actual", 4).alias("actual"), "status")
 
 
 @register(
