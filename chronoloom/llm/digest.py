@@ -79,8 +79,11 @@ def cluster(means: np.ndarray, weights: np.ndarray, compression: float) -> tuple
     return np.asarray(out_m), np.asarray(out_w)
 
 
-def quantile(means: np.ndarray, weights: np.ndarray, low: float, high: float, q: float) -> float:
-    """The value at rank ``q * n``: exact for single values, interpolated between centroids."""
+def quantile(means: np.ndarray, weights: np.ndarray, low: float, high: float, q: float, compression: float = 400) -> float:
+    """The value at rank ``q * n``: exact for single values, interpolated between centroids.
+
+    A centroid heavier than the size function allows can only hold equal values: it is exact as well.
+    """
     n = weights.sum()
     target = q * n
     if target <= 0:
@@ -89,7 +92,9 @@ def quantile(means: np.ndarray, weights: np.ndarray, low: float, high: float, q:
         return float(high)
     upto = np.cumsum(weights)
     i = int(np.searchsorted(upto, target, side="left"))
-    if weights[i] <= 1.0:
+    share = (upto[i] - weights[i] / 2.0) / n
+    edges = [(upto[i] - weights[i]) / n, share, upto[i] / n]
+    if weights[i] <= 1.0 or weights[i] > 4.0 * n * max(x * (1.0 - x) for x in edges) / compression:
         return float(means[i])
     middle = upto - weights / 2.0
     if target <= middle[0]:
@@ -211,7 +216,7 @@ def _grouped(df: DataFrame, by: list[str], combine, schema: T.StructType) -> Dat
     return df.groupBy(*by).applyInPandas(run, schema)
 
 
-def estimates(digests: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+def estimates(digests: DataFrame, keys: list[str], probs: list[float], compression: int = 400) -> DataFrame:
     """``keys..., prob, estimate, n`` for each probability, from merged digests."""
     fields = [digests.schema[k] for k in keys]
     schema = T.StructType([*fields, *T._parse_datatype_string("prob double, estimate double, n double")])
@@ -221,7 +226,7 @@ def estimates(digests: DataFrame, keys: list[str], probs: list[float]) -> DataFr
             rows = []
             for *k, m, w, n, low, high in pdf.itertuples(index=False, name=None):
                 m, w = np.asarray(m), np.asarray(w)
-                rows += [(*_key_tuple(k), p, quantile(m, w, low, high, p), float(n)) for p in probs]
+                rows += [(*_key_tuple(k), p, quantile(m, w, low, high, p, compression), float(n)) for p in probs]
             yield pd.DataFrame(rows, columns=schema.fieldNames())
 
     return digests.select(*keys, "means", "weights", "n", "low", "high").mapInPandas(run, schema)
@@ -301,7 +306,7 @@ def percentiles(
             parts = build(todo, [*keys, *(within or [])], value, compression * 4**attempt)
             if within:
                 parts = merge(parts, [*keys, *within], compression * 4**attempt, levels=1)
-            est = estimates(merge(parts, keys, compression * 4**attempt), keys, probs)
+            est = estimates(merge(parts, keys, compression * 4**attempt), keys, probs, compression * 4**attempt)
         checked = staged(certify(todo, keys, value, staged(est, "estimates")), "certified")
         names = [f"__b{i}" for i in range(len(keys))]
         bad = checked.where(F.col("rank_error") > max_rank_error).select(*[F.col(k).alias(n) for k, n in zip(keys, names)]).distinct()
