@@ -2,10 +2,10 @@
 
 Method. Items are hashed into partitions of some ITEMS_PER_PARTITION; each is packed by best
 fit decreasing. Dual feasible functions give a lower bound of the containers that any
-packing of a partition needs; where the packing meets it, it is certified as optimal. The
-containers of partitions with a gap that are not full are exchanged: they move, whole, to
-new partitions that mix several old ones, their items are packed again, and the new packing
-is kept where it needs fewer containers. Rounds end when no gap is left or ROUNDS are over.
+packing of a partition needs; where the packing meets it, it is certified as optimal. What a
+partition uses beyond its (unrounded) bound is its gap: that many of its emptiest containers,
+and one more, move to new partitions that mix several old ones, where their items are packed
+again; the new packing is kept where it needs fewer containers. ROUNDS rounds at most.
 
 An item larger than the capacity is cut into pieces of the full capacity, each with a
 container of its own, and a rest that is packed like any other item.
@@ -22,7 +22,6 @@ from chronoloom.session import staged
 
 ITEMS_PER_PARTITION = 20_000
 ROUNDS = 3
-FULL_ENOUGH = 0.995
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -49,31 +48,36 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Containers that any packing needs: the best of several dual feasible functions.
+    """Whole containers that any packing needs."""
+    return int(np.ceil(round(bound(sizes, capacity), 9)))
+
+
+def bound(sizes: np.ndarray, capacity: int) -> float:
+    """Containers that any packing needs, unrounded: the best of several dual feasible functions.
 
     Total size; the rounding functions of order 1..30; and, for thresholds t up to half the
     capacity, the function that counts items above capacity - t as whole containers and drops
     those below t.
     """
     if not len(sizes):
-        return 0
+        return 0.0
     size, times = np.unique(sizes, return_counts=True)
     size, times = size[size > 0].astype(np.int64), times[size > 0]
     if not len(size):
-        return 1
-    best = -(-int((size * times).sum()) // capacity)
+        return 1.0
+    best = int((size * times).sum()) / capacity
     for k in range(1, 31):
         scaled = size * (k + 1)
         # in units of 1/(capacity k): whole multiples keep their size
         value = np.where(scaled % capacity == 0, size * k, (scaled // capacity) * capacity)
-        best = max(best, -(-int((value * times).sum()) // (capacity * k)))
+        best = max(best, int((value * times).sum()) / (capacity * k))
     for t in np.unique(size[size * 2 <= capacity])[:: max(1, len(size) // 200)]:
         value = np.where(size > capacity - t, capacity, np.where(size < t, 0, size))
-        best = max(best, -(-int((value * times).sum()) // capacity))
-    return int(max(best, 1))
+        best = max(best, int((value * times).sum()) / capacity)
+    return best
 
 
-_PACKED = "pack_kind string, capacity_tokens int, part long, bin long, doc_id {id}, piece int, tokens long, used long, gap long"
+_PACKED = "pack_kind string, capacity_tokens int, part long, bin long, doc_id {id}, piece int, tokens long, used long, gap long, moves boolean"
 
 
 def pack(
@@ -103,7 +107,7 @@ def pack(
     alone = over.select(
         "pack_kind", "capacity_tokens", F.lit(-1).cast("long").alias("part"),
         F.monotonically_increasing_id().alias("bin"), "doc_id", "piece",
-        F.col("capacity_tokens").cast("long").alias("tokens"), F.col("capacity_tokens").cast("long").alias("used"), F.lit(0).cast("long").alias("gap"),
+        F.col("capacity_tokens").cast("long").alias("tokens"), F.col("capacity_tokens").cast("long").alias("used"), F.lit(0).cast("long").alias("gap"), F.lit(False).alias("moves"),
     )
     rest = each.select(
         "pack_kind", "capacity_tokens", "doc_id",
@@ -120,7 +124,7 @@ def pack(
 
     done = staged(at.groupBy("pack_kind", "capacity_tokens", "part").applyInPandas(fresh, schema), "packing")
     for turn in range(1, ROUNDS + 1):
-        moving = (F.col("gap") > 0) & (F.col("used") < F.col("capacity_tokens") * FULL_ENOUGH)
+        moving = F.col("moves")
         stats = done.where(moving).groupBy("pack_kind").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("part").alias("p")).collect()
         if not stats or all(r["p"] < 2 for r in stats):
             break
@@ -144,7 +148,7 @@ def _repacked(base_part: int):
     def again(pdf: pd.DataFrame) -> pd.DataFrame:
         new = _packed(pdf, base_part + int(pdf["to"].iat[0]))
         old = len(pdf[["part", "bin"]].drop_duplicates())
-        return new if new["bin"].nunique() < old or new["gap"].iat[0] == 0 else pdf[new.columns]
+        return new if new["bin"].nunique() < old else pdf[new.columns]
 
     return again
 
@@ -154,10 +158,15 @@ def _packed(pdf: pd.DataFrame, part: int) -> pd.DataFrame:
     where = best_fit_decreasing(sizes, capacity)
     n = int(where.max()) + 1
     used = np.bincount(where, weights=sizes, minlength=n).astype(np.int64)
+    least = bound(sizes, capacity)
+    spare = n - least
+    moves = np.zeros(n, dtype=bool)
+    if spare > 1e-9:
+        moves[np.argsort(used, kind="stable")[: int(np.ceil(spare)) + 1]] = True
     return pd.DataFrame(
         {
-            "pack_kind": pdf["pack_kind"].to_numpy(), "capacity_tokens": capacity, "part": part, "bin": where, "doc_id": pdf["doc_id"].to_numpy(),
-            "piece": pdf["piece"].to_numpy(), "tokens": sizes, "used": used[where], "gap": n - lower_bound(sizes, capacity),
+            "pack_kind": pdf["pack_kind"].to_numpy(), "capacity_tokens": capacity, "part": part, "bin": where, "doc_id": pdf["doc_id"].to_numpy(), "piece": pdf["piece"].to_numpy(),
+            "tokens": sizes, "used": used[where], "gap": n - int(np.ceil(round(least, 9))), "moves": moves[where],
         }
     )
 
