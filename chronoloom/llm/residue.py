@@ -2,11 +2,13 @@
 
 Method. The own words of each post are fingerprinted: posts with equal own words (case, digits
 and spacing aside) are one class; each class has a 64-bit SimHash of its five-word shingles.
-Partitioned tables (every two of five blocks of the hash, ten in all) bring together all classes
-whose hashes differ in at most three bits; these are verified by Hamming distance and by the
-Jaccard similarity of their shingles (0.8 or more). Labels that rules assign with certainty are
+Partitioned tables bring together all classes whose hashes differ in at most HAMMING bits: the
+hash is cut into HAMMING + r blocks, of which r must be equal, one table for each choice of r.
+r only decides how long the keys are (18 bits for r = 2, 24 for r = 3, 28 for r = 4): it grows with the
+number of classes so that a table's bucket holds some BUCKET of them; the pairs found are the
+same. They are verified by Hamming distance and by the Jaccard similarity of their shingles (0.8 or more). Labels that rules assign with certainty are
 propagated along verified links through connected components; a class that is only
-linked is accepted if at least half of its words are known residue themselves (exact check).
+linked is accepted if at least KNOWN of its words are known residue themselves (exact check).
 
 Scale. Texts are read where they lie and reduced to fingerprints; copies collapse before any
 join; only candidates' texts are read again. Links and components stay distributed (alternating
@@ -29,8 +31,9 @@ from chronoloom.session import staged
 
 SHINGLE = 5
 SIMILAR = 0.8
-HAMMING = 3
-BLOCKS = (13, 13, 13, 13, 12)
+HAMMING = 5
+BUCKET = 16
+KNOWN = 0.8
 STAR_ROUNDS = 50
 
 _NUMBER = re.compile(r"\b(?=\w*\d)[0-9a-f]{4,}\b|\d+(?:[.,]\d+)*")
@@ -103,9 +106,12 @@ def fingerprints(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
 
 def near_pairs(classes: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of ``vid`` whose ``sim`` differ in at most HAMMING bits; none is lost."""
-    starts = np.concatenate(([0], np.cumsum(BLOCKS)))
-    masks = [((1 << int(n)) - 1) << int(s) for s, n in zip(starts, BLOCKS)]
-    signed = [int(np.array([masks[i] | masks[j]], dtype=np.uint64).view(np.int64)[0]) for i, j in combinations(range(len(BLOCKS)), 2)]
+    n, r = classes.count(), 2
+    while r < 4 and n > BUCKET * 2.0 ** (64 * r / (HAMMING + r)):
+        r += 1
+    edges = [round(64 * i / (HAMMING + r)) for i in range(HAMMING + r + 1)]
+    blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+    signed = [int(np.array([sum(c)], dtype=np.uint64).view(np.int64)[0]) for c in combinations(blocks, r)]
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("sim").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(signed)])
     filed = classes.select("vid", "sim", F.explode(tables).alias("f")).select("vid", "sim", "f.t", "f.key")
     a, b = filed.alias("a"), filed.alias("b")
@@ -189,6 +195,6 @@ def classify(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     marked = placed.where("trusted").select("class_id").distinct().withColumn("spread", F.lit(True))
     verdict = placed.join(marked, "class_id", "left").select(
         "h1", "h2", "class_id", "links", "trusted",
-        (F.col("trusted") | (F.coalesce("spread", F.lit(False)) & (F.col("share") >= 0.5))).alias("residue"),
+        (F.col("trusted") | (F.coalesce("spread", F.lit(False)) & (F.col("share") >= KNOWN))).alias("residue"),
     )
     return prints.select("doc_id", "h1", "h2").join(verdict, ["h1", "h2"]).select("doc_id", "class_id", "links", "trusted", "residue")
