@@ -171,15 +171,15 @@ w as (select fold, qid, avg(label) as prob, count(*) as n from k where r2 <= 20
 b as (select q.*, s.date as bd, s.v as bv from q asof left join series s on q.date >= s.date),
 n as (select b.*, s.date as nd, s.v as nv from b asof left join series s on b.date <= s.date),
 o as (select n.fold, n.label as y, coalesce(w.prob, 0.5) as prob, coalesce(w.n, 0) as n, coalesce(case when nd is null then bv when bd is null or nd - n.date <= n.date - bd then nv else bv end < 0.05, false) as bear from n left join w on w.fold = n.fold and w.qid = n.id)
-select fold, count(*) as n_total, count(*) filter (not bear) as n_scored, round(avg(y) filter (not bear), 6) as base_rate, round(avg(prob) filter (not bear), 6) as mean_prob,
-round(avg(power(prob - y, 2)) filter (not bear), 6) as brier, round(avg(n) filter (not bear), 6) as avg_k from o group by fold"""
+select fold, count(*) as n_total, count(*) filter (not bear) as n_scored, round(avg(y) filter (not bear), 9) as base_rate, round(avg(prob) filter (not bear), 9) as mean_prob,
+round(avg(power(prob - y, 2)) filter (not bear), 9) as brier, round(avg(n) filter (not bear), 9) as avg_k from o group by fold"""
 
 
 @register("e14_walk_forward", _wf_sql())
 def walk_forward(spark, folder):
     folds = [r.asDict() for r in table(spark, folder, "folds").orderBy("fold").collect()]
     out = wf.run(complete_rows(spark, folder), folds, R8, _WF, benchmark(spark, folder))
-    return out.select("fold", "n_total", "n_scored", *[F.round(c, 6).alias(c) for c in ("base_rate", "mean_prob", "brier", "avg_k")])
+    return out.select("fold", "n_total", "n_scored", *[F.round(c, 9).alias(c) for c in ("base_rate", "mean_prob", "brier", "avg_k")])
 
 
 @register(

@@ -130,3 +130,35 @@ def test_compression_and_weights(spark):
     assert sum(v.rank_weights(list("abcd"), 4).values()) == pytest.approx(4)
     with pytest.raises(KeyError, match="returns_only"):
         v.feature_set("none")
+
+
+def test_search_resumes_and_survives_failures():
+    from chronoloom.plans import search
+
+    assert search.grid({"a": [1, 2], "b": ["x", "y"]})[1] == {"a": 1, "b": "y"}
+    calls = []
+
+    def objective(p):
+        calls.append(p)
+        if p["n"] == 3:
+            raise ValueError
+        return p["x"]
+
+    space = {"n": (1, 4), "x": (0.0, 1.0), "c": ["u", "v"]}
+    log = search.run(search.proposals(space, 5), objective)
+    assert len(calls) == 5 and all(1 <= c["n"] <= 4 and 0 <= c["x"] <= 1 for c in calls)
+    search.run(search.proposals(space, 8), objective, gate=lambda p: p["c"] == "u", log=log)
+    assert len(calls) == 8 and len(log) == 8
+    assert all(x["value"] == search.FLOOR for x in log if x["params"]["n"] == 3) and search.best(log)["value"] == max(x["value"] for x in log)
+
+
+def test_regimes(spark):
+    import datetime as dt
+
+    from chronoloom.operators import regimes
+
+    series = spark.createDataFrame([(dt.date(2020, 1, 1) + dt.timedelta(i), float(i - 6), float(i % 3)) for i in range(12)], "date date, v double, vol double")
+    rows = spark.createDataFrame([(1, dt.date(2019, 1, 1)), (2, dt.date(2020, 1, 12))], "i int, d date")
+    assert {r.i: r.regime for r in regimes.nearest_regime(rows, "d", series).collect()} == {1: 0, 2: 1}
+    assert {r.i: r.regime for r in regimes.backward_regimes(rows, "d", series).collect()} == {1: 0, 2: 3}
+    assert {r.regime for r in regimes.backward_regimes(rows, "d", series.limit(5)).collect()} == {0}
