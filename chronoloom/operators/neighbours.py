@@ -1,6 +1,6 @@
 """Exact k nearest neighbours of a stated query set, in blocks.
 
-Queries and points are hashed into blocks of at most about BLOCK rows; each pair of blocks is
+Queries and points are hashed into blocks of at most about BLOCK and POINT_BLOCK rows; each pair of blocks is
 one task that computes its distances as a matrix product and returns the k best per query,
 so no task holds more than two blocks and the pairs themselves are never shuffled. A last
 window merges the blocks' winners. Distances of the winners are recomputed exactly.
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
+POINT_BLOCK = 8192
 
 
 def standardise(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
@@ -22,16 +23,29 @@ def standardise(train: DataFrame, features: list[str]) -> dict[str, tuple[float,
     return {c: (float(row[f"m_{c}"] or 0.0), float(row[f"s_{c}"] or 0.0) or 1.0) for c in features}
 
 
-def standardise_array(train: DataFrame, vec: str, size: int) -> tuple[list[float], list[float]]:
-    """Means and population deviations of an array column with ``size`` elements."""
-    row = train.agg(*[x for i in range(size) for x in (F.avg(F.col(vec)[i].cast("double")).alias(f"m{i}"), F.stddev_pop(F.col(vec)[i].cast("double")).alias(f"s{i}"))]).first()
-    return [float(row[f"m{i}"] or 0.0) for i in range(size)], [float(row[f"s{i}"] or 0.0) or 1.0 for i in range(size)]
+def standardise_array(train: DataFrame, vec: str) -> tuple[list[float], list[float]]:
+    """Means and population deviations of an array column: one vector aggregate in the JVM, whatever its length."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    rows = train.where(F.col(vec).isNotNull())
+    if rows.isEmpty():
+        return [], []
+    got = rows.select(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.col(vec))).alias("s")).first()
+    n = got.s["count"]
+    mean, var = got.s["mean"].toArray(), got.s["variance"].toArray() * (n - 1) / n
+    return mean.tolist(), [float(x) or 1.0 for x in np.sqrt(np.maximum(var, 0.0))]
 
 
 def scaled_array(vec: str, mean: list[float], scale: list[float], weight: list[float] | None = None) -> Column:
-    """The standardised (and weighted) array as an expression."""
-    w = weight or [1.0] * len(mean)
-    return F.array(*[(F.col(vec)[i].cast("double") - F.lit(m)) / F.lit(s) * F.lit(x) for i, (m, s, x) in enumerate(zip(mean, scale, w))])
+    """The standardised (and weighted) array: two small higher-order functions over constant arrays."""
+    factor = [(w / s) for s, w in zip(scale, weight or [1.0] * len(mean))]
+
+    def constant(xs: list[float]) -> Column:
+        return F.array(*[F.lit(float(x)) for x in xs]).cast("array<double>")
+
+    centred = F.zip_with(F.col(vec), constant(mean), lambda x, m: x - m)
+    return F.zip_with(centred, constant(factor), lambda x, w: x * w)
 
 
 def scaled_columns(stats: dict[str, tuple[float, float]], weight: dict[str, float] | None = None) -> Column:
@@ -52,7 +66,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, metric: str = "l2",
     ok = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x))
     q, p = queries.select("qid", "vec").where(ok), points.select("tid", "vec").where(ok)
     nq, np_ = counts or (q.count(), p.count())
-    qb, pb = max(1, -(-nq // BLOCK)), max(1, -(-np_ // BLOCK))
+    qb, pb = max(1, -(-nq // BLOCK)), max(1, -(-np_ // POINT_BLOCK))
     pb = max(pb, min(8, -(-np_ // 512)))  # some parallelism for small sides
     qid_t, tid_t = q.schema["qid"].dataType.simpleString(), p.schema["tid"].dataType.simpleString()
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))

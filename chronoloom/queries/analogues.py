@@ -39,7 +39,7 @@ def sides(spark, folder):
     """Training and query side, standardised by the training side."""
     v = vectors(spark, folder)
     train = v.where("id % 5 <> 0")
-    mean, scale = nb.standardise_array(train, "raw", DIM)
+    mean, scale = nb.standardise_array(train, "raw")
     v = v.withColumn("vec", nb.scaled_array("raw", mean, scale)).drop("raw")
     return v.where("id % 5 <> 0").withColumnRenamed("id", "tid"), v.where("id % 5 = 0").withColumnRenamed("id", "qid")
 

@@ -18,6 +18,7 @@ def frames(spark, q, p):
 @pytest.mark.parametrize("block", [16, 4096])
 def test_exact_with_ties_across_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(nb, "BLOCK", block)
+    monkeypatch.setattr(nb, "POINT_BLOCK", block)
     rng = np.random.default_rng(0)
     p = rng.integers(0, 3, size=(120, 3)).astype(float)
     q = rng.integers(0, 3, size=(40, 3)).astype(float)
@@ -37,6 +38,16 @@ def test_small_and_broken_inputs(spark):
         nb.knn_join(q, p, 3, metric="taxi")
 
 
+def test_array_scaling_matches_columns(spark):
+    x = np.random.default_rng(4).normal(size=(50, 3)) * [1, 5, 0]
+    df = spark.createDataFrame([(r.tolist(), *map(float, r)) for r in x], "v array<double>, a double, b double, c double")
+    mean, scale = nb.standardise_array(df, "v")
+    np.testing.assert_allclose(scale, [*x[:, :2].std(0), 1.0])
+    got = df.select(nb.scaled_array("v", mean, scale, [1.0, 2.0, 1.0]).alias("x"), nb.scaled_columns(nb.standardise(df, list("abc")), {"b": 2.0}).alias("y")).collect()
+    np.testing.assert_allclose([r.x for r in got], [r.y for r in got], atol=1e-12)
+    assert nb.standardise_array(df.where("a > 99"), "v") == ([], [])
+
+
 def seeded(n, seed, start):
     """The seeded tables of the golden snapshot; the order of the draws matters."""
     rng = np.random.RandomState(seed)
