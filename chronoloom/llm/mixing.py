@@ -26,6 +26,7 @@ from chronoloom.session import staged
 
 MAX_SOURCES = 10_000
 ROUNDS = 6
+CLOSE = 0.0005
 
 
 def weights(natural: np.ndarray, wanted: np.ndarray, exponent: float) -> np.ndarray:
@@ -106,13 +107,13 @@ def mix(items: DataFrame, targets: DataFrame, total: float | None = None, seed:
     max_repeats``; one row per record used. Records of unlisted or null sources, and records
     without tokens, are not used. Ids may repeat (each row is a record). Budgets are met from
     below: what a block permutation leaves open, because a long record did not fit, is drawn again
-    from the records that do fit, ROUNDS times at most or until nothing fits. Empty in, empty out.
+    from the records that do fit, until every source is within CLOSE of its budget or nothing fits (ROUNDS times at most). Empty in, empty out.
     """
     spark = items.sparkSession
     clean = items.select("id", "source", F.col("tokens").cast("long").alias("tokens")).where("source is not null and tokens > 0")
     base = staged(clean, "mixbase")
     plans = plan(base.select("source", "tokens"), targets, total)
-    rows, rest = [], {}
+    rows, rest, whole = [], {}, {r["source"]: r["budget"] for r in plans}
     for r in plans:
         if r["budget"] <= 0:
             continue
@@ -144,6 +145,8 @@ def mix(items: DataFrame, targets: DataFrame, total: float | None = None, seed:
         if turn == 0:
             wanted = dict(rest)
         rest = {k: v - given.get(k, 0) for k, v in wanted.items()}
+        if all(v <= CLOSE * whole[k] for k, v in rest.items()):
+            break
     used = state.withColumn("copies", F.col("passes") + F.col("taken").cast("int")).where("copies > 0").drop("passes", "taken")
     reached = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("given"))
     share = F.broadcast(reached.withColumn("reached_share", F.col("given") / F.sum("given").over(Window.partitionBy())).select("source", "reached_share"))
