@@ -22,6 +22,8 @@ _PART = re.compile(
     r"|\b(?:hello|hi|dear|by|hallo|hola|bonjour) (?:null|undefined)\b|\byou have undefined\b"
     r"|(?<![\w%])%(?:\d+\$)?(?:\.\d+)?[sdf]\b"
 )
+# Every shape above holds one of these, which a plain post has not: a cheap first look.
+_HINT = re.compile(r"[{}%#@<\[(*$]|__|[A-Z]{3}|NaN|null|undefined")
 _PART_LINE = re.compile(r"^(?:(?:todo|tbd|fixme)\b ?[:-].{0,60}|\W*(?:your text|insert text)\W*)$", re.I)
 
 _REF = r"(?:[0-9a-f]{4,}|\d+)"
@@ -76,8 +78,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def template_part(own: str) -> bool:
     """True if uncited own words hold a template part that was never filled in."""
-    t = _CITED.sub(" ", own)
-    return bool(_PART.search(t)) or any(_PART_LINE.match(x) for x in t.split("\n"))
+    hinted = _HINT.search(own)
+    t = _CITED.sub(" ", own) if hinted else own
+    return bool(hinted and _PART.search(t)) or any(_PART_LINE.match(x) for x in t.split("\n"))
 
 
 def known_share(own: str) -> float:
