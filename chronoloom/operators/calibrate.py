@@ -70,7 +70,8 @@ def fit_beta(rows: DataFrame, x: str = "raw_prob", y: str = "y") -> tuple[float,
 
 
 def beta(p: Column, a: float, b: float, c: float) -> Column:
-    q = F.greatest(F.least(p, F.lit(1 - 1e-12)), F.lit(1e-12))
+    # least and greatest skip NULL, so it is kept apart
+    q = F.when(p.isNotNull(), F.greatest(F.least(p, F.lit(1 - 1e-12)), F.lit(1e-12)))
     return 1 / (1 + F.exp(-(a * F.ln(q) - b * F.log1p(-q) + c)))
 
 
