@@ -4,8 +4,8 @@ Method. The values of a group are sorted and clustered under a size function of
 quantile: a cluster around quantile q may hold at most ``4 n q (1-q) / compression`` values
 (one at least), so clusters are fine at the tails. Digests are built where the rows lie, one
 per input partition and group (and per any finer key the caller wants to keep, such as a
-day), and merged by re-clustering the union of their centroids. Merging is a tree: at most
-``FAN_IN`` digests meet in one task, however many partitions there are.
+day), and merged by re-clustering the union of their centroids. Merging is salted: a
+key's digests are spread over ``SALTS`` tasks, each of which folds them ``FAN_IN`` at a time.
 
 Error. A cluster built from sorted values spans disjoint ranges, so at any value at most one
 cluster per digest straddles it: that costs at most ``1/compression`` of the ranks, and each
