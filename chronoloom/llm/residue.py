@@ -6,17 +6,21 @@ Partitioned tables bring together all classes whose hashes differ in at most HAM
 hash is cut into HAMMING + r blocks, of which r must be equal, one table for each choice of r.
 r only decides how long the keys are (18 bits for r = 2, 24 for r = 3, 28 for r = 4): it grows with the
 number of classes so that a table's bucket holds some BUCKET of them; the pairs found are the
-same. They are verified by Hamming distance and by the Jaccard similarity of their shingles (0.8 or more). Labels that rules assign with certainty are
+same. Most pairs of similarity 0.8 differ in more bits, so a prefix join adds all others, exactly: with
+shingles in one order for all texts (rare first), two sets of similarity 0.8 share one among the first
+fifth of each. Pairs are verified by the Jaccard similarity of their shingles (0.8 or more). Labels that rules assign with certainty are
 propagated along verified links through connected components; a class that is only
 linked is accepted if at least KNOWN of its words are known residue themselves (exact check).
 
 Scale. Texts are read where they lie and reduced to fingerprints; copies collapse before any
-join; only candidates' texts are read again. Links and components stay distributed (alternating
+join; shingles are written once, beside the fingerprints. The order of the prefix join comes from a
+table of ORDER counters (the only thing collected). Links and components stay distributed (alternating
 large-star and small-star rounds over written tables).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import combinations
 
@@ -33,6 +37,7 @@ SHINGLE = 5
 SIMILAR = 0.8
 HAMMING = 5
 BUCKET = 16
+ORDER = 1 << 20
 KNOWN = 0.8
 STAR_ROUNDS = 50
 
@@ -83,7 +88,7 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
-    """``doc_id, h1, h2, sim, template, share`` of posts that have own words. No shuffle."""
+    """``doc_id, h1, h2, sim, template, share, s`` (shingles) of posts that have own words. No shuffle."""
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text")).where("text is not null and doc_id is not null")
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -98,10 +103,11 @@ def fingerprints(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
                 if not normal:
                     continue
                 h = np.array([xxhash.xxh64_intdigest(normal, 1), xxhash.xxh64_intdigest(normal, 2)], dtype=np.uint64).view(np.int64)
-                out.append((d, int(h[0]), int(h[1]), simhash(shingles(normal, cache)), template_part(own), known_share(own)))
-            yield pd.DataFrame(out, columns=["doc_id", "h1", "h2", "sim", "template", "share"])
+                s = shingles(normal, cache)
+                out.append((d, int(h[0]), int(h[1]), simhash(s), template_part(own), known_share(own), s.view(np.int64)))
+            yield pd.DataFrame(out, columns=["doc_id", "h1", "h2", "sim", "template", "share", "s"])
 
-    return rows.mapInPandas(run, f"doc_id {id_type}, h1 long, h2 long, sim long, template boolean, share double")
+    return rows.mapInPandas(run, f"doc_id {id_type}, h1 long, h2 long, sim long, template boolean, share double, s array<long>")
 
 
 def near_pairs(classes: DataFrame) -> DataFrame:
@@ -122,18 +128,49 @@ def near_pairs(classes: DataFrame) -> DataFrame:
     return a.join(b, on).select(F.col("a.vid").alias("a"), F.col("b.vid").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of SIMILAR or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    rows = docs.select(doc_id.alias("doc_id"), text.alias("text")).join(wanted, "doc_id", "left_semi")
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+def prefix_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of class ids (least ``doc_id`` of equal words), all of Jaccard similarity SIMILAR or more among them.
+
+    Shingles are ordered by how often their counter is hit (any order common to all texts is exact;
+    this one keeps the lists short). The larger set is at most 1 / SIMILAR times the smaller, and
+    the first shingle in common leaves room for the overlap that is needed (length and position filters).
+    """
+    slot = F.pmod(F.col("x"), F.lit(ORDER)).cast("int")
+    met = prints.select(F.explode("s").alias("x")).groupBy(slot.alias("slot")).count().where("count > 1").toArrow()
+    counts = np.ones(ORDER, dtype=np.int32)
+    counts[met["slot"].to_numpy()] = np.minimum(met["count"].to_numpy(), np.iinfo(np.int32).max)
+    shared = prints.sparkSession.sparkContext.broadcast(counts)
+    id_type = prints.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
-            sets = [shingles(normal_form(own_words(t))).view(np.int64) for t in pdf["text"]]
-            yield pd.DataFrame({"vid": pdf["doc_id"], "s": sets})
+            out = []
+            for d, h1, h2, s in zip(pdf["doc_id"], pdf["h1"], pdf["h2"], pdf["s"]):
+                s = np.asarray(s)
+                c, n = shared.value[s % ORDER], len(s)
+                first = np.lexsort((s, c))[: n - math.ceil(SIMILAR * n - 1e-9) + 1]
+                out += [(d, h1, h2, n, at, int(s[i])) for at, i in enumerate(first) if c[i] > 1]  # a shingle met once joins nothing
+            yield pd.DataFrame(out, columns=["doc_id", "h1", "h2", "n", "at", "key"])
+
+    filed = staged(
+        prints.select("doc_id", "h1", "h2", "s").mapInPandas(run, f"doc_id {id_type}, h1 long, h2 long, n int, at int, key long")
+        .groupBy("key", "h1", "h2").agg(F.min("doc_id").alias("vid"), F.first("n").alias("n"), F.first("at").alias("at")),
+        "prefixes",
+    )
+    a, b = filed.alias("a"), filed.alias("b")
+    needed = F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-6)
+    on = (
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.vid") < F.col("b.vid"))
+        & (F.least("a.n", "b.n") >= F.lit(SIMILAR) * F.greatest("a.n", "b.n") - F.lit(1e-6))
+        & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= needed)
+    )
+    return a.join(b, on).select(F.col("a.vid").alias("a"), F.col("b.vid").alias("b")).distinct()
 
-    sets = staged(rows.mapInPandas(run, f"vid {id_type}, s array<long>"), "shingles")
+
+def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of SIMILAR or more."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = staged(prints.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("vid"), "s"), "shingles")
     both = (
         pairs.join(sets.select(F.col("vid").alias("a"), F.col("s").alias("sa")), "a")
         .join(sets.select(F.col("vid").alias("b"), F.col("s").alias("sb")), "b")
@@ -183,8 +220,8 @@ def classify(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
         ).withColumn("trusted", F.col("template") | (F.col("share") >= 1.0)),
         "classes",
     )
-    pairs = staged(near_pairs(classes), "pairs")
-    links = staged(verified(pairs, docs, doc_id, text), "verified")
+    pairs = staged(near_pairs(classes).unionByName(prefix_pairs(prints)).distinct(), "pairs")
+    links = staged(verified(pairs, prints), "verified")
     comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     placed = staged(

@@ -1,0 +1,36 @@
+"""Links between classes against brute force."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from chronoloom.llm import residue
+
+
+def test_every_pair_of_the_similarity_is_linked(spark):
+    rnd = random.Random(5)
+    words = [f"w{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    docs = []
+    for n in (6, 9, 14, 30, 60, 120, 300):
+        for _ in range(4):
+            base = [rnd.choice(words) for _ in range(n)]
+            docs.append(base)
+            for changes in (1, 1, 2, 3):
+                other = list(base)
+                for _ in range(changes):
+                    other[rnd.randrange(n)] = rnd.choice(words)
+                docs += [other, base + other[:changes], base[changes:]]
+    docs += [["the", "same", "tail", "of", "words"] * 3 + d[:4] for d in docs[:60]]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)] + [(5000 + i, " ".join(d)) for i, d in enumerate(docs[:20])]
+    first = {}
+    for i, t in rows:
+        first.setdefault(residue.normal_form(t), i)
+    sets = {i: set(residue.shingles(n).tolist()) for n, i in first.items()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    prints = residue.staged(residue.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id"), F.col("text")), "prints")
+    pairs = residue.prefix_pairs(prints)
+    got = {(r.a, r.b) for r in residue.verified(pairs, prints).collect()}
+    assert got == want and len(want) > 100
+    degree = {i: sum(i in p for p in want) for i in sets}
+    out = {r.doc_id: r.links for r in residue.classify(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id"), F.col("text")).collect()}
+    assert out == {i: degree[first[residue.normal_form(t)]] for i, t in rows}
