@@ -9,8 +9,11 @@ number of classes so that a table's bucket holds some BUCKET of them; the pairs
 same. Most pairs of similarity 0.8 differ in more bits, so a prefix join adds all others, exactly: with
 shingles in one order for all texts (rare first), two sets of similarity 0.8 share one among the first
 fifth of each. Pairs are verified by the Jaccard similarity of their shingles (0.8 or more). Labels that rules assign with certainty are
-propagated along verified links through connected components; a class that is only
-linked is accepted if at least KNOWN of its words are known residue themselves (exact check).
+propagated along verified links through connected components. A class that is only linked is accepted
+by an exact check on the words in which it differs from the trusted classes of its component: each of
+its sentences is known to the rules or says what a sentence of those classes says (no own sentence
+added), or it has one of their template slots at the same place, in whatever symbols; or at least
+KNOWN of its words are known residue themselves.
 
 Scale. Texts are read where they lie and reduced to fingerprints; copies collapse before any
 join; shingles are written once, beside the fingerprints. The order of the prefix join comes from a
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.ownwords import own_words
-from chronoloom.llm.residue_rules import known_share, template_part
+from chronoloom.llm.residue_rules import holds_slot, known_share, says_the_same, sentences, slots, template_part
 from chronoloom.session import staged
 
 SHINGLE = 5
@@ -205,6 +208,39 @@ def components(links: DataFrame) -> DataFrame:
     return rooted.unionByName(roots.join(rooted.select("node"), "node", "left_anti"))
 
 
+def travelled(placed: DataFrame, docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
+    """``vid`` of the classes that the exact check accepts as what the trusted classes of their component are."""
+    mixed = placed.groupBy("class_id").agg(F.max("trusted").alias("some"), F.min("trusted").alias("every")).where("some and not every")
+    members = staged(placed.join(mixed, "class_id", "left_semi").select("vid", "class_id", "trusted", "template"), "members")
+    if members.isEmpty():
+        return members.select("vid")
+    rows = docs.select(doc_id.alias("vid"), text.alias("text")).join(members, "vid")
+    id_type = rows.schema["vid"].dataType.simpleString()
+
+    def evidence(batches):
+        for pdf in batches:
+            out = set()
+            for c, template, t in zip(pdf["class_id"], pdf["template"], pdf["text"]):
+                own = own_words(t)
+                # a template part may stand in a post of real sentences: those are no evidence
+                out |= {(c, "slot", *s) for s in slots(own)} if template else {(c, "said", s, "", "") for s in sentences(own)[0]}
+            yield pd.DataFrame(sorted(out), columns=["class_id", "kind", "x", "y", "z"])
+
+    def accept(key, left, right):
+        said = set(left.loc[left["kind"] == "said", "x"])
+        parts = set(left.loc[left["kind"] == "slot", ["x", "y", "z"]].itertuples(index=False, name=None))
+        good = []
+        for vid, t in zip(right["vid"], right["text"]):
+            own = own_words(t)
+            if (parts and holds_slot(own, parts)) or (said and all(says_the_same(s, said) for s in sentences(own)[1])):
+                good.append(vid)
+        return pd.DataFrame({"vid": good})
+
+    seen = rows.where("trusted").mapInPandas(evidence, f"class_id {id_type}, kind string, x string, y string, z string").distinct()
+    asked = rows.where("not trusted").select("class_id", "vid", "text")
+    return seen.groupBy("class_id").cogroup(asked.groupBy("class_id")).applyInPandas(accept, f"vid {id_type}")
+
+
 def classify(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     """One row per post with own words: ``doc_id, class_id, links, trusted, residue``.
 
@@ -226,12 +262,13 @@ def classify(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     placed = staged(
         classes.join(comp, classes["vid"] == comp["node"], "left").drop("node").join(degree, F.col("vid") == F.col("node"), "left")
-        .select("h1", "h2", "share", "trusted", F.coalesce("root", "vid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")),
+        .select("vid", "h1", "h2", "template", "share", "trusted", F.coalesce("root", "vid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")),
         "placed",
     )
     marked = placed.where("trusted").select("class_id").distinct().withColumn("spread", F.lit(True))
-    verdict = placed.join(marked, "class_id", "left").select(
-        "h1", "h2", "class_id", "links", "trusted",
-        (F.col("trusted") | (F.coalesce("spread", F.lit(False)) & (F.col("share") >= KNOWN))).alias("residue"),
+    told = travelled(placed, docs, doc_id, text).withColumn("told", F.lit(True))
+    spread, told_so = F.coalesce("spread", F.lit(False)), F.coalesce("told", F.lit(False))
+    verdict = placed.join(marked, "class_id", "left").join(told, "vid", "left").select(
+        "h1", "h2", "class_id", "links", "trusted", (F.col("trusted") | told_so | (spread & (F.col("share") >= KNOWN))).alias("residue"),
     )
     return prints.select("doc_id", "h1", "h2").join(verdict, ["h1", "h2"]).select("doc_id", "class_id", "links", "trusted", "residue")

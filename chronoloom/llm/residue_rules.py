@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from difflib import SequenceMatcher
 
 # Cited text does not count: between quotation marks or backticks.
 _CITED = re.compile(r"\"[^\"\n]{1,120}\"|“[^”\n]{1,120}[”\"]|„[^“”\n]{1,120}[“”\"]|«[^»\n]{1,120}»|`[^`\n]{1,120}`|‘[^’\n]{1,120}’|‚[^‘’\n]{1,120}[‘’]|'[^\w\s]{1,3}[^'\n]{1,60}[^\w\s]{1,3}'")
@@ -65,6 +66,43 @@ _FURNITURE = re.compile(
     r"^(?:home \| boards \| search \| log in|start \| foren \| anmelden|(?:« )?prev(?: \d+)* next(?: »)?|« prev[\d ]*next »|powered by \S+(?: [\d.]+)?|skip to content|menu register faq|back to the front page"
     r"|inicio \| foros \| \w+|accueil \| forums? \| [\w ]+|(?:[\w ]{2,14} ?[|»·] ?)+[\w ]{2,14})[.!…]*$"
 )
+# The same kinds of messages by their general shape, not by their sentence (each must be the whole sentence).
+_THING = r"(?:web ?)?(?:page|site|file|url|link|resource|document|content|post|message|topic|thread|board|forum|section|image|article|item|app|application|address)s?"
+_WHICH = rf"(?:(?:the|this|that|your|our) )?(?:requested |original )?{_THING}(?: (?:that )?(?:you|we) (?:requested|(?:are|were) (?:looking for|trying to (?:reach|view|open))))?"
+_REASON = (
+    r"(?:bad request|unauthori[sz]ed|authorization required|payment required|forbidden|not found|method not allowed|not acceptable|request time-?out|conflict|gone|length required"
+    r"|payload too large|uri too long|unsupported media type|unprocessable (?:entity|content)|too many requests|internal server error|internal error|not implemented|bad gateway|service (?:temporarily )?unavailable"
+    r"|gateway time-?out|insufficient storage|network authentication required|access denied|permission denied|connection (?:timed out|refused|reset|closed)|database error|server error|fatal error)"
+)
+_STATUS = r"(?:error|http(?:/\d(?:\.\d)?)?|status|code|fehler|erreur)"
+_ERROR_SHAPE = re.compile(
+    # a status code and its phrase, or "error:" and a phrase; a phrase alone could be a member's answer
+    rf"^(?:{_STATUS}[ :#-]*)*\(?\[?[1-5]\d\d\]?\)?\s*[:|–-]?\s*{_REASON}[.!…]*$"
+    rf"|^(?:{_STATUS}[ :#-]*)*{_REASON}\s*[(\[:–-]*\s*(?:{_STATUS}\s*:?\s*)*[1-5]\d\d[)\]]?[.!…]*$"
+    rf"|^(?:{_STATUS}\s*[:#–-]\s*)+{_REASON}[.!…]*$"
+    # what was asked for is not there (removed posts are no cases)
+    rf"|^(?:(?:we(?:'re| are) )?sorry[,.!:-]? ?(?:but )?)?{_WHICH} (?:(?:(?:is|was|are|were|has|have|can|could|does|do|did)(?:n't| not| no longer)|cannot)(?: (?:been|be|currently|yet))* (?:found|exist|available|displayed|loaded|shown|opened|reached|respond|responding)"
+    r"|(?:is|are) (?:(?:currently|temporarily|permanently) )?(?:unavailable|offline))[.!…]*$"
+    rf"|^(?:(?:sorry|oops)[,.!:-]? ?)?you (?:do not|don't|are not|aren't) (?:have (?:the )?(?:permission|access|rights?)|allowed|authori[sz]ed|permitted) (?:to )?(?:(?:view|see|read|access|open|enter) )?{_WHICH}[.!…]*$"
+    r"|^(?:the|this|our|upstream) (?:web |database |origin )?(?:server|database|service) (?:(?:is|was|did|has|does)(?:n't| not)(?: (?:been|currently))* (?:available|respond(?:ing)?|answer(?:ing)?)|(?:is|was) (?:(?:currently|temporarily) )?(?:unavailable|overloaded))"
+    r"(?: in time)?(?:[,;.]? (?:please )?try again (?:later|soon|in a few (?:minutes|moments)))?[.!…]*$"
+)
+_SCRIPTS = r"(?:(?:your )?(?:browser(?:'s)? )?(?:java ?script|js|cookies?|scripts?|scripting)(?: (?:and|or|&) (?:java ?script|js|cookies?|scripts?|scripting))*)"
+_IN_BROWSER = r"(?: support)?(?: (?:in|on|by|for) (?:your|this|the) (?:web )?browser(?: settings)?)?"
+_USE = rf"(?:run|view|see|use|read|continue|proceed|display|load|reload|access|open|visit|enter|refresh|try again)(?: (?:to|with|using))?(?: {_WHICH})?"
+_NOTICE_SHAPE = re.compile(
+    rf"^(?:sorry[,.!:-]? ?)?(?:(?:please|you (?:need|have) to|you must|to (?:continue|proceed|{_USE}),?(?: (?:please|you (?:need|have) to|you must))?) )(?:enable|activate|allow|accept|turn on|switch on) {_SCRIPTS}{_IN_BROWSER}(?:,? (?:(?:in order )?to|and(?: then)?|then|before) (?:you (?:can )?)?{_USE})?[.!…]*$"
+    rf"|^(?:enable|activate|turn on|switch on) {_SCRIPTS}{_IN_BROWSER},? (?:(?:in order )?to|and(?: then)?|then) {_USE}[.!…]*$"
+    rf"|^{_WHICH} (?:needs?|requires?|works? only with|does not work without|doesn't work without|cannot be (?:shown|displayed) without) {_SCRIPTS}(?: (?:enabled|to (?:be (?:enabled|on)|{_USE}|work|function)))?{_IN_BROWSER}[.!…]*$"
+    rf"|^(?:it (?:seems|looks like|appears) (?:that )?)?{_SCRIPTS} (?:(?:is|are|seems? to be|appears? to be)(?: currently)? (?:required|disabled|blocked|turned off|switched off|not (?:enabled|supported|available))|(?:must|needs? to|has to|have to) be (?:enabled|allowed|turned on|switched on))"
+    rf"{_IN_BROWSER}(?: (?:to|for) (?:{_USE}|{_WHICH}))?[.!…]*$"
+    rf"|^your (?:web )?browser (?:does not|doesn't|did not) (?:support|allow|accept|run) {_SCRIPTS}[.!…]*$"
+)
+# Every general shape holds one of these: a cheap first look.
+_SHAPE_HINT = re.compile(
+    r"script|scripting|\bjs\b|cookie|bad request|unauthori|authorization|permi|forbidden|found|not a|not imp|conflict|gone|required|too |unsupported|unprocess|error|gateway|unavailable|storage|denied|connection|time-?out"
+    r"|exist|available|displayed|loaded|shown|opened|reached|removed|deleted|moved|respond|offline|access|right|allowed|authori|answer|overload|down"
+)
 # Filler words (fixed values): the vocabulary of dummy text, keyboard runs and stand-ins.
 _LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
@@ -104,9 +142,72 @@ def known_share(own: str) -> float:
     return known / total if total else 0.0
 
 
+# What marks a slot of a template: symbols, not the brackets and stops of plain writing.
+_SYMBOL = r"[{}\[\]<>%$#@|~^*_=+/\\:!&§]"
+_LETTERS = re.compile(r"[^\W_]+")
+# A member speaking: no message that came with the page (fixed values).
+_PERSONAL = frozenset("i my me mine im ive ich mein meine meinen mir mich je mon ma mes moi yo mi mis me".split())
+ALIKE = 0.8
+
+
+def slots(own: str) -> set[tuple[str, str, str]]:
+    """``before, name, after`` of every template part outside of citations: its own words and the words around it."""
+    t = _CITED.sub(" ", own)
+    return {_around(t, m.start(), m.end()) for m in _PART.finditer(t) if _LETTERS.search(m.group())}
+
+
+def _around(t: str, start: int, end: int) -> tuple[str, str, str]:
+    before, after = _LETTERS.findall(t[max(0, start - 60) : start]), _LETTERS.findall(t[end : end + 60])
+    return (before[-1].lower() if before else "", " ".join(_LETTERS.findall(t[start:end])).lower(), after[0].lower() if after else "")
+
+
+def holds_slot(own: str, known: set[tuple[str, str, str]]) -> bool:
+    """True if a part named like one of ``known`` stands between symbols, uncited, between the same words."""
+    t = _CITED.sub(" ", own)
+    for name in {k[1] for k in known}:
+        inner = r"[ _]".join(map(re.escape, name.split()))
+        for m in re.finditer(rf"{_SYMBOL}+ ?{inner} ?{_SYMBOL}+", t, re.I):
+            before, _, after = _around(t, m.start(), m.end())
+            if (before, name, after) in known:
+                return True
+    return False
+
+
+def sentences(own: str) -> tuple[set[str], set[str]]:
+    """Sentences (lower case, furniture aside) that the rules know, and those they do not."""
+    known, other = set(), set()
+    for line in own.split("\n"):
+        low = line.lower().strip()
+        if not low or _FURNITURE.match(low):
+            continue
+        if _known(low):
+            known.add(low)
+            continue
+        for part in map(str.strip, _SENTENCE.split(low)):
+            if part and not _FURNITURE.match(part):
+                (known if _known(part) else other).add(part)
+    return known, other
+
+
+def says_the_same(sentence: str, known: set[str]) -> bool:
+    """True if a known sentence has the same words but for a fifth of them (all of them below five words), none of a member's own voice."""
+    words = _LETTERS.findall(sentence)
+    for k in known:
+        theirs = _LETTERS.findall(k)
+        if words == theirs:
+            return True
+        if min(len(words), len(theirs)) < 5 or _PERSONAL & (set(words) - set(theirs)):
+            continue
+        if SequenceMatcher(None, words, theirs, autojunk=False).ratio() >= ALIKE:
+            return True
+    return False
+
+
 def _known(low: str) -> bool:
     if _ERROR.match(low) or _NOTICE.match(low) or _FILLER.match(low):
         return True
+    if len(low) <= 160 and _SHAPE_HINT.search(low) and (_ERROR_SHAPE.match(low) or _NOTICE_SHAPE.match(low)):
+        return True
     words = _WORD.findall(low)
     if not words:
         return False

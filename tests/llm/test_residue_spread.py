@@ -1,0 +1,63 @@
+"""Labels that travel along links, general shapes of messages, and the recall of links."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from chronoloom.llm import residue
+from chronoloom.llm.residue_rules import holds_slot, known_share, slots
+
+
+def verdicts(spark, docs):
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    return {r.doc_id: r for r in residue.classify(rows, F.col("doc_id"), F.col("text")).collect()}
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["You need to enable JavaScript to run this app.", "Please enable cookies in your browser and reload the page.", "This site requires JavaScript to be enabled.", "JavaScript is required to view this page.", "Your browser does not support JavaScript.", "403 Forbidden",
+     "HTTP 502 Bad Gateway", "Error: 401 Unauthorized", "503 Service Temporarily Unavailable", "The requested page could not be found.", "The page you are looking for does not exist.", "You are not authorized to view this page.", "The server is temporarily unavailable, please try again later."],
+)
+def test_messages_by_their_shape(text):
+    assert known_share(text) == 1.0
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["You have to enable JavaScript for the chart tab, otherwise it stays white.", "Cookies must be on for the login, I had blocked them and lost an evening.", "Error 401 again last night, the host says it was a disk.", "My export script threw a 429 for an hour.",
+     "Gone.", "Conflict.", "This post was removed.", "The image was found.", "JavaScript is enabled in your browser.", "I enabled JavaScript and the page is back."],
+)
+def test_members_are_no_messages(text):
+    assert known_share(text) == 0.0
+
+
+# a letter whose words are unlike those of any rule
+LETTER = "the parcel left our depot in the north on monday and the driver will call before noon so please keep a phone close and a door open for the crew with the two long boxes that came from the mill last week and that nobody in the office has looked at since then"
+
+
+def test_template_labels_travel_by_slot(spark):
+    docs = [(1, f"Dear {{{{first name}}}} {LETTER} thank you"), (2, f"Dear ~~first name~~ {LETTER} thank you"), (3, f"Dear Maria {LETTER} thank you"), (4, f"Dear \"~~first name~~\" {LETTER} thank you")]
+    got = verdicts(spark, docs)
+    assert {r.class_id for r in got.values()} == {1}
+    assert {d for d, r in got.items() if r.trusted} == {1} and {d for d, r in got.items() if r.residue} == {1, 2}
+
+
+# a page of which some lines are not listed in other words: known to a half to four fifths only
+LISTED = ["Could not connect to the database.", "Something went wrong on our side."] * 3 + ["Scripting is turned off, so the post cannot be shown.", "The board is taking a break, try again in a few minutes."] * 2
+LISTED += ["If this keeps happening, tell the administrator and mention reference ccd45f.", "We could not find what you were looking for.", "Too many requests from your address, slow down.", "Your browser is out of date or blocks active content.", "Wartungsarbeiten, wir sind gleich zurück."]
+LISTED += ["You need a browser that supports scripts to read this thread."] * 7
+CHANGED = ["You need any browser that supports scripts to read this thread."] * 7
+
+
+def test_messages_travel_but_own_sentences_do_not(spark):
+    head = [x for x in LISTED if not x.startswith("You need a browser")]
+    docs = [(1, "\n".join(LISTED)), (2, "\n".join(head + CHANGED)), (3, "\n".join(head + CHANGED + ["I sold the boat."]))]
+    assert known_share(docs[0][1]) == 1.0 and known_share(docs[1][1]) < residue.KNOWN
+    got = verdicts(spark, docs)
+    assert got[2].class_id == got[1].class_id == 1 and not got[2].trusted and got[2].residue
+    assert got[3].class_id == 1 and not got[3].residue
+
+
+def test_slots_need_the_same_place():
+    known = slots("Dear {{NAME}}, thanks")
+    assert known == {("dear", "name", "thanks")}
+    assert holds_slot("Dear ~name~, thanks", known) and not holds_slot("Dear Ann, my ~name~ is", known) and not holds_slot("Dear name, thanks", known)
