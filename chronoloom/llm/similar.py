@@ -3,8 +3,8 @@
 Method. Pivots are a bounded sample of the distinct vectors. Each vector is represented by
 its ``m`` nearest pivots in order (its permutation) and posted in the inverted files of
 pivots. A query is looked up in the files of its own nearest pivots; what it meets there is
-ranked by Spearman's footrule between the two permutations, and the best are reranked by the
-true distance.
+ranked by the true distance, within a radius after a cut by Spearman's footrule between the two
+permutations.
 
 Two searches share the index:
 
@@ -12,8 +12,8 @@ Two searches share the index:
   under every pivot not farther than its nearest plus twice the radius, so by the triangle
   inequality it is met by every query within the radius; and a footrule cutoff is derived for
   each query from the pivots whose order a point within the radius could exchange.
-* ``neighbours`` finds the k nearest at any distance, with a loss that depends on ``posts``,
-  ``probes`` and ``candidates`` (README: measured recall).
+* ``neighbours`` finds the k nearest at any distance, with a loss that depends on ``posts`` and
+  ``probes``: all points that are met are ranked, however many (README: measured recall).
 
 Equal vectors are one point of the index that keeps, per other-label rule, the 2k rows that
 can still matter, so a group of copies costs one point however many rows it has. A file with
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from chronoloom.session import staged
 
 BLOCK = 4096
+PAIRS = 1 << 20
 MAX_PIVOTS = 8192
 ORDERED = 4
 SLACK = 1e-9
@@ -159,7 +160,7 @@ def _running(same: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(same, 0, at)) if len(same) else at
 
 
-def _search(postings: DataFrame, k: int, radius: float | None, candidates: int | None, id_type: str, label_type: str) -> DataFrame:
+def _search(postings: DataFrame, k: int, radius: float | None, id_type: str, label_type: str) -> DataFrame:
     """Blocks of a file's queries and points -> ``vid, near_id, near_label, distance``."""
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -175,16 +176,16 @@ def _search(postings: DataFrame, k: int, radius: float | None, candidates: int |
         counts = np.array([len(v) for v in held])
         starts = np.concatenate(([0], np.cumsum(counts)))
         ids, labels = np.concatenate(held), np.concatenate(xs["labels"].to_numpy())
-        ux, vids, cut = _unary(xp, names), qs["vid"].to_numpy(), qs["cutoff"].to_numpy()
+        ux, vids, cut = None if radius is None else _unary(xp, names), qs["vid"].to_numpy(), qs["cutoff"].to_numpy()
         out = []
-        for at in range(0, len(qs), 256):
-            part = slice(at, at + 256)
-            footrule = m * (m + 1) - 2.0 * (_unary(qp[part], names) @ ux.T)
+        # without a radius every pair is ranked: fewer queries at a time
+        step = 256 if radius is not None else max(1, min(256, PAIRS // len(ids)))
+        for at in range(0, len(qs), step):
+            part = slice(at, at + step)
             if radius is None:
-                c = min(candidates, footrule.shape[1])
-                limit = np.partition(footrule, c - 1, axis=1)[:, c - 1 : c]
-                qi, xi = np.nonzero(footrule <= limit)
+                qi, xi = (x.ravel() for x in np.indices((len(qv[part]), len(xv))))
             else:
+                footrule = m * (m + 1) - 2.0 * (_unary(qp[part], names) @ ux.T)
                 qi, xi = np.nonzero(footrule <= cut[part][:, None])
             gap = qv[part][qi] - xv[xi]
             d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
@@ -251,19 +252,18 @@ def neighbours_within(rows: DataFrame, k: int, radius: float) -> DataFrame:
     if not n:
         return rows.sparkSession.createDataFrame([], f"row_id {id_type}, near_id {id_type}, rank int, distance double")
     placed = staged(_permute(index, fit_pivots(index, n), columns, _within(radius)), "permutations")
-    found = _search(_blocks(placed, placed.withColumn("probes", F.array("home"))), k, radius, None, id_type, label_type)
+    found = _search(_blocks(placed, placed.withColumn("probes", F.array("home"))), k, radius, id_type, label_type)
     # labels beyond the kept rows ask as well: the answer depends on (vector, label) only
     every = rows.select("h", "vec", "label").distinct().join(index.select("h", "vec", "vid"), ["h", "vec"])
     best = _rank(found, every.select("vid", "h", "vec", "label"), k)
     return rows.join(best.drop("vid"), ["h", "vec", "label"]).select("row_id", "near_id", "rank", "distance")
 
 
-def neighbours(rows: DataFrame, queries: Column, k: int, posts: int = 3, probes: int = 4, candidates: int = 400) -> DataFrame:
+def neighbours(rows: DataFrame, queries: Column, k: int, posts: int = 3, probes: int = 4) -> DataFrame:
     """For the rows that satisfy ``queries``, about their k nearest rows of other labels, at any distance.
 
     Every row is indexed under its ``posts`` nearest pivots; a query looks into the files of its
-    ``probes`` nearest pivots, where the ``candidates`` best by footrule (and those equal to the
-    last) are reranked. Rows and special cases as for ``neighbours_within``.
+    ``probes`` nearest pivots, where every point is ranked by its distance. Rows and special cases as for ``neighbours_within``.
     """
     index = staged(distinct_points(rows, k), "points")
     n = index.count()
@@ -274,6 +274,6 @@ def neighbours(rows: DataFrame, queries: Column, k: int, posts: int = 3, probes:
     asked = rows.where(queries)
     every = asked.select("h", "vec", "label").distinct().join(index.select("h", "vec", "vid"), ["h", "vec"])
     whom = placed.join(every.select("vid").distinct(), "vid", "left_semi").withColumn("probes", F.slice("posts", 1, probes))
-    found = _search(_blocks(placed.withColumn("posts", F.slice("posts", 1, posts)), whom), k, None, candidates, id_type, label_type)
+    found = _search(_blocks(placed.withColumn("posts", F.slice("posts", 1, posts)), whom), k, None, id_type, label_type)
     best = _rank(found, every.select("vid", "h", "vec", "label"), k)
     return asked.join(best.drop("vid"), ["h", "vec", "label"]).select("row_id", "near_id", "rank", "distance")
