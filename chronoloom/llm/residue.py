@@ -252,7 +252,7 @@ def classify(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     prints = staged(fingerprints(docs, doc_id, text), "prints")
     classes = staged(
         prints.groupBy("h1", "h2").agg(
-            F.min("doc_id").alias("vid"), F.first("sim").alias("sim"), F.max("template").alias("template"), F.min("share").alias("share")
+            F.min("doc_id").alias("vid"), F.first("sim").alias("sim"), F.max("template").alias("template"), F.max("share").alias("share")
         ).withColumn("trusted", F.col("template") | (F.col("share") >= 1.0)),
         "classes",
     )

@@ -1,0 +1,13 @@
+"""Equal words in another layout are the same class and get the same verdict."""
+
+from pyspark.sql import functions as F
+
+from chronoloom.llm import residue
+
+
+def test_layout_takes_no_label(spark):
+    docs = [(1, "Down for maintenance."), (2, "Down for maintenance ."), (3, "Access denied\nError 403\nLog in again."), (4, "Access denied Error 403 Log in again."), (5, "We were down for maintenance.")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in residue.classify(rows, F.col("doc_id"), F.col("text")).collect()}
+    assert got[1].class_id == got[2].class_id == 1 and got[3].class_id == got[4].class_id == 3
+    assert {d for d, r in got.items() if r.residue} == {1, 2, 3, 4}
