@@ -1,138 +1,134 @@
 """Posts that hold template residue, filler, error pages or script notices instead of content.
 
 Method. The own words of each post are fingerprinted: posts with equal own words (case, digits
-and spacing aside) are one class; each class has a 64-bit SimHash of its five-word shingles.
-Partitioned tables bring together all classes whose hashes differ in at most HAMMING bits: the
-hash is cut into HAMMING + r blocks, of which r must be equal, one table for each choice of r.
-r only decides how long the keys are (18 bits for r = 2, 24 for r = 3, 28 for r = 4): it grows with the
-number of classes so that a table's bucket holds some BUCKET of them; the pairs found are the
-same. Most pairs of similarity 0.8 differ in more bits, so a prefix join adds all others, exactly: with
-shingles in one order for all texts (rare first), two sets of similarity 0.8 share one among the first
-fifth of each. Pairs are verified by the Jaccard similarity of their shingles (0.8 or more). Labels that rules assign with certainty are
-propagated along verified links through connected components. A class that is only linked is accepted
-by an exact check on the words in which it differs from the trusted classes of its component: each of
-its sentences is known to the rules or says what a sentence of those classes says (no own sentence
-added), or it has one of their template slots at the same place, in whatever symbols; or at least
-KNOWN of its words are known residue themselves.
+and spacing aside) are one class; each class has a 64-bit SimHash over its runs of two and three
+words. Partitioned tables bring together classes whose hashes agree on a part of their bits: permutations
+of the 64 bits are cut into keys, one table each. Candidates of like length within HAMMING bits are verified by the Jaccard
+similarity of their five-word shingles (SIMILAR or more). The tables are probabilistic (README: measured
+recall); a prefix join adds, exactly, the pairs that no table met: with shingles in one order for all
+texts (rare first), two sets of similarity 0.8 share one among the first fifth of each.
+
+Labels. ``residue_rules`` trusts what its shape alone tells (a template part, a status code with its
+phrase, Latin filler). From these seeds labels travel in two ways until nothing changes:
+
+* over sentences: classes that hold the same sentence are linked by it. A sentence that occurs in
+  LEAST classes or more beside trusted sentences or page furniture, and so in at least COMPANY of the
+  classes in which it has any company at all, is trusted as well; a class is residue if all its sentences are;
+* over the verified links, through connected components: a class that is only linked is accepted by an
+  exact check on the words in which it differs from the residue of its component: each of its sentences says
+  what a sentence of those classes says (no own sentence added), or it has one of their template slots
+  at the same place, in whatever symbols.
 
 Scale. Texts are read where they lie and reduced to fingerprints; copies collapse before any
 join; shingles are written once, beside the fingerprints. The order of the prefix join comes from a
-table of ORDER counters (the only thing collected). Links and components stay distributed (alternating
-large-star and small-star rounds over written tables).
+table of ORDER counters (the only thing collected). Sentences, links and components stay distributed (alternating
+large-star and small-star rounds over written tables). A family of m classes that differ in words
+and resemble each other costs m * m / 2 candidate pairs, as each is a link.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.llm import residue_rules as rules
 from chronoloom.llm.ownwords import own_words
-from chronoloom.llm.residue_rules import holds_slot, known_share, says_the_same, sentences, slots, template_part
+from chronoloom.llm.residue_rules import holds_slot, says_the_same, sentences, slots
+from chronoloom.llm.textprint import fingerprint
 from chronoloom.session import staged
 
-SHINGLE = 5
 SIMILAR = 0.8
-HAMMING = 5
+HAMMING = 12
+USUAL = 9
+MISSED = 0.05
 BUCKET = 16
-ORDER = 1 << 20
-KNOWN = 0.8
-STAR_ROUNDS = 50
-
-_NUMBER = re.compile(r"\b(?=\w*\d)[0-9a-f]{4,}\b|\d+(?:[.,]\d+)*")
-_TOKEN = re.compile(r"\w+|[^\w\s]+")
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-_BITS = np.arange(64, dtype=np.uint64)
-
-
-def normal_form(own: str) -> str:
-    """Own words as they are compared: lower case, numbers as 0, single blanks."""
-    return " ".join(_TOKEN.findall(_NUMBER.sub("0", own.lower())))
-
-
-def shingles(normal: str, cache: dict | None = None) -> np.ndarray:
-    """Distinct hashes of five-word shingles; a shorter text is one shingle, an empty one has none."""
-    import xxhash
-
-    words = normal.split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    cache = {} if cache is None else cache
-    hashed = np.empty(len(words), dtype=np.uint64)
-    for i, w in enumerate(words):
-        h = cache.get(w)
-        if h is None:
-            h = cache[w] = xxhash.xxh64_intdigest(w)
-        hashed[i] = h
-    if len(words) < SHINGLE:
-        return np.array([xxhash.xxh64_intdigest(normal)], dtype=np.uint64)
-    n = len(words) - SHINGLE + 1
-    mixed = np.zeros(n, dtype=np.uint64)
-    for j in range(SHINGLE):
-        mixed = (mixed ^ hashed[j : j + n]) * _MULTIPLIERS[j]
-        mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
-
-
-def simhash(hashes: np.ndarray) -> int:
-    """64-bit SimHash as a signed long; 0 for an empty set."""
-    if not len(hashes):
-        return 0
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 4096):
-        ones += ((hashes[at : at + 4096, None] >> _BITS) & np.uint64(1)).sum(axis=0).astype(np.int64)
-    bits = (2 * ones > len(hashes)).astype(np.uint64)
-    return int(np.array([(bits << _BITS).sum()], dtype=np.uint64).view(np.int64)[0])
+ORDER = 1 << 18
+LEAST = 2
+COMPANY = 0.5
+CHUNK = 400_000
 
 
 def fingerprints(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
-    """``doc_id, h1, h2, sim, template, share, s`` (shingles) of posts that have own words. No shuffle."""
+    """``doc_id, h1, h2, sim, template, said, lit, pieces, s`` of posts that have own words. No shuffle.
+
+    ``said`` are the hashes of the sentences, ``lit`` whether each is a seed, ``pieces`` the number of
+    pieces of furniture, ``s`` the shingles.
+    """
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text")).where("text is not null and doc_id is not null")
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
-    def run(batches):
-        import xxhash
+    def chunk(ids: list, own: list[str], vocabularies) -> pd.DataFrame:
+        joined = "\0".join(t.lower().replace("\0", " ") for t in own) + "\0"
+        p = fingerprint(joined, vocabularies)
+        seeds, furniture = rules.kinds(p, joined)
+        cuts = np.searchsorted(p.owner, np.arange(len(p.texts) + 1))
+        said, lit, pieces = [], [], []
+        for a, b in zip(cuts, cuts[1:]):
+            real = ~furniture[a:b]
+            h, first = np.unique(p.sentence[a:b][real], return_index=True)
+            said.append(h.view(np.int64))
+            lit.append(seeds[a:b][real][first])
+            pieces.append(int(b - a - real.sum()))
+        return pd.DataFrame(
+            {
+                "doc_id": [ids[i] for i in p.texts], "h1": p.h1.view(np.int64), "h2": p.h2.view(np.int64), "sim": p.sim, "template": [rules.template_part(own[i]) for i in p.texts],
+                "said": said, "lit": lit, "pieces": np.array(pieces, dtype=np.int32), "s": [x.view(np.int64) for x in p.shingles],
+            }
+        )
 
+    def run(batches):
+        vocabularies = rules.vocabularies()
         for pdf in batches:
-            out, cache = [], {}
+            ids, own, size = [], [], 0
             for d, t in zip(pdf["doc_id"], pdf["text"]):
-                own = own_words(t)
-                normal = normal_form(own)
-                if not normal:
-                    continue
-                h = np.array([xxhash.xxh64_intdigest(normal, 1), xxhash.xxh64_intdigest(normal, 2)], dtype=np.uint64).view(np.int64)
-                s = shingles(normal, cache)
-                out.append((d, int(h[0]), int(h[1]), simhash(s), template_part(own), known_share(own), s.view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "h1", "h2", "sim", "template", "share", "s"])
+                ids.append(d)
+                own.append(own_words(t))
+                size += len(own[-1])
+                if size >= CHUNK:
+                    yield chunk(ids, own, vocabularies)
+                    ids, own, size = [], [], 0
+            if ids:
+                yield chunk(ids, own, vocabularies)
+
+    return rows.mapInPandas(run, f"doc_id {id_type}, h1 long, h2 long, sim long, template boolean, said array<long>, lit array<boolean>, pieces int, s array<long>")
 
-    return rows.mapInPandas(run, f"doc_id {id_type}, h1 long, h2 long, sim long, template boolean, share double, s array<long>")
+
+def table_masks(n: int) -> list[int]:
+    """Bit masks of the tables for n classes, as signed longs.
+
+    A key has so many bits that a table's bucket holds some BUCKET of n evenly spread classes; there are as many
+    tables as leave two hashes that differ in USUAL bits apart with a probability of MISSED.
+    """
+    bits = min(40, max(8, math.ceil(math.log2(max(n, 1) / BUCKET)) if n > BUCKET else 8))
+    tables = math.ceil(math.log(MISSED) / math.log(1 - (1 - USUAL / 64) ** bits))
+    masks, rng = [], np.random.default_rng(64)
+    while len(masks) < tables:
+        order = rng.permutation(64)
+        for at in range(0, 64 - bits + 1, bits):
+            masks.append(sum(1 << int(b) for b in order[at : at + bits]))
+    return [int(np.array([m], dtype=np.uint64).view(np.int64)[0]) for m in masks[:tables]]
 
 
 def near_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of ``vid`` whose ``sim`` differ in at most HAMMING bits; none is lost."""
-    n, r = classes.count(), 2
-    while r < 4 and n > BUCKET * 2.0 ** (64 * r / (HAMMING + r)):
-        r += 1
-    edges = [round(64 * i / (HAMMING + r)) for i in range(HAMMING + r + 1)]
-    blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    signed = [int(np.array([sum(c)], dtype=np.uint64).view(np.int64)[0]) for c in combinations(blocks, r)]
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("sim").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(signed)])
-    filed = classes.select("vid", "sim", F.explode(tables).alias("f")).select("vid", "sim", "f.t", "f.key")
+    """Pairs ``a < b`` of ``vid`` that share a table's key, whose ``sim`` differ in at most HAMMING bits and whose numbers ``n`` of shingles allow the similarity."""
+    masks = table_masks(classes.count())
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("sim").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(masks)])
+    filed = classes.select("vid", "sim", "n", F.explode(tables).alias("f")).select("vid", "sim", "n", "f.t", "f.key")
     a, b = filed.alias("a"), filed.alias("b")
     on = (
         (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.vid") < F.col("b.vid"))
         & (F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim"))) <= HAMMING)
+        & (F.least("a.n", "b.n") >= F.lit(SIMILAR) * F.greatest("a.n", "b.n") - F.lit(1e-6))
     )
     return a.join(b, on).select(F.col("a.vid").alias("a"), F.col("b.vid").alias("b")).distinct()
 
 
-def prefix_pairs(prints: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of class ids (least ``doc_id`` of equal words), all of Jaccard similarity SIMILAR or more among them.
+def prefix_pairs(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of ``vid``, all of Jaccard similarity SIMILAR or more among them.
 
     Shingles are ordered by how often their counter is hit (any order common to all texts is exact;
     this one keeps the lists short). The larger set is at most 1 / SIMILAR times the smaller, and
@@ -143,37 +139,41 @@ def prefix_pairs(prints: DataFrame) -> DataFrame:
     counts = np.ones(ORDER, dtype=np.int32)
     counts[met["slot"].to_numpy()] = np.minimum(met["count"].to_numpy(), np.iinfo(np.int32).max)
     shared = prints.sparkSession.sparkContext.broadcast(counts)
-    id_type = prints.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for d, h1, h2, s in zip(pdf["doc_id"], pdf["h1"], pdf["h2"], pdf["s"]):
+            keys, of, n, at = [], [], [], []
+            for h, s in zip(pdf["h1"], pdf["s"]):
                 s = np.asarray(s)
-                c, n = shared.value[s % ORDER], len(s)
-                first = np.lexsort((s, c))[: n - math.ceil(SIMILAR * n - 1e-9) + 1]
-                out += [(d, h1, h2, n, at, int(s[i])) for at, i in enumerate(first) if c[i] > 1]  # a shingle met once joins nothing
-            yield pd.DataFrame(out, columns=["doc_id", "h1", "h2", "n", "at", "key"])
-
-    filed = staged(
-        prints.select("doc_id", "h1", "h2", "s").mapInPandas(run, f"doc_id {id_type}, h1 long, h2 long, n int, at int, key long")
-        .groupBy("key", "h1", "h2").agg(F.min("doc_id").alias("vid"), F.first("n").alias("n"), F.first("at").alias("at")),
-        "prefixes",
-    )
+                c, k = shared.value[s % ORDER], len(s)
+                first = np.lexsort((s, c))[: k - math.ceil(SIMILAR * k - 1e-9) + 1]
+                met = np.flatnonzero(c[first] > 1)  # a shingle met once joins nothing
+                keys.append(s[first[met]])
+                at.append(met)
+                of.append(np.full(len(met), h))
+                n.append(np.full(len(met), k))
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys), "c": np.concatenate(of), "n": np.concatenate(n).astype(np.int32), "at": np.concatenate(at).astype(np.int32)})
+
+    # equal own words have equal rows; one shuffle by key serves the grouping and both sides of the join
+    filed = prints.select("h1", "s").mapInPandas(run, "key long, c long, n int, at int").repartition("key").groupBy("key", "c").agg(F.first("n").alias("n"), F.first("at").alias("at"))
     a, b = filed.alias("a"), filed.alias("b")
     needed = F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-6)
     on = (
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.vid") < F.col("b.vid"))
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c"))
         & (F.least("a.n", "b.n") >= F.lit(SIMILAR) * F.greatest("a.n", "b.n") - F.lit(1e-6))
         & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= needed)
     )
-    return a.join(b, on).select(F.col("a.vid").alias("a"), F.col("b.vid").alias("b")).distinct()
+    met = staged(a.join(b, on).select(F.col("a.c").alias("ha"), F.col("b.c").alias("hb")).distinct(), "prefixes")
+    named = classes.select(F.col("h1"), F.col("vid"))
+    both = met.join(named.withColumnsRenamed({"h1": "ha", "vid": "x"}), "ha").join(named.withColumnsRenamed({"h1": "hb", "vid": "y"}), "hb")
+    return both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of SIMILAR or more."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(prints.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("vid"), "s"), "shingles")
+    sets = staged(prints.select("doc_id", "s").join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("vid"), "s"), "shingles")
     both = (
         pairs.join(sets.select(F.col("vid").alias("a"), F.col("s").alias("sa")), "a")
         .join(sets.select(F.col("vid").alias("b"), F.col("s").alias("sb")), "b")
@@ -186,11 +186,12 @@ def components(links: DataFrame) -> DataFrame:
     """``node, root`` (the least node of its component) for every node that has a link ``a, b``.
 
     Alternating large-star and small-star rounds; each is written, and rounds end when nothing
-    changes (the number of rounds grows with the logarithm of the component size).
+    changes (their number grows with the logarithm of the component size; none is cut off).
     """
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
-    for _ in range(STAR_ROUNDS):
+    before, state = None, ()
+    while state != before:
+        before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -200,18 +201,49 @@ def components(links: DataFrame) -> DataFrame:
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = staged(small, "stars")
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
     rooted = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     roots = rooted.select(F.col("root").alias("node"), "root").distinct()
     return rooted.unionByName(roots.join(rooted.select("node"), "node", "left_anti"))
 
 
+def keeps_company(prints: DataFrame) -> DataFrame:
+    """``h1`` of the classes all of whose sentences are seeds or became trusted by the company they keep.
+
+    Rounds over (class, sentence) rows: a round trusts every sentence that stands beside a trusted one (or beside
+    furniture) in LEAST classes and in COMPANY of those in which it has company. Sentences that occur in
+    one class only can never be trusted so; they are counted per class and leave the rounds.
+    """
+    lone = F.size("said") + F.col("pieces") > 1
+    rows = (
+        prints.where("size(said) > 0")
+        .select("h1", lone.alias("company"), (F.col("pieces") > 0).alias("piece"), F.explode(F.arrays_zip("said", "lit")).alias("x"))
+        .select("h1", "company", "piece", F.col("x.said").alias("k"), F.col("x.lit").alias("lit")).distinct()
+    )
+    rows = staged(rows, "sentences")
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("classes"), F.count_if("company").alias("beside"), F.max("lit").alias("lit"))
+    counts = staged(counts.where(F.col("lit") | (F.col("classes") >= LEAST)), "counts")
+    shared = staged(rows.join(counts.select("k"), "k", "left_semi").select("h1", "piece", "k"), "shared")
+    trusted = counts.where("lit").select("k")
+    while True:
+        trusted = staged(trusted, "trusted")
+        held = shared.join(trusted, "k", "left_semi").select("h1").distinct()
+        other = shared.join(trusted, "k", "left_anti")
+        seen = other.where("piece").select("h1", "k").unionByName(other.where("not piece").join(held, "h1", "left_semi").select("h1", "k"))
+        met = seen.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+        new = staged(met.join(counts, "k").where((F.col("c") >= LEAST) & (F.col("c") >= COMPANY * F.col("beside"))).select("k"), "newly")
+        if new.isEmpty():
+            break
+        trusted = trusted.unionByName(new)
+    # every sentence of the class is trusted
+    wanted = prints.where("size(said) > 0").select("h1", F.size("said").alias("n")).distinct()
+    has = shared.join(trusted, "k", "left_semi").groupBy("h1").agg(F.count(F.lit(1)).alias("c"))
+    return wanted.join(has, "h1").where("n = c").select("h1")
+
+
 def travelled(placed: DataFrame, docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
-    """``vid`` of the classes that the exact check accepts as what the trusted classes of their component are."""
-    mixed = placed.groupBy("class_id").agg(F.max("trusted").alias("some"), F.min("trusted").alias("every")).where("some and not every")
-    members = staged(placed.join(mixed, "class_id", "left_semi").select("vid", "class_id", "trusted", "template"), "members")
+    """``vid`` of the classes that the exact check accepts as what the residue of their component is."""
+    mixed = placed.groupBy("class_id").agg(F.max("told").alias("some"), F.min("told").alias("every")).where("some and not every")
+    members = staged(placed.join(mixed, "class_id", "left_semi").select("vid", "class_id", "told", "template"), "members")
     if members.isEmpty():
         return members.select("vid")
     rows = docs.select(doc_id.alias("vid"), text.alias("text")).join(members, "vid")
@@ -223,7 +255,7 @@ def travelled(placed: DataFrame, docs: DataFrame, doc_id: Column, text: Column)
             for c, template, t in zip(pdf["class_id"], pdf["template"], pdf["text"]):
                 own = own_words(t)
                 # a template part may stand in a post of real sentences: those are no evidence
-                out |= {(c, "slot", *s) for s in slots(own)} if template else {(c, "said", s, "", "") for s in sentences(own)[0]}
+                out |= {(c, "slot", *s) for s in slots(own)} if template else {(c, "said", s, "", "") for s in sentences(own)}
             yield pd.DataFrame(sorted(out), columns=["class_id", "kind", "x", "y", "z"])
 
     def accept(key, left, right):
@@ -232,43 +264,43 @@ def travelled(placed: DataFrame, docs: DataFrame, doc_id: Column, text: Column)
         good = []
         for vid, t in zip(right["vid"], right["text"]):
             own = own_words(t)
-            if (parts and holds_slot(own, parts)) or (said and all(says_the_same(s, said) for s in sentences(own)[1])):
+            if (parts and holds_slot(own, parts)) or (said and all(says_the_same(s, said) for s in sentences(own))):
                 good.append(vid)
         return pd.DataFrame({"vid": good})
 
-    seen = rows.where("trusted").mapInPandas(evidence, f"class_id {id_type}, kind string, x string, y string, z string").distinct()
-    asked = rows.where("not trusted").select("class_id", "vid", "text")
+    seen = rows.where("told").mapInPandas(evidence, f"class_id {id_type}, kind string, x string, y string, z string").distinct()
+    asked = rows.where("not told").select("class_id", "vid", "text")
     return seen.groupBy("class_id").cogroup(asked.groupBy("class_id")).applyInPandas(accept, f"vid {id_type}")
 
 
 def classify(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
-    """One row per post with own words: ``doc_id, class_id, links, trusted, residue``.
+    """One row per post with own words: ``doc_id, class_id, links, trusted, residue, reason``.
 
     ``class_id`` is the least post id of the connected component, ``links`` the number of verified
-    links of the post's class to classes with other words, ``trusted`` whether the rules alone
-    decide, ``residue`` the verdict. Null texts, and posts that only quote, have no row; post ids must
+    links of the post's class to classes with other words, ``trusted`` whether the seeds alone
+    decide, ``residue`` the verdict, ``reason`` how it came: "seed", "company" (sentences), "component" (links) or null.
+    Null texts, and posts that only quote, have no row; post ids must
     be unique; repeated texts are posts of their own; empty in, empty out.
     """
     prints = staged(fingerprints(docs, doc_id, text), "prints")
+    alone = F.col("template") | ((F.size("said") > 0) & F.forall("lit", lambda x: x))
+    kept = keeps_company(prints).distinct().withColumn("kept", F.lit(True))
     classes = staged(
-        prints.groupBy("h1", "h2").agg(
-            F.min("doc_id").alias("vid"), F.first("sim").alias("sim"), F.max("template").alias("template"), F.max("share").alias("share")
-        ).withColumn("trusted", F.col("template") | (F.col("share") >= 1.0)),
+        prints.select("h1", "h2", "doc_id", "sim", F.size("s").alias("n"), "template", alone.alias("trusted")).groupBy("h1", "h2")
+        .agg(F.min("doc_id").alias("vid"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.max("template").alias("template"), F.max("trusted").alias("trusted"))
+        .join(kept, "h1", "left").withColumn("told", F.col("trusted") | F.coalesce("kept", F.lit(False))).drop("kept"),
         "classes",
     )
-    pairs = staged(near_pairs(classes).unionByName(prefix_pairs(prints)).distinct(), "pairs")
+    pairs = staged(near_pairs(classes).unionByName(prefix_pairs(prints, classes)).distinct(), "pairs")
     links = staged(verified(pairs, prints), "verified")
     comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     placed = staged(
-        classes.join(comp, classes["vid"] == comp["node"], "left").drop("node").join(degree, F.col("vid") == F.col("node"), "left")
-        .select("vid", "h1", "h2", "template", "share", "trusted", F.coalesce("root", "vid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")),
+        classes.drop("sim", "n").join(comp, classes["vid"] == comp["node"], "left").drop("node").join(degree, F.col("vid") == F.col("node"), "left")
+        .select("vid", "h1", "h2", "template", "trusted", "told", F.coalesce("root", "vid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")),
         "placed",
     )
-    marked = placed.where("trusted").select("class_id").distinct().withColumn("spread", F.lit(True))
-    told = travelled(placed, docs, doc_id, text).withColumn("told", F.lit(True))
-    spread, told_so = F.coalesce("spread", F.lit(False)), F.coalesce("told", F.lit(False))
-    verdict = placed.join(marked, "class_id", "left").join(told, "vid", "left").select(
-        "h1", "h2", "class_id", "links", "trusted", (F.col("trusted") | told_so | (spread & (F.col("share") >= KNOWN))).alias("residue"),
-    )
-    return prints.select("doc_id", "h1", "h2").join(verdict, ["h1", "h2"]).select("doc_id", "class_id", "links", "trusted", "residue")
+    linked = travelled(placed, docs, doc_id, text).withColumn("linked", F.lit(True))
+    reason = F.when(F.col("trusted"), "seed").when(F.col("told"), "company").when(F.col("linked"), "component")
+    verdict = placed.join(linked, "vid", "left").select("h1", "h2", "class_id", "links", "trusted", reason.isNotNull().alias("residue"), reason.alias("reason"))
+    return prints.select("doc_id", "h1", "h2").join(verdict, ["h1", "h2"]).select("doc_id", "class_id", "links", "trusted", "residue", "reason")

@@ -1,88 +1,66 @@
-"""What a post's own words must look like to be trusted as template residue or as no content at all."""
+"""Seeds: what can be trusted, by its shape alone, as template residue or as a message of a page.
+
+The rules know shapes, not sentences: delimiters of template parts, status codes with their phrases,
+"enable / requires" with "scripts / cookies", the vocabulary of dummy text. Which other sentences are
+messages is learned from the company they keep (``residue``).
+"""
 
 from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
 
-# Cited text does not count: between quotation marks or backticks.
-_CITED = re.compile(r"\"[^\"\n]{1,120}\"|“[^”\n]{1,120}[”\"]|„[^“”\n]{1,120}[“”\"]|«[^»\n]{1,120}»|`[^`\n]{1,120}`|‘[^’\n]{1,120}’|‚[^‘’\n]{1,120}[‘’]|'[^\w\s]{1,3}[^'\n]{1,60}[^\w\s]{1,3}'")
+import numpy as np
+
+from chronoloom.llm.textprint import Prints, vocabulary
+
+# Cited text does not count: between quotation marks or backticks, on one line.
+_CITED = re.compile(r"\"[^\"\n]+\"|“[^”\n]+[”\"]|„[^“”\n]+[“”\"]|«[^»\n]+»|`[^`\n]+`|‘[^’\n]+’|‚[^‘’\n]+[‘’]|'[^\w\s]+[^'\n]+[^\w\s]'")
 
-# Shapes of template parts that were never filled in.
+# Names of template fields that stand in plain brackets (fixed values).
+_FIELD = r"(?:(?:first|last|user|board|company|product|order|your) ?)?(?:name|id|user|member|date|title|subject|amount|board|city|code|company|currency|expiry|link|price|product|reason|season|thread|ticket|number|email|phone|address)"
+# Delimiters of template parts that were never filled in.
 _PART = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|<%[^%\n]{1,60}%>|\$\{[^{}\n]{1,60}\}|\{![^{}\n]{1,60}\}"
-    r"|\{ ?[^\W\d][\w. ]{0,40} ?\}|\{\d\}|\{[^{}|\n]{1,40}(?:\|[^{}|\n]{1,40})+\}"
-    r"|%%[^\W\d][\w. ]{0,40}%%|(?<![\w%])%[^\W\d][\w.]{2,40}%|(?<![\w#])#[^\W\d][\w. ]{1,40}#|@@[^\W\d][\w. ]{0,40}@@"
-    r"|(?<!\w)__[^\W\d_][\w. ]{0,40}__(?!\w)|\*\|[^|\n]{1,40}\|\*|\[\[[^\[\]\n]{1,60}\]\]|\(\([^\W\d][^()\n]{0,40}\)\)|<<[^<>\n]{2,60}>>"
-    r"|<[^\W\d][\w. ]{1,40}>"
-    r"|\[(?i:your|insert|enter|add|hier|votre|su|tu|ihr|insérer|insertar)\b[^\]\n]{1,60}\]|\[[A-Z][A-Z]+(?:[_ ][A-Z]+)*\]|\[[a-z]+(?:_[a-z]+)+\]"
-    r"|\[(?i:name|first ?name|last ?name|user ?name|user|member|date|title|subject|amount|board|city|code|company|currency|expiry|link|price|product|reason|season|thread|ticket|order ?id)\]"
-    r"|\((?:name|board name|date|title|amount|company|product)(?: goes here)?\)"
-    r"|\bMERGEFIELD\b|\b[A-Z]{3,}_[A-Z_]*[A-Z](?:_?\d)?\b|\bXXXX+\b|\bDD/MM/YYYY\b|\bTT\.MM\.JJJJ\b|\bJJ/MM/AAAA\b|\bDD/MM/AAAA\b|NaN/NaN|\[object Object\]"
-    r"|\b(?:FIRSTNAME|LASTNAME|ANREDE|NACHNAME|VORNAME|PRENOM|PRÉNOM|NOMBRE APELLIDO|APELLIDO)\b"
-    r"|\b(?:hello|hi|dear|by|hallo|hola|bonjour) (?:null|undefined)\b|\byou have undefined\b"
-    r"|(?<![\w%])%(?:\d+\$)?(?:\.\d+)?[sdf]\b"
+    r"\{\{[^{}\n]+\}\}|\{%[^%\n]+%\}|<%[^%\n]+%>|\$\{[^{}\n]+\}|\{![^{}\n]+\}"
+    r"|\{ ?[^\W\d][\w. -]*\}|\{\d+\}|\{[^{}|\n]+(?:\|[^{}|\n]+)+\}"
+    r"|%%[^\W\d][\w. ]*%%|(?<![\w%])%[^\W\d][\w.]{2,}%|(?<![\w#])#[^\W\d][\w. ]+#|@@[^\W\d][\w. ]*@@"
+    r"|(?<!\w)__[^\W\d_][\w. ]*__(?!\w)|\*\|[^|\n]+\|\*|\[\[[^\[\]\n]+\]\]|\(\([^\W\d][^()\n]*\)\)|<<[^<>\n]{2,}>>"
+    r"|(?<![\w<])<[^\W\d][\w. ]+>(?![\w>])"
+    rf"|\[(?i:your|insert|enter|add|hier|votre|su|tu|ihr|insérer|insertar)\b[^\]\n]+\]|\[[A-Z][A-Z]+(?:[_ ][A-Z]+)*\]|\[[a-z]+(?:_[a-z]+)+\]|\[(?i:{_FIELD})\]|\((?i:{_FIELD})(?: goes here)?\)"
+    r"|\bMERGEFIELD\b|\bXXXX+\b|\b(?:DD|MM|YYYY|TT|JJ|JJJJ|AAAA)(?:[/.-](?:DD|MM|YY|YYYY|TT|JJ|JJJJ|AAAA)){2}\b|NaN/NaN|\[object Object\]"
+    r"|(?<![\w%])%(?:\d+\$)?(?:\.\d+)?[sdf]\b[^%\n]*%(?:\d+\$)?(?:\.\d+)?[sdf]\b"
+    r"|\b(?i:hello|hi|dear|by|hallo|hola|bonjour) (?:null|undefined)\b|\b(?:have|has) (?:null|undefined)\b"
+)
+# A field name in capitals where a value belongs: the rest of a line after its label, or the addressee.
+_FIELD_LINE = re.compile(
+    r"^(?:[^\W\d_][\w ]*:\s*)?[A-Z]{2,}(?:_[A-Z\d]+)+\s*[.,:;!]?$"
+    r"|^(?i:dear|hello|hi|hallo|hola|bonjour|estimad[oa](?:/a)?|querid[oa](?:/a)?|cher(?:/ch[eè]re)?|ch[eè]re|sehr geehrte(?:r|s|/r|\(r\))?|liebe(?:r|s|/r|\(r\))?) [^\W\d_a-zß-ÿ]{3,}(?:[ _][^\W\d_a-zß-ÿ]{3,})+\s*[,:!]?$"
+    r"|^(?:TODO|TBD|FIXME)\b ?[:-].*$",
+    re.M,
 )
 # Every shape above holds one of these, which a plain post has not: a cheap first look.
 _HINT = re.compile(r"[{}%#@<\[(*$]|__|[A-Z]{3}|NaN|null|undefined")
-_PART_LINE = re.compile(r"^(?:(?:todo|tbd|fixme)\b ?[:-].{0,60}|\W*(?:your text|insert text)\W*)$", re.I)
 
-_REF = r"(?:[0-9a-f]{4,}|\d+)"
-# Server, error and access messages, one sentence or line each (matched without case).
-_ERROR = re.compile(
-    r"^(?:"
-    r"(?:(?:error|http|status|fehler|erreur)\s*:?\s*\d{3}|\[\d{3}\]|\d{3}|oops!?|sorry\.*)?\s*[:\-–]?\s*"
-    r"(?:(?:page |file )?not found|bad gateway|gateway time-?out|service unavailable|internal server error|too many requests|access denied|forbidden|request blocked|session expired"
-    r"|(?:no|you do not have) permission to view this (?:topic|page|board|thread)|(?:thread|topic|page|board) does not exist)\s*(?:\(code \d{3}\))?"
-    r"|(?:error|http|status|fehler|erreur)\s*:?\s*\d{3}|oops!?|sorry\.*"
-    rf"|(?:request id|référence|referencia|vorgangsnummer|reference)\s*:?\s*{_REF}"
-    rf"|if this keeps happening, tell the administrator(?: and mention reference {_REF})?"
-    r"|down for maintenance|we will be right back|this content is no longer available|it may have been moved or taken down|cached copy could not be loaded"
-    r"|select failed: table '\w+' is marked as crashed|upstream \S+ closed the connection|the board is taking a break, try again in a few minutes|could not connect to the database"
-    r"|the post could not be displayed|your session ran out|log in again|too many requests from your address, slow down|the server did not answer in time"
-    r"|something went wrong on our side|we could not find what you were looking for|uncaught exception in \S+ on line \d+: undefined index '\w+'"
-    r"|no tiene permiso para ver esta sección|no se ha encontrado la página|le serveur ne répond pas, réessayez plus tard|en mantenimiento, volvemos enseguida"
-    r"|wartungsarbeiten, wir sind gleich zurück|la page est introuvable|keine berechtigung für diesen bereich|maintenance en cours, nous revenons vite|el tema ya no existe"
-    r"|vous n'avez pas accès à cette rubrique|das thema ist nicht mehr vorhanden|ce sujet n'existe plus|die seite wurde nicht gefunden|der server antwortet nicht, bitte später erneut versuchen"
-    r"|el servidor no responde, inténtelo más tarde"
-    r")[.!…]*$"
-)
-# Notices that scripts or cookies are required.
-_NOTICE = re.compile(
-    r"^(?:javascript is disabled in your browser|to continue, allow java ?script and disable your content blocker|noscript: switch on scripts for this board"
-    r"|checking your browser before opening the thread|this needs j ?a ?v ?a ?s ?c ?r ?i ?p ?t|you need a browser that supports scripts to read this thread"
-    r"|enable cookies and scripts, then reload the page|loading post|\(requires js\)|loading post\.* \(requires js\)|please (?:enable|activate|turn on) (?:javascript|cookies|scripts)(?: to [\w ]+)?"
-    r"|your browser is out of date or blocks active content|scripting is turned off, so the post cannot be shown|this board needs scripts to run|switch them on and reload"
-    r"|content is loaded by script|if you read this, yours is blocked|dieses forum benötigt skripte und cookies|ce forum a besoin de scripts et de cookies"
-    r"|veuillez activer javascript pour lire ce message|su navegador tiene los scripts desactivados|votre navigateur bloque les scripts|ihr browser führt keine skripte aus"
-    r"|bitte aktivieren sie javascript, um den beitrag zu sehen|este foro necesita scripts y cookies|active javascript para ver este mensaje)[.!…]*$"
-)
-_FILLER = re.compile(
-    r"^(?:your text here|text goes here|placeholder copy for the layout|sample paragraph|replace with your own words|heading (?:one|two|three|\d)|body copy"
-    r"|this is dummy copy to show how a post looks|only a test post, nothing to read|hier steht später der text|blindtext, bitte ersetzen|votre texte ici"
-    r"|texte provisoire à remplacer|texto de ejemplo, se cambiará después|su texto aquí|aquí va el texto|dummy text|sample text)[.!…]*$"
-)
-_FURNITURE = re.compile(
-    r"^(?:home \| boards \| search \| log in|start \| foren \| anmelden|(?:« )?prev(?: \d+)* next(?: »)?|« prev[\d ]*next »|powered by \S+(?: [\d.]+)?|skip to content|menu register faq|back to the front page"
-    r"|inicio \| foros \| \w+|accueil \| forums? \| [\w ]+|(?:[\w ]{2,14} ?[|»·] ?)+[\w ]{2,14})[.!…]*$"
-)
-# The same kinds of messages by their general shape, not by their sentence (each must be the whole sentence).
 _THING = r"(?:web ?)?(?:page|site|file|url|link|resource|document|content|post|message|topic|thread|board|forum|section|image|article|item|app|application|address)s?"
 _WHICH = rf"(?:(?:the|this|that|your|our) )?(?:requested |original )?{_THING}(?: (?:that )?(?:you|we) (?:requested|(?:are|were) (?:looking for|trying to (?:reach|view|open))))?"
 _REASON = (
-    r"(?:bad request|unauthori[sz]ed|authorization required|payment required|forbidden|not found|method not allowed|not acceptable|request time-?out|conflict|gone|length required"
+    rf"(?:bad request|unauthori[sz]ed|authorization required|payment required|forbidden|(?:{_THING} )?not found|{_THING} does not exist|method not allowed|not acceptable|request (?:time-?out|blocked)|conflict|gone|length required"
     r"|payload too large|uri too long|unsupported media type|unprocessable (?:entity|content)|too many requests|internal server error|internal error|not implemented|bad gateway|service (?:temporarily )?unavailable"
-    r"|gateway time-?out|insufficient storage|network authentication required|access denied|permission denied|connection (?:timed out|refused|reset|closed)|database error|server error|fatal error)"
+    r"|gateway time-?out|insufficient storage|network authentication required|access denied|permission denied|session (?:expired|timed out)|connection (?:timed out|refused|reset|closed)|database error|server error|fatal error)"
 )
 _STATUS = r"(?:error|http(?:/\d(?:\.\d)?)?|status|code|fehler|erreur)"
-_ERROR_SHAPE = re.compile(
-    # a status code and its phrase, or "error:" and a phrase; a phrase alone could be a member's answer
+_ERROR = re.compile(
+    # a status code with its phrase, or a label and a phrase; a phrase alone could be a member's answer
     rf"^(?:{_STATUS}[ :#-]*)*\(?\[?[1-5]\d\d\]?\)?\s*[:|–-]?\s*{_REASON}[.!…]*$"
     rf"|^(?:{_STATUS}[ :#-]*)*{_REASON}\s*[(\[:–-]*\s*(?:{_STATUS}\s*:?\s*)*[1-5]\d\d[)\]]?[.!…]*$"
-    rf"|^(?:{_STATUS}\s*[:#–-]\s*)+{_REASON}[.!…]*$"
+    rf"|^(?:{_STATUS}\s*[:#–-]\s*)+{_REASON}[.!…]*$|^{_STATUS}\s*:?\s*[1-5]\d\d[.!…]*$"
+    # one word and a reference
+    r"|^[^\W\d_]+(?: ?id)?\s*[:#]?\s*(?=[0-9a-f-]*\d)(?=[0-9a-f-]*[a-f])[0-9a-f-]{5,}[.!…]*$|^(?:request|session|incident|trace|ray) ?id\s*:?\s*[0-9a-f-]*\d[0-9a-f-]*[.!…]*$"
     # what was asked for is not there (removed posts are no cases)
     rf"|^(?:(?:we(?:'re| are) )?sorry[,.!:-]? ?(?:but )?)?{_WHICH} (?:(?:(?:is|was|are|were|has|have|can|could|does|do|did)(?:n't| not| no longer)|cannot)(?: (?:been|be|currently|yet))* (?:found|exist|available|displayed|loaded|shown|opened|reached|respond|responding)"
-    r"|(?:is|are) (?:(?:currently|temporarily|permanently) )?(?:unavailable|offline))[.!…]*$"
+    r"|(?:is|are) (?:(?:currently|temporarily|permanently) )?(?:unavailable|offline))(?: (?:on|at|in) (?:this|the|our) (?:web ?)?(?:site|server|board|forum))?[.!…]*$"
+    r"|^(?:(?:we(?:'re| are) )?sorry[,.!:-]? ?(?:but )?)?(?:the|this) (?:requested )?(?:url|page|file|resource)(?: \S+)? was not found on (?:this|the|our) server[.!…]*$"
+    rf"|^(?:(?:we(?:'re| are) )?sorry[,.!:-]? ?(?:but )?)?{_WHICH} (?:could not|cannot|can't|couldn't) be (?:located|retrieved|processed|completed)[.!…]*$"
     rf"|^(?:(?:sorry|oops)[,.!:-]? ?)?you (?:do not|don't|are not|aren't) (?:have (?:the )?(?:permission|access|rights?)|allowed|authori[sz]ed|permitted) (?:to )?(?:(?:view|see|read|access|open|enter) )?{_WHICH}[.!…]*$"
     r"|^(?:the|this|our|upstream) (?:web |database |origin )?(?:server|database|service) (?:(?:is|was|did|has|does)(?:n't| not)(?: (?:been|currently))* (?:available|respond(?:ing)?|answer(?:ing)?)|(?:is|was) (?:(?:currently|temporarily) )?(?:unavailable|overloaded))"
     r"(?: in time)?(?:[,;.]? (?:please )?try again (?:later|soon|in a few (?:minutes|moments)))?[.!…]*$"
@@ -90,61 +68,80 @@ _ERROR_SHAPE = re.compile(
 _SCRIPTS = r"(?:(?:your )?(?:browser(?:'s)? )?(?:java ?script|js|cookies?|scripts?|scripting)(?: (?:and|or|&) (?:java ?script|js|cookies?|scripts?|scripting))*)"
 _IN_BROWSER = r"(?: support)?(?: (?:in|on|by|for) (?:your|this|the) (?:web )?browser(?: settings)?)?"
 _USE = rf"(?:run|view|see|use|read|continue|proceed|display|load|reload|access|open|visit|enter|refresh|try again)(?: (?:to|with|using))?(?: {_WHICH})?"
-_NOTICE_SHAPE = re.compile(
+_NOTICE = re.compile(
     rf"^(?:sorry[,.!:-]? ?)?(?:(?:please|you (?:need|have) to|you must|to (?:continue|proceed|{_USE}),?(?: (?:please|you (?:need|have) to|you must))?) )(?:enable|activate|allow|accept|turn on|switch on) {_SCRIPTS}{_IN_BROWSER}(?:,? (?:(?:in order )?to|and(?: then)?|then|before) (?:you (?:can )?)?{_USE})?[.!…]*$"
+    rf"|^to (?:continue|proceed|{_USE}),? (?:please )?(?:enable|activate|allow|accept|turn on|switch on) {_SCRIPTS}\b[^.!?]*[.!…]*$"
+    rf"|^you (?:must|need to|have to) have {_SCRIPTS} (?:enabled|turned on|switched on|activated)(?: (?:to|in order to) {_USE})?[.!…]*$"
     rf"|^(?:enable|activate|turn on|switch on) {_SCRIPTS}{_IN_BROWSER},? (?:(?:in order )?to|and(?: then)?|then) {_USE}[.!…]*$"
     rf"|^{_WHICH} (?:needs?|requires?|works? only with|does not work without|doesn't work without|cannot be (?:shown|displayed) without) {_SCRIPTS}(?: (?:enabled|to (?:be (?:enabled|on)|{_USE}|work|function)))?{_IN_BROWSER}[.!…]*$"
     rf"|^(?:it (?:seems|looks like|appears) (?:that )?)?{_SCRIPTS} (?:(?:is|are|seems? to be|appears? to be)(?: currently)? (?:required|disabled|blocked|turned off|switched off|not (?:enabled|supported|available))|(?:must|needs? to|has to|have to) be (?:enabled|allowed|turned on|switched on))"
     rf"{_IN_BROWSER}(?: (?:to|for) (?:{_USE}|{_WHICH}))?[.!…]*$"
     rf"|^your (?:web )?browser (?:does not|doesn't|did not) (?:support|allow|accept|run) {_SCRIPTS}[.!…]*$"
+    # the polite imperative of other languages
+    r"|^(?:bitte )?(?:aktivieren|erlauben) sie (?:java ?script|skripte|cookies)\b[^.!?]*[.!…]*$|^veuillez (?:activer|autoriser) (?:java ?script|les scripts|les cookies)\b[^.!?]*[.!…]*$|^(?:por favor,? )?(?:active|habilite) (?:java ?script|las cookies|los scripts)\b[^.!?]*[.!…]*$"
 )
-# Every general shape holds one of these: a cheap first look.
-_SHAPE_HINT = re.compile(
-    r"script|scripting|\bjs\b|cookie|bad request|unauthori|authorization|permi|forbidden|found|not a|not imp|conflict|gone|required|too |unsupported|unprocess|error|gateway|unavailable|storage|denied|connection|time-?out"
-    r"|exist|available|displayed|loaded|shown|opened|reached|removed|deleted|moved|respond|offline|access|right|allowed|authori|answer|overload|down"
-)
-# Filler words (fixed values): the vocabulary of dummy text, keyboard runs and stand-ins.
+_FILLER = re.compile(r"^(?:(?:your|sample|dummy|placeholder|example) (?:text|copy|paragraph|heading|title|content)(?: (?:goes )?here| for .*)?|(?:text|title|heading|content) goes here|(?:votre|su|tu|ihr) (?:texte|texto|text) (?:ici|aquí|hier))[.!…]*$")
+# Page furniture: navigation words (fixed values) and lines of short items between bars.
+_NAVIGATION = frozenset("home menu start search login register registrieren faq help boards forum forums foren foros accueil inicio anmelden suche connexion entrar prev previous next zurück weiter log in sign up".split())
+_ITEMS = re.compile(r"^(?:\W*[^\W_]+(?: [^\W_]+){0,2}\W*[|»·]\s*)+\W*[^\W_]+(?: [^\W_]+){0,2}\W*$|^powered by \S+(?: [\d.]+)?\W*$|^(?:skip|jump) to (?:main )?content\W*$|^back to (?:the )?(?:top|front page|home ?page|start|index)\W*$")
+# Dummy text: the vocabulary of the Latin filler, rows of keys, and stand-ins (fixed values).
 _LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
     "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur "
     "excepteur sint occaecat cupidatat non proident porta sunt culpa qui officia deserunt mollit anim id est laborum mauris vitae viverra nunc pellentesque".split()
 )
-_MASH = frozenset("asdf asdfg asdfgh asdfghjkl jkl hjkl jklö qwer qwert qwerty qwertz azerty yxcv zxcv foo bar baz foobar blah bla xxx zzz xyz abc test testing sample text aaa".split())
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
-_WORD = re.compile(r"[^\W\d_]+")
+_ROWS = ("qwertyuiop", "qwertzuiopü", "azertyuiop", "asdfghjkl", "asdfghjklöä", "zxcvbnm", "yxcvbnm", "abcdefghijklmnopqrstuvwxyz")
+_STAND_IN = frozenset("foo bar baz foobar blah bla test testing sample text".split())
+_WORD = re.compile(r"[^\W_]+")
+# Every message, notice or piece of furniture holds one of these words or signs ("0": any number).
+_LOOK = (
+    "java javascript js script scripts scripting skripte cookie cookies error http status code fehler erreur id found exist available displayed loaded shown opened reached respond responding unavailable offline "
+    "located retrieved processed completed permission access allowed authorized authorised permitted right rights answer answering answered overloaded denied text texte texto copy paragraph heading title content "
+    "request unauthorized unauthorised forbidden gateway expired timed connection database server conflict gone implemented acceptable required large unsupported unprocessable insufficient 0 powered skip jump back | » · « »"
+).split()
+
+
+def vocabularies() -> list[np.ndarray]:
+    """Token hashes of the words to look for, of Latin filler, of stand-ins and runs of keys, numbers, and navigation."""
+    runs = {row[a:b] for row in _ROWS for a in range(len(row)) for b in range(a + 3, len(row) + 1)}
+    return [vocabulary(v) for v in (_LOOK, _LATIN, _STAND_IN | runs, ["0"], _NAVIGATION)]
 
 
 def template_part(own: str) -> bool:
     """True if uncited own words hold a template part that was never filled in."""
-    hinted = _HINT.search(own)
-    t = _CITED.sub(" ", own) if hinted else own
-    return bool(hinted and _PART.search(t)) or any(_PART_LINE.match(x) for x in t.split("\n"))
-
-
-def known_share(own: str) -> float:
-    """Share (by characters) of the own words, furniture aside, that is filler, error message or notice; 0.0 below a half."""
-    known = total = 0
-    most = len(own) / 2
-    for line in own.split("\n"):
-        low = line.lower().strip()
-        if not low or _FURNITURE.match(low):
-            continue
-        if _known(low):
-            known, total = known + len(low), total + len(low)
-            continue
-        for part in _SENTENCE.split(low):
-            part = part.strip()
-            if part and not _FURNITURE.match(part):
-                total += len(part)
-                known += len(part) if _known(part) else 0
-        if total - known > most:  # at least half is unknown whatever follows
-            return 0.0
-    return known / total if total else 0.0
+    if not _HINT.search(own):
+        return False
+    t = _CITED.sub(" ", own)
+    return bool(_PART.search(t) or _FIELD_LINE.search(t))
+
+
+def furniture(segment: str) -> bool:
+    """True for a piece of page furniture (lower case): navigation, pagers, credits."""
+    if _ITEMS.match(segment):
+        return True
+    words = _WORD.findall(segment)
+    return len(words) >= 2 and all(w in _NAVIGATION or w.isdigit() for w in words) and sum(w in _NAVIGATION for w in words) >= 2
+
+
+def kinds(prints: Prints, joined: str) -> tuple[np.ndarray, np.ndarray]:
+    """Per sentence: whether it is a seed (message, notice or filler by its shape alone), and whether it is furniture."""
+    look, latin, stand, numbers, navigation = prints.hits
+    mashed = np.minimum(stand + prints.runs, prints.words - numbers)  # a word may be a run of keys and of one letter
+    seeds = ((latin >= 3) & (latin >= 0.8 * prints.words)) | ((mashed + numbers >= prints.words) & (4 * mashed >= prints.words))
+    pieces = (navigation >= 2) & (navigation + numbers >= prints.words)
+    for k in np.flatnonzero((look > 0) & ~seeds & ~pieces):
+        s = joined[prints.begin[k] : prints.end[k]]
+        if _ITEMS.match(s):
+            pieces[k] = True
+        elif _ERROR.match(s) or _NOTICE.match(s) or _FILLER.match(s):
+            seeds[k] = True
+    return seeds & ~pieces, pieces
 
 
 # What marks a slot of a template: symbols, not the brackets and stops of plain writing.
 _SYMBOL = r"[{}\[\]<>%$#@|~^*_=+/\\:!&§]"
 _LETTERS = re.compile(r"[^\W_]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 # A member speaking: no message that came with the page (fixed values).
 _PERSONAL = frozenset("i my me mine im ive ich mein meine meinen mir mich je mon ma mes moi yo mi mis me".split())
 ALIKE = 0.8
@@ -157,7 +154,8 @@ def slots(own: str) -> set[tuple[str, str, str]]:
 
 
 def _around(t: str, start: int, end: int) -> tuple[str, str, str]:
-    before, after = _LETTERS.findall(t[max(0, start - 60) : start]), _LETTERS.findall(t[end : end + 60])
+    line, stop = t.rfind("\n", 0, start) + 1, t.find("\n", end)
+    before, after = _LETTERS.findall(t[line:start]), _LETTERS.findall(t[end : stop if stop >= 0 else len(t)])
     return (before[-1].lower() if before else "", " ".join(_LETTERS.findall(t[start:end])).lower(), after[0].lower() if after else "")
 
 
@@ -173,20 +171,10 @@ def holds_slot(own: str, known: set[tuple[str, str, str]]) -> bool:
     return False
 
 
-def sentences(own: str) -> tuple[set[str], set[str]]:
-    """Sentences (lower case, furniture aside) that the rules know, and those they do not."""
-    known, other = set(), set()
-    for line in own.split("\n"):
-        low = line.lower().strip()
-        if not low or _FURNITURE.match(low):
-            continue
-        if _known(low):
-            known.add(low)
-            continue
-        for part in map(str.strip, _SENTENCE.split(low)):
-            if part and not _FURNITURE.match(part):
-                (known if _known(part) else other).add(part)
-    return known, other
+def sentences(own: str) -> set[str]:
+    """Sentences of own words, lower case, furniture aside."""
+    parts = (p.strip() for p in _SENTENCE.split(own.lower()))
+    return {p for p in parts if p and not furniture(p)}
 
 
 def says_the_same(sentence: str, known: set[str]) -> bool:
@@ -201,15 +189,3 @@ def says_the_same(sentence: str, known: set[str]) -> bool:
         if SequenceMatcher(None, words, theirs, autojunk=False).ratio() >= ALIKE:
             return True
     return False
-
-
-def _known(low: str) -> bool:
-    if _ERROR.match(low) or _NOTICE.match(low) or _FILLER.match(low):
-        return True
-    if len(low) <= 160 and _SHAPE_HINT.search(low) and (_ERROR_SHAPE.match(low) or _NOTICE_SHAPE.match(low)):
-        return True
-    words = _WORD.findall(low)
-    if not words:
-        return False
-    latin = sum(w in _LATIN for w in words)
-    return (latin >= 0.8 * len(words) and latin >= 3) or all(w in _MASH for w in words)

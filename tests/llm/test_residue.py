@@ -1,12 +1,13 @@
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.llm import residue, tokens
+from chronoloom.llm import residue_rules as rules
 from chronoloom.llm.ownwords import own_words
-from chronoloom.llm.residue_rules import known_share, template_part
+from chronoloom.llm.residue_rules import holds_slot, slots, template_part
+from chronoloom.llm.textprint import fingerprint
 
 OWN = [
     ("anna wrote:\n> Page not found\n\nI fixed it.", "I fixed it."),
@@ -44,26 +45,54 @@ def test_not_template(text):
     assert not template_part(own_words(text))
 
 
+def seeds(text):
+    """Sentences, whether each is a seed, and whether it is furniture, furniture first dropped."""
+    joined = own_words(text).lower() + "\0"
+    p = fingerprint(joined, rules.vocabularies())
+    seed, piece = rules.kinds(p, joined)
+    return [bool(x) for x, y in zip(seed, piece) if not y]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Error 404", "Request id 5340d9", "status: 502", "HTTP 502 Bad Gateway", "Error: 401 Unauthorized", "503 Service Temporarily Unavailable", "The requested page could not be found.", "The page you are looking for does not exist.",
+     "You are not authorized to view this page.", "The server is temporarily unavailable, please try again later.", "The requested URL was not found on this server.", "Sorry, the page you requested could not be located.", "You must have JavaScript turned on to use this site.",
+     "You need to enable JavaScript to run this app.", "Please enable cookies in your browser and reload the page.", "This site requires JavaScript to be enabled.", "JavaScript is required to view this page.", "Your browser does not support JavaScript.",
+     "Lorem ipsum dolor sit amet, consectetur elit.", "asdf asdf asdf", "qwertz qwertz", "zzzzzzzzzzzz", "testing 1 2 3", "Your text here."],
+)
+def test_seeds(text):
+    assert all(seeds(text)) and seeds(text)
+
+
 @pytest.mark.parametrize(
-    "text,share",
-    [("Error 404\nDown for maintenance. We will be right back.\nRequest id 5340d9", 1), ("Home | Boards | Search | Log in\nPage not found (code 500)", 1), ("PAGE NOT FOUND", 1), ("Lorem ipsum dolor sit amet, consectetur elit.", 1),
-     ("asdf asdf asdf", 1), ("This needs J a v a S c r i p t.", 1), ("Your text here. Votre texte ici.", 1), ("Menu Register FAQ", 0), ("Error 404 again last night, the host says it was a disk.", 0), ("I got page not found and then it worked.", 0), ("[deleted]", 0), ("", 0)],
+    "text",
+    ["You have to enable JavaScript for the chart tab, otherwise it stays white.", "Cookies must be on for the login, I had blocked them and lost an evening.", "Error 401 again last night, the host says it was a disk.", "My export script threw a 429 for an hour.",
+     "Gone.", "Conflict.", "This post was removed.", "The image was found.", "JavaScript is enabled in your browser.", "I enabled JavaScript and the page is back.", "Set HTTP_PROXY before you start the build.", "Use List<String> or Optional<Order> here.", "1 2 3", "[deleted]", "I got page not found and then it worked."],
 )
-def test_known_share(text, share):
-    assert known_share(own_words(text)) == share
+def test_members_are_no_seeds(text):
+    assert not any(seeds(text)) and not template_part(own_words(text))
+
+
+@pytest.mark.parametrize("text", ["Home | Boards | Search | Log in", "« prev 1 2 3 next »", "Powered by boardware 4", "Menu Register FAQ", "Skip to content", "Back to the front page"])
+def test_furniture(text):
+    assert seeds(text) == []
+
 
+def test_template_shapes():
+    for text in ("Hi {customer-first-name}, thanks", "Dear " + "{{" + "very long field name " * 20 + "}}", "Re: SUBJECT_LINE", "Estimado/a NOMBRE APELLIDO:", "Sehr geehrte(r) ANREDE NACHNAME,"):
+        assert template_part(text)
+    assert not template_part('It said "' + "a long citation " * 20 + '{{NAME}}" there')
 
-@pytest.mark.parametrize("bucket", [16, 1e-4, 1e-9])
-def test_simhash_tables_lose_no_pair(spark, monkeypatch, bucket):
-    monkeypatch.setattr(residue, "BUCKET", bucket)
-    rnd = random.Random(0)
-    sims = [rnd.getrandbits(64) for _ in range(40)]
-    for s in sims[:40]:
-        for k in (0, 1, 3, 4, 5, 6):
-            sims.append(s ^ sum(1 << b for b in rnd.sample(range(64), k)))
-    rows = [(i, int(np.array([s], dtype=np.uint64).view(np.int64)[0])) for i, s in enumerate(sims)]
-    got = {(r.a, r.b) for r in residue.near_pairs(spark.createDataFrame(rows, "vid long, sim long")).collect()}
-    assert got == {(i, j) for i in range(len(sims)) for j in range(i + 1, len(sims)) if bin(sims[i] ^ sims[j]).count("1") <= 5}
+
+def test_fingerprints_do_not_depend_on_the_batch():
+    texts = ["", "one", "one two", "a b c d e", "Down for maintenance .", "down  for maintenance.", "12 apples", "7 apples", "x" * 5000, "Ärger! 🙂 ok.\nzwei"]
+    whole = fingerprint("\0".join(t.lower() for t in texts) + "\0")
+    assert whole.texts.tolist() == list(range(1, 10))
+    for i, n in enumerate(whole.texts):
+        one = fingerprint(texts[n].lower() + "\0")
+        assert (one.h1[0], one.h2[0], one.sim[0]) == (whole.h1[i], whole.h2[i], whole.sim[i])
+        assert one.shingles[0].tolist() == whole.shingles[i].tolist() and one.sentence.tolist() == whole.sentence[whole.owner == i].tolist()
+    assert whole.h1[3] == whole.h1[4] and whole.h1[5] == whole.h1[6] and len(set(whole.h1.tolist())) == 7 and fingerprint("").texts.size == 0
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -85,30 +114,104 @@ def test_components_against_union_find(spark, seed):
     assert got == {x: find(x) for x in parent}
 
 
-KNOWN_LINES = [
-    "Error 404", "Down for maintenance. We will be right back.", "This content is no longer available.", "It may have been moved or taken down.", "Cached copy could not be loaded.", "SELECT failed: table 'posts_7' is marked as crashed",
-    "upstream edge-12 closed the connection", "The board is taking a break, try again in a few minutes.", "Could not connect to the database.", "You do not have permission to view this topic.", "The post could not be displayed.",
-    "Your session ran out. Log in again.", "Too many requests from your address, slow down.", "The server did not answer in time.", "Something went wrong on our side.", "We could not find what you were looking for.",
-    "If this keeps happening, tell the administrator and mention reference ccd45f.", "No tiene permiso para ver esta sección.", "Le serveur ne répond pas, réessayez plus tard.", "Die Seite wurde nicht gefunden.", "Das Thema ist nicht mehr vorhanden.",
-    "JavaScript is disabled in your browser.", "You need a browser that supports scripts to read this thread.", "Your browser is out of date or blocks active content.", "Scripting is turned off, so the post cannot be shown.",
-]
+def verdicts(spark, docs):
+    rows = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, h1 string")
+    return {r.doc_id: r for r in residue.classify(rows, F.col("doc_id"), F.col("text")).collect()}
 
 
 def test_classify(spark):
     body = " ".join(f"word{i % 17}x the server did not answer in time" for i in range(30))
-    page = "".join(f"{a}\n" for a in KNOWN_LINES)
     docs = [
-        (1, "Error 404"), (2, "error 404"), (3, "Page not found (code 500)\n> quoted"), (4, body), (5, None), (6, ""), (7, "> only a quote"), (8, page), (9, page + "So what."), (10, "x" * 200_000), (11, "a b " * 100_000),
+        (1, "Error 404"), (2, "error 404"), (3, "403 Forbidden\n> quoted"), (4, body), (5, None), (6, ""), (7, "> only a quote"), (10, "x y" * 70_000), (11, "a b " * 100_000),
         (12, "Hello {{NAME}}"), (13, "I typed `{{NAME}}` there"), (14, "Error 404"),
     ]
-    got = {r.doc_id: r for r in residue.classify(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, h1 string"), F.col("doc_id"), F.col("text")).collect()}
-    assert {d for d, r in got.items() if r.residue} == {1, 2, 3, 8, 9, 12, 14}
+    got = verdicts(spark, docs)
+    assert {d for d, r in got.items() if r.residue} == {1, 2, 3, 12, 14}
     assert set(got) == {d for d, _ in docs} - {5, 6, 7}
-    assert got[1].class_id == got[14].class_id == 1 and got[9].class_id == 8 and not got[9].trusted and got[9].links == 1
+    assert got[1].class_id == got[14].class_id == 1 and got[1].reason == "seed" and got[4].reason is None
     none = spark.createDataFrame([], "doc_id long, text string")
     assert residue.classify(none, F.col("doc_id"), F.col("text")).count() == 0
 
 
+def test_labels_travel_over_sentences(spark):
+    """A sentence beside trusted ones in two classes is trusted, and so on; a member's sentence keeps other company."""
+    docs = [
+        (1, "Error 404\nThe lights are out here."), (2, "503 Service unavailable\nThe lights are out here."), (3, "The lights are out here."), (4, "The lights are out here.\nCome back when they are on."),
+        (5, "Menu Register FAQ\nCome back when they are on."), (6, "Come back when they are on."), (7, "Error 404\nDoes anyone know why?"), (8, "The pump is wet. Does anyone know why?"), (9, "Nobody came.\nDoes anyone know why?"),
+        (10, "Does anyone know why?"), (11, "Error 404\nOnly here."), (12, "THE LIGHTS ARE OUT HERE ."),
+    ]
+    got = verdicts(spark, docs)
+    assert {d for d, r in got.items() if r.residue} == {1, 2, 3, 4, 5, 6, 12}
+    assert {d for d, r in got.items() if r.reason == "company"} == {1, 2, 3, 4, 5, 6, 12} and got[12].class_id == got[3].class_id == 3
+
+
+# a letter whose words are unlike those of any rule
+LETTER = "the parcel left our depot in the north on monday and the driver will call before noon so please keep a phone close and a door open for the crew with the two long boxes that came from the mill last week and that nobody in the office has looked at since then"
+
+
+def test_template_labels_travel_by_slot(spark):
+    docs = [(1, f"Dear {{{{first name}}}} {LETTER} thank you"), (2, f"Dear ~~first name~~ {LETTER} thank you"), (3, f"Dear Maria {LETTER} thank you"), (4, f"Dear \"~~first name~~\" {LETTER} thank you")]
+    got = verdicts(spark, docs)
+    assert {r.class_id for r in got.values()} == {1}
+    assert {d for d, r in got.items() if r.trusted} == {1} and {d for d, r in got.items() if r.residue} == {1, 2} and got[2].reason == "component"
+
+
+def test_messages_travel_along_links_but_own_sentences_do_not(spark):
+    page = ["Error 404", "The requested page could not be found.", "You are not authorized to view this page.", "The server is temporarily unavailable, please try again later.", "Your browser does not support JavaScript.", "JavaScript is required to view this page."] * 2
+    docs = [(1, "\n".join(page)), (2, "\n".join(page).replace("You are not authorized to view this page.", "You are not really authorized to view this page.", 1)), (3, "\n".join([*page, "I sold the boat."]))]
+    got = verdicts(spark, docs)
+    assert got[2].class_id == got[3].class_id == 1 and got[2].reason == "component" and not got[3].residue
+
+
+def test_slots_need_the_same_place():
+    known = slots("Dear {{NAME}}, thanks")
+    assert known == {("dear", "name", "thanks")}
+    assert holds_slot("Dear ~name~, thanks", known) and not holds_slot("Dear Ann, my ~name~ is", known) and not holds_slot("Dear name, thanks", known)
+
+
+def near_texts(seed):
+    rnd = random.Random(seed)
+    words = [f"{a}{b}{c}" for a in "klmnopqr" for b in "aeiou" for c in "stvwxyz"]
+    docs = []
+    for n in (6, 9, 14, 30, 60, 120, 300):
+        for _ in range(6):
+            base = [rnd.choice(words) for _ in range(n)]
+            docs.append(base)
+            for changes in (1, 1, 2, 3):
+                other = list(base)
+                for _ in range(changes):
+                    other[rnd.randrange(n)] = rnd.choice(words)
+                docs += [other, base + other[:changes], base[changes:]]
+    docs += [["the", "same", "tail", "of", "words"] * 3 + d[:4] for d in docs[:60]]
+    return [(i, " ".join(d)) for i, d in enumerate(docs)] + [(5000 + i, " ".join(d).upper()) for i, d in enumerate(docs[:20])]
+
+
+def test_links_against_brute_force(spark):
+    """The tables alone meet nine of ten pairs of the similarity; with the prefix join none is lost."""
+    rows = near_texts(5)
+    first, sets = {}, {}
+    for i, t in rows:
+        first.setdefault(t.lower(), i)
+    for t, i in first.items():
+        sets[i] = set(fingerprint(t + "\0").shingles[0].tolist())
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = residue.staged(residue.fingerprints(frame, F.col("doc_id"), F.col("text")), "prints")
+    classes = residue.staged(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("vid"), F.first("sim").alias("sim"), F.first(F.size("s")).alias("n")), "classes")
+    exact = {(r.a, r.b) for r in residue.verified(residue.prefix_pairs(prints, classes), prints).collect()}
+    assert exact == want and len(want) > 150
+    met = {(r.a, r.b) for r in residue.near_pairs(classes).collect()}
+    assert len(met & want) >= 0.9 * len(want)
+    degree = {i: sum(i in p for p in want) for i in sets}
+    out = {r.doc_id: r.links for r in residue.classify(frame, F.col("doc_id"), F.col("text")).collect()}
+    assert out == {i: degree[first[t.lower()]] for i, t in rows}
+
+
+def test_tables_grow_with_the_classes():
+    few, many = residue.table_masks(1000), residue.table_masks(10**9)
+    assert len(few) < len(many) and bin(few[0] & (2**64 - 1)).count("1") == 8 and bin(many[0] & (2**64 - 1)).count("1") == 26
+
+
 def test_token_counts(spark):
     texts = ["", None, "hello world", "ñandú 🙂", "a" * 100_000, "<|endoftext|>"]
     got = [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(tokens.token_count(F.col("t")).alias("n")).collect()]
