@@ -1,8 +1,8 @@
 """Posts that hold template residue, filler, error pages or script notices instead of content.
 
 Method. The own words of each post are fingerprinted: posts with equal own words (case, digits
-and spacing aside) are one class; each class has a 64-bit SimHash over its runs of two and three
-words. Partitioned tables bring together classes whose hashes agree on a part of their bits: permutations
+and spacing aside) are one class; each class has a 64-bit SimHash of its five-word
+shingles. Partitioned tables bring together classes whose hashes agree on a part of their bits: permutations
 of the 64 bits are cut into keys, one table each. Candidates of like length within HAMMING bits are verified by the Jaccard
 similarity of their five-word shingles (SIMILAR or more). The tables are probabilistic (README: measured
 recall); a prefix join adds, exactly, the pairs that no table met: with shingles in one order for all
@@ -42,11 +42,11 @@ from chronoloom.llm.textprint import fingerprint
 from chronoloom.session import staged
 
 SIMILAR = 0.8
-HAMMING = 12
-USUAL = 9
+HAMMING = 13
+USUAL = 10
 MISSED = 0.05
 BUCKET = 16
-ORDER = 1 << 18
+ORDER = 1 << 20
 LEAST = 2
 COMPANY = 0.5
 CHUNK = 400_000

@@ -13,7 +13,6 @@ from dataclasses import dataclass
 import numpy as np
 
 SHINGLE = 5
-GRAMS = (2, 3)
 _BASE, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _NUMBER = np.uint64(0x2545F4914F6CDD1D)
@@ -116,8 +115,9 @@ def fingerprint(joined: str, vocabularies: list[np.ndarray] = ()) -> Prints:
     counts = [_counted(run, p0, p1), *(_counted(_among(token, v), p0, p1) for v in vocabularies)]
     some = words[p1] > words[p0]
     p0, p1 = p0[some], p1[some]
+    sets = shingles(token, owner, h1)
     return Prints(
-        texts, h1, h2, simhash(token, owner, len(texts)), shingles(token, owner, h1), owner[p0], said[some], at[p0], end[p1 - 1],
+        texts, h1, h2, simhash(sets), sets, owner[p0], said[some], at[p0], end[p1 - 1],
         (words[p1] - words[p0]), [c[some] for c in counts[1:]], counts[0][some],
     )
 
@@ -158,24 +158,16 @@ def shingles(token: np.ndarray, owner: np.ndarray, whole: np.ndarray) -> list[np
     return np.split(mixed[new], np.cumsum(np.bincount(of[new], minlength=len(whole)))[:-1])
 
 
-def simhash(token: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """64-bit SimHash over runs of two and three tokens (or the only token), each as often as it occurs; as signed longs."""
-    ones, total = np.zeros((n, 64), dtype=np.int64), np.zeros(n, dtype=np.int64)
-    only = np.bincount(owner, minlength=n)[owner] == 1
-    grams, gram = [(token[only], owner[only])], token
-    for size in range(2, max(GRAMS) + 1):
-        m = max(len(token) - size + 1, 0)
-        gram = mix((gram[:m] ^ token[len(token) - m :]) * _MULTIPLIERS[size])
-        if size in GRAMS:
-            inside = owner[:m] == owner[len(owner) - m :]
-            grams.append((gram[inside], owner[:m][inside]))
-    for feature, of in grams:
-        for a in range(0, len(feature), _ROWS):  # below 2**16, so that four counters of 16 bits share a word
-            part, whose = feature[a : a + _ROWS], of[a : a + _ROWS]
-            begin = np.flatnonzero(np.concatenate(([True], whose[1:] != whose[:-1])))
-            who = whose[begin]
-            for k in range(16):
-                lanes = np.add.reduceat((part >> np.uint64(k)) & _LANES, begin)
-                ones[who, k::16] += lanes.view(np.uint16).reshape(-1, 4)
-        total += np.bincount(of, minlength=n)
-    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+def simhash(sets: list[np.ndarray]) -> np.ndarray:
+    """64-bit SimHash of each set of hashes, as signed longs."""
+    ones = np.zeros((len(sets), 64), dtype=np.int64)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    feature, of = np.concatenate([*sets, np.empty(0, dtype=np.uint64)]), np.repeat(np.arange(len(sets)), sizes)
+    for a in range(0, len(feature), _ROWS):  # below 2**16, so that four counters of 16 bits share a word
+        part, whose = feature[a : a + _ROWS], of[a : a + _ROWS]
+        begin = np.flatnonzero(np.concatenate(([True], whose[1:] != whose[:-1])))
+        who = whose[begin]
+        for k in range(16):
+            lanes = np.add.reduceat((part >> np.uint64(k)) & _LANES, begin)
+            ones[who, k::16] += lanes.view(np.uint16).reshape(-1, 4)
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.int64).ravel()
