@@ -1,42 +1,47 @@
 """Probability calibration and conformal bands.
 
-One-dimensional models are fitted on aggregated counts: rows with equal inputs are combined
-by a distributed groupBy first. If more than MAX_POINTS distinct inputs remain, they are
-grouped into equal-width bins of their mean, so that the driver's part stays bounded.
+Models are fitted on all rows, as counts of equal inputs: each Newton step is one aggregate over the counts,
+the isotonic curve is pooled block by block where the rows lie. Only coefficients and the
+pooled curve reach the driver.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_POINTS = 100_000
+from chronoloom.session import staged
 
 
-def _counts(rows: DataFrame, x: str, y: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _counts(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """``x, n, s``: every distinct input with its rows and the sum of its labels."""
     ok = rows.where(F.col(x).isNotNull() & ~F.isnan(x) & F.col(y).isNotNull())
-    per = ok.groupBy(F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).cast("double").alias("s"))
-    if per.count() > MAX_POINTS:
-        lo, hi = per.agg(F.min("x"), F.max("x")).first()
-        b = F.least(F.floor((F.col("x") - lo) / max(hi - lo, 1e-300) * MAX_POINTS), F.lit(MAX_POINTS - 1))
-        per = per.groupBy(b).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), F.sum("n").alias("n"), F.sum("s").alias("s")).select("x", "n", "s")
-    got = per.orderBy("x").toPandas()
-    return got["x"].to_numpy(float), got["n"].to_numpy(float), got["s"].to_numpy(float)
-
-
-def logistic(features: np.ndarray, n: np.ndarray, s: np.ndarray, ridge: float) -> np.ndarray:
-    """Newton's method on counts; the last coefficient is the unpenalised intercept."""
-    a = np.column_stack([features, np.ones(len(features))])
-    w = np.zeros(a.shape[1])
-    penalty = np.full(a.shape[1], ridge)
+    return staged(ok.groupBy(F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).cast("double").alias("s")), "counts")
+
+
+def logistic(counts: DataFrame, features: list[Column], ridge: float) -> np.ndarray:
+    """Newton's method, one aggregate a step; the last coefficient is the unpenalised intercept."""
+    k = len(features) + 1
+    parts = [*features, F.lit(1.0)]
+    w = np.zeros(k)
+    penalty = np.full(k, ridge)
     penalty[-1] = 0.0
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
-        grad = a.T @ (n * p - s) + penalty * w
-        hess = (a * (n * np.maximum(p * (1 - p), 1e-12))[:, None]).T @ a + np.diag(penalty + 1e-12)
-        step = np.linalg.solve(hess, grad)
+        z = sum((F.lit(float(c)) * f for c, f in zip(w, parts)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))))
+        gap, curve = F.col("n") * F.col("p") - F.col("s"), F.col("n") * F.greatest(F.col("p") * (1 - F.col("p")), F.lit(1e-12))
+        sums = [F.sum(gap * f) for f in parts] + [F.sum(curve * parts[a] * parts[b]) for a in range(k) for b in range(a, k)]
+        got = [float(v or 0.0) for v in counts.withColumn("p", p).agg(*[c.alias(f"a{i}") for i, c in enumerate(sums)]).first()]
+        hess, at = np.zeros((k, k)), k
+        for a in range(k):
+            for b in range(a, k):
+                hess[a, b] = hess[b, a] = got[at]
+                at += 1
+        step = np.linalg.solve(hess + np.diag(penalty + 1e-12), np.array(got[:k]) + penalty * w)
         w = w - step
         if np.abs(step).max() < 1e-10:
             break
@@ -45,8 +50,7 @@ def logistic(features: np.ndarray, n: np.ndarray, s: np.ndarray, ridge: float) -
 
 def fit_platt(rows: DataFrame, x: str = "raw_prob", y: str = "y") -> tuple[float, float]:
     """Slope and intercept of a logistic curve with unit ridge penalty on the slope."""
-    v, n, s = _counts(rows, x, y)
-    slope, base = logistic(v[:, None], n, s, 1.0)
+    slope, base = logistic(_counts(rows, x, y), [F.col("x")], 1.0)
     return float(slope), float(base)
 
 
@@ -56,15 +60,15 @@ def platt(p: Column, slope: float, base: float) -> Column:
 
 def fit_beta(rows: DataFrame, x: str = "raw_prob", y: str = "y") -> tuple[float, float, float]:
     """a, b, c of logit = a ln p - b ln(1 - p) + c; a negative coefficient is set to 0 and the rest refitted."""
-    v, n, s = _counts(rows, x, y)
-    v = np.clip(v, 1e-12, 1 - 1e-12)
-    both = np.column_stack([np.log(v), -np.log1p(-v)])
-    a, b, c = logistic(both, n, s, 0.0)
+    counts = _counts(rows, x, y)
+    q = F.greatest(F.least(F.col("x"), F.lit(1 - 1e-12)), F.lit(1e-12))
+    up, down = F.ln(q), -F.log1p(-q)
+    a, b, c = logistic(counts, [up, down], 0.0)
     if a < 0:
-        b, c = logistic(both[:, 1:], n, s, 0.0)
+        b, c = logistic(counts, [down], 0.0)
         a = 0.0
     elif b < 0:
-        a, c = logistic(both[:, :1], n, s, 0.0)
+        a, c = logistic(counts, [up], 0.0)
         b = 0.0
     return float(max(a, 0)), float(max(b, 0)), float(c)
 
@@ -75,23 +79,55 @@ def beta(p: Column, a: float, b: float, c: float) -> Column:
     return 1 / (1 + F.exp(-(a * F.ln(q) - b * F.log1p(-q) + c)))
 
 
-def fit_isotonic(rows: DataFrame, x: str = "raw_prob", y: str = "y") -> tuple[list[float], list[float]]:
-    """Pool-adjacent-violators on counts: knots and values of a rising curve."""
-    v, n, s = _counts(rows, x, y)
+def pooled(x: np.ndarray, n: np.ndarray, s: np.ndarray, last: np.ndarray | None = None) -> list[list[float]]:
+    """Pool adjacent violators: blocks of first input, last input, count and label sum with rising means."""
     blocks: list[list[float]] = []
-    for a, k, t in zip(v, n, s):
-        blocks.append([a, a, k, t])
+    for a, b, k, t in zip(x, x if last is None else last, n, s):
+        blocks.append([a, b, k, t])
         while len(blocks) > 1 and blocks[-2][3] * blocks[-1][2] >= blocks[-1][3] * blocks[-2][2]:
             hi = blocks.pop()
             blocks[-1] = [blocks[-1][0], hi[1], blocks[-1][2] + hi[2], blocks[-1][3] + hi[3]]
+    return blocks
+
+
+def fit_isotonic(rows: DataFrame, x: str = "raw_prob", y: str = "y") -> tuple[list[float], list[float]]:
+    """Knots and values of a rising curve by pooling adjacent violators.
+
+    Ranges of inputs are pooled where they lie and the pooled blocks once more (violators may be pooled in
+    any order); only blocks reach the driver, as they are the curve.
+    """
+    counts = _counts(rows, x, y).repartitionByRange("x").sortWithinPartitions("x")
+
+    def run(batches):
+        blocks: list[list[float]] = []
+        for pdf in batches:  # sorted: pooled blocks of what came before stay first
+            old = np.array(blocks, dtype=float).reshape(-1, 4)
+            v = pdf["x"].to_numpy(float)
+            blocks = pooled(np.append(old[:, 0], v), np.append(old[:, 2], pdf["n"]), np.append(old[:, 3], pdf["s"]), np.append(old[:, 1], v))
+        yield pd.DataFrame(blocks, columns=["lo", "hi", "n", "s"], dtype=float)
+
+    got = counts.mapInPandas(run, "lo double, hi double, n double, s double").toPandas().sort_values("lo")
     knots, values = [], []
-    for lo, hi, k, t in blocks:
+    for lo, hi, k, t in pooled(got["lo"].to_numpy(), got["n"].to_numpy(), got["s"].to_numpy(), got["hi"].to_numpy()):
         for edge in sorted({lo, hi}):
             knots.append(float(edge))
             values.append(float(t / k))
     return knots, values
 
 
+def calibrator(kind: str, rows: DataFrame, x: str = "raw_prob", y: str = "y") -> dict:
+    """A fitted calibrator as plain data, ``kind`` and ``params``: "platt", "beta", "isotonic" or "none"."""
+    fits = {"platt": fit_platt, "beta": fit_beta, "isotonic": fit_isotonic, "none": lambda *_: ()}
+    if kind not in fits:
+        raise ValueError(f"unknown calibrator {kind!r}; known: {sorted(fits)}")
+    return {"kind": kind, "params": [list(v) if isinstance(v, (list, tuple)) else v for v in fits[kind](rows, x, y)]}
+
+
+def apply(model: dict, p: Column) -> Column:
+    """The calibrated probability."""
+    return {"platt": platt, "beta": beta, "isotonic": isotonic, "none": lambda c: c}[model["kind"]](p, *model["params"])
+
+
 def isotonic(p: Column, knots: list[float], values: list[float]) -> Column:
     """The rising curve at p: linear between knots, constant beyond the ends; NULL for NULL."""
     x, y = np.asarray(knots), np.asarray(values)
@@ -104,22 +140,48 @@ def isotonic(p: Column, knots: list[float], values: list[float]) -> Column:
     return run(p)
 
 
-def fit_mixture(members: np.ndarray, target: np.ndarray, rounds: int = 30, dof: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and variances of a Student-t mixture around K members by expectation maximisation."""
-    n, k = members.shape
-    weight = np.full(k, 1.0 / k)
-    var = np.full(k, max(float(np.var(target[:, None] - members)), 1e-6))
-    gap2 = (target[:, None] - members) ** 2
+def fit_mixture(rows: DataFrame, members: str, target: str, rounds: int = 30, dof: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and variances of a Student-t mixture around K members by expectation maximisation over all rows.
+
+    Each step is one pass in which every task reduces its rows to K sums; rows with a null target or members of another length than the first row's are an error.
+    """
+    rows = staged(rows.where(F.col(target).isNotNull()).select(F.col(members).alias("x"), F.col(target).cast("double").alias("y")), "members")
+    first = rows.agg(F.max(F.size("x")), F.min(F.size("x")), F.var_pop("y")).first()
+    k = first[0] or 0
+    if k != (first[1] or 0):
+        raise ValueError("all rows need the same number of members")
+    if not k:
+        return np.empty(0), np.empty(0)
+    spread = rows.select(F.explode(F.transform("x", lambda v: F.col("y") - v)).alias("g")).agg(F.var_pop("g")).first()[0]
+    weight, var = np.full(k, 1.0 / k), np.full(k, max(float(spread or 0.0), 1e-6))
     for _ in range(rounds):
-        dens = (1 + gap2 / (dof * var)) ** (-(dof + 1) / 2) / np.sqrt(var)
-        resp = weight * dens
-        resp /= np.maximum(resp.sum(axis=1, keepdims=True), 1e-300)
-        u = (dof + 1) / (dof + gap2 / var)
-        weight = resp.mean(axis=0)
-        var = np.maximum((resp * u * gap2).sum(axis=0) / np.maximum(resp.sum(axis=0), 1e-12), 1e-6)
+        got = rows.mapInPandas(_expectations(weight, var, dof), "i int, n double, r double, v double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("r").alias("r"), F.sum("v").alias("v")).toPandas().sort_values("i")
+        r = got["r"].to_numpy()
+        weight, var = r / got["n"].to_numpy(), np.maximum(got["v"].to_numpy() / np.maximum(r, 1e-12), 1e-6)
     return weight / weight.sum(), var
 
 
+def _expectations(weight: np.ndarray, var: np.ndarray, dof: float):
+    def run(batches):
+        n, r, v = 0.0, np.zeros(len(weight)), np.zeros(len(weight))
+        for pdf in batches:
+            gap2 = (pdf["y"].to_numpy(float)[:, None] - np.stack(pdf["x"].to_numpy())) ** 2
+            dens = weight * (1 + gap2 / (dof * var)) ** (-(dof + 1) / 2) / np.sqrt(var)
+            resp = dens / np.maximum(dens.sum(axis=1, keepdims=True), 1e-300)
+            n, r, v = n + len(pdf), r + resp.sum(axis=0), v + (resp * (dof + 1) / (dof + gap2 / var) * gap2).sum(axis=0)
+        yield pd.DataFrame({"i": np.arange(len(weight)), "n": n, "r": r, "v": v})
+
+    return run
+
+
+def mixture_density(members: Column, weight: list[float], var: list[float], at: Column, dof: float = 3.0) -> Column:
+    """Density of the Student-t mixture around an array of members at a point."""
+    scale = math.gamma((dof + 1) / 2) / (math.gamma(dof / 2) * math.sqrt(dof * math.pi))
+    fixed = F.array(*[F.struct(F.lit(float(w)).alias("w"), F.lit(float(v)).alias("v")) for w, v in zip(weight, var)])
+    parts = F.zip_with(members, fixed, lambda m, c: c["w"] * scale / F.sqrt(c["v"]) * F.pow(1 + (at - m) ** 2 / (dof * c["v"]), F.lit(-(dof + 1) / 2)))
+    return F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)
+
+
 def weighted(members: Column, weight: list[float]) -> Column:
     """Dot product of an array column with fixed weights."""
     parts = F.zip_with(members, F.array(*[F.lit(float(w)) for w in weight]), lambda a, b: a * b)

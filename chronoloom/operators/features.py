@@ -7,6 +7,7 @@ Null closes are dropped before rows are counted. All windows of one ticker share
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,13 +59,14 @@ def moving_average_gap(bars: DataFrame, rows=(20, 50)) -> DataFrame:
 
 
 def normalised_returns(bars: DataFrame, days=RETURN_DAYS, clip: float = 10.0) -> DataFrame:
-    """Trailing returns over the rolling deviation of the same return (max(n, 5) rows, 2 at least), clipped."""
+    """Trailing returns over the rolling deviation of the same return (max(n, 5) rows, 2 at least), clipped.
+
+    All deviations are computed in one pass of windows before any ratio is projected.
+    """
     out = trailing_returns(bars, days)
-    for n in days:
-        c = F.col(f"ret_{n}d")
-        x = c / (full(c, max(n, 5), F.stddev_samp(c), 2) + 1e-8)
-        out = out.withColumn(f"norm_{n}d", F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(clip)), F.lit(-clip))))
-    return out
+    out = out.withColumns({f"__d{n}": F.stddev_samp(f"ret_{n}d").over(_w(max(n, 5))) for n in days})
+    ratio = {n: F.col(f"ret_{n}d") / (F.col(f"__d{n}") + 1e-8) for n in days}  # the deviation of one value is NULL
+    return out.withColumns({f"norm_{n}d": F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(clip)), F.lit(-clip))) for n, x in ratio.items()}).drop(*[f"__d{n}" for n in days])
 
 
 def candle_eps(open_: Column, high: Column, low: Column, close: Column) -> dict[str, Column]:
@@ -186,44 +188,50 @@ def true_range() -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
 
 
-def wilder(bars: DataFrame, n: int = 14) -> DataFrame:
+def wilder(bars: DataFrame, n: int = 14, seed: str = "mean") -> DataFrame:
     """ATR and RSI by Wilder's recursion: ``atr_n, atr_pct, rsi_n``, NULL until n values were seen.
 
-    Averages start at the mean of their first n values, then move by 1/n of the difference.
-    One group is one ticker's history, which is bounded by the calendar.
+    Averages start at the mean of their first n values (seed="mean") or at the first value (seed="first"), then move by 1/n of the
+    difference. One group is one ticker's history, which is bounded by the calendar; the recursion runs over whole columns.
     """
+    if seed not in ("mean", "first"):
+        raise ValueError("seed must be 'mean' or 'first'")
     rows = bars.withColumn("__tr", true_range()).withColumn("__ch", F.col("close") - F.lag("close").over(_w())).select("ticker", "date", "close", "__tr", "__ch")
 
-    def smooth(values, n=n):
-        import numpy as np
-
-        out, mean, seen, total = np.full(len(values), np.nan), None, 0, 0.0
-        for i, v in enumerate(values):
-            if v != v:
-                continue
-            if mean is None:
-                seen, total = seen + 1, total + v
-                if seen == n:
-                    mean = total / n
-            else:
-                mean = mean + (v - mean) / n
-            if mean is not None:
-                out[i] = mean
-        return out
-
-    def run(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values("date")
-        atr = smooth(pdf["__tr"].to_numpy(dtype=float))
-        ch = pdf["__ch"].to_numpy(dtype=float)
-        up, down = smooth(np.where(ch == ch, np.maximum(ch, 0), np.nan)), smooth(np.where(ch == ch, np.maximum(-ch, 0), np.nan))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rsi = np.where(down == 0, np.where(up == up, 100.0, np.nan), 100 - 100 / (1 + up / down))
-            pct = atr / pdf["close"].to_numpy(dtype=float)
+    def smooth(values):
+        v = values.dropna()
+        if len(v) < n:
+            return pd.Series(float("nan"), index=values.index)
+        start = v.iloc[:n].mean() if seed == "mean" else v.iloc[:n].ewm(alpha=1 / n, adjust=False).mean().iloc[-1]
+        tail = pd.concat([pd.Series([start], index=[v.index[n - 1]]), v.iloc[n:]]).ewm(alpha=1 / n, adjust=False).mean()
+        return tail.reindex(values.index).ffill()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date").reset_index(drop=True)
+        atr, ch = smooth(pdf["__tr"]), pdf["__ch"]
+        up, down = smooth(ch.clip(lower=0)), smooth((-ch).clip(lower=0))
+        rsi = (100 - 100 / (1 + up / down.where(down != 0))).where(down != 0, 100.0).where(up.notna())
         res = pdf[["ticker", "date"]].copy()
-        for name, v in (("atr_14", atr), ("atr_pct", pct), ("rsi_14", rsi)):
-            res[name] = [None if x != x else float(x) for x in v]
+        for name, v in ((f"atr_{n}", atr), ("atr_pct", atr / pdf["close"]), (f"rsi_{n}", rsi)):
+            res[name] = v.astype(object).where(v.notna(), None)
         return res
 
-    return rows.groupBy("ticker").applyInPandas(run, "ticker string, date date, atr_14 double, atr_pct double, rsi_14 double")
+    return rows.groupBy("ticker").applyInPandas(run, f"ticker string, date date, atr_{n} double, atr_pct double, rsi_{n} double")
+
+
+def atr_share(bars: DataFrame, n: int = 14) -> DataFrame:
+    """``ticker, date, atr_pct, valid``: ATR over the close, valid where both are known and above 0."""
+    out = wilder(bars, n).join(bars.select("ticker", "date", "close"), ["ticker", "date"])
+    ok = F.coalesce((F.col(f"atr_{n}") > 0) & (F.col("close") > 0) & ~F.isnan(f"atr_{n}"), F.lit(False))
+    return out.select("ticker", "date", F.when(ok, F.col(f"atr_{n}") / F.col("close")).alias("atr_pct"), ok.alias("valid"))
+
+
+def feature_table(bars: DataFrame, label_days: int = 7) -> DataFrame:
+    """One plan from daily bars to complete feature rows: returns, normalised returns, volatility, gaps to averages, candles, labels.
+
+    Rows without a full history or a known future are dropped; all windows share one sort by ticker and date.
+    """
+    out = candle_features(moving_average_gap(volatility(normalised_returns(bars))))
+    out = forward_returns(out, (label_days,), keep_unknown=False)
+    wanted = [c for c in out.columns if c.startswith(("ret_", "norm_", "vol_", "price_vs", "candle_", "fwd_"))]
+    return out.na.drop(subset=wanted)

@@ -10,9 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.session import staged
+
 BLOCK = 4096
 POINT_BLOCK = 8192
 
@@ -54,70 +58,161 @@ def scaled_columns(stats: dict[str, tuple[float, float]], weight: dict[str, floa
     return F.array(*[(F.col(c).cast("double") - F.lit(m)) / F.lit(s) * F.lit(float(w.get(c, 1.0))) for c, (m, s) in stats.items()])
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int, metric: str = "l2", counts: tuple[int, int] | None = None) -> DataFrame:
-    """``qid, tid, distance, rank`` of the k nearest points of each query; equal distances by lower ``tid``.
+def knn_join(
+    queries: DataFrame, points: DataFrame, k: int, metric: str = "l2", counts: tuple[int, int] | dict | None = None, other: str | None = None, within: str | None = None
+) -> DataFrame:
+    """``[within,] qid, tid, distance, rank`` of the k nearest points of each query; equal distances by lower ``tid``.
 
     ``queries``: qid, vec; ``points``: tid, vec (array<double>). Vectors must be equally long; rows
-    with a null vector, or NaN or null in it, are left out. metric: "l2" or "cosine". ``counts``
-    saves counting the two sides. Fewer than k points give fewer rows; empty in, empty out.
+    with a null vector, or NaN or null in it, are left out. metric: "l2" or "cosine". ``other`` names a column
+    of both sides whose values must differ (null differs from all); ``within`` one whose values must be equal: separate
+    searches, such as folds, in one job. ``counts`` saves counting the two sides (with ``within`` a dict of value -> two counts).
+    Fewer than k points give fewer rows; empty in, empty out.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError("metric must be 'l2' or 'cosine'")
     ok = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x))
-    q, p = queries.select("qid", "vec").where(ok), points.select("tid", "vec").where(ok)
-    nq, np_ = counts or (q.count(), p.count())
-    qb, pb = max(1, -(-nq // BLOCK)), max(1, -(-np_ // POINT_BLOCK))
-    pb = max(pb, min(8, -(-np_ // 512)))  # some parallelism for small sides
+    extra = [c for c in (within, other) if c]
+    q, p = queries.select("qid", "vec", *extra).where(ok), points.select("tid", "vec", *extra).where(ok)
+    if within is None:
+        sizes = {None: counts or (q.count(), p.count())}
+    elif counts is not None:
+        sizes = counts
+    else:
+        both = q.groupBy(within).agg(F.count(F.lit(1)).alias("a")).join(p.groupBy(within).agg(F.count(F.lit(1)).alias("b")), within)
+        sizes = {r[within]: (r["a"], r["b"]) for r in both.collect()}  # one row per separate search
+    qb = {v: max(1, -(-n[0] // BLOCK)) for v, n in sizes.items()}
+    pb = {v: max(1, -(-n[1] // POINT_BLOCK), min(8 if within is None else 2, -(-n[1] // 512))) for v, n in sizes.items()}  # some parallelism for small sides
     qid_t, tid_t = q.schema["qid"].dataType.simpleString(), p.schema["tid"].dataType.simpleString()
-    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    # a stand-in id instead of NULL keeps integer columns integer in pandas
-    left = q.select(F.pmod(F.xxhash64("qid"), F.lit(qb)).alias("i"), span(pb).alias("j"), F.lit(True).alias("asks"), "qid", F.lit("0").cast(tid_t).alias("tid"), "vec")
-    right = p.select(span(qb).alias("i"), F.pmod(F.xxhash64("tid"), F.lit(pb)).alias("j"), F.lit(False).alias("asks"), F.lit("0").cast(qid_t).alias("qid"), "tid", "vec")
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy()
-        if asks.all() or not asks.any():
-            return pd.DataFrame({"qid": [], "tid": [], "distance": []})
-        a, b = np.stack(pdf.loc[asks, "vec"].to_numpy()), np.stack(pdf.loc[~asks, "vec"].to_numpy())
-        qid, tid = pdf.loc[asks, "qid"].to_numpy(), pdf.loc[~asks, "tid"].to_numpy()
-        if metric == "cosine":
-            a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
-            b = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
-        out = []
-        bb = (b * b).sum(1)
-        slack = 1e-9 * (1.0 + float(bb.max()))
-        for at in range(0, len(a), 256):
-            x = a[at : at + 256]
-            d = (x * x).sum(1)[:, None] + bb[None, :] - 2.0 * (x @ b.T)
-            n = min(k, d.shape[1])
-            limit = np.partition(d, n - 1, axis=1)[:, n - 1 : n] + slack
-            qi, ti = np.nonzero(d <= limit)
-            gap = x[qi] - b[ti]
-            exact = np.einsum("ij,ij->i", gap, gap)
-            exact = exact / 2.0 if metric == "cosine" else np.sqrt(exact)
-            out.append(pd.DataFrame({"qid": qid[at : at + 256][qi], "tid": tid[ti], "distance": exact}))
-        res = pd.concat(out).sort_values(["qid", "distance", "tid"], kind="stable")
-        return res[res.groupby("qid", sort=False).cumcount() < k]
-
-    found = left.unionByName(right).groupBy("i", "j").applyInPandas(block, f"qid {qid_t}, tid {tid_t}, distance double")
-    w = Window.partitionBy("qid").orderBy("distance", "tid")
+
+    def of(blocks: dict) -> Column:
+        if within is None:
+            return F.lit(blocks[None]).cast("long")
+        return F.element_at(F.create_map(*[x for v, n in blocks.items() for x in (F.lit(v), F.lit(n).cast("long"))]), F.col(within))
+
+    if not sizes:
+        q, p, qb, pb = q.limit(0), p.limit(0), {0: 1}, {0: 1}
+    span = lambda b: F.explode(F.sequence(F.lit(0).cast("long"), of(b) - 1))
+    # a stand-in id on the side that has none
+    left = q.select(*extra, F.pmod(F.xxhash64("qid"), of(qb)).alias("i"), span(pb).alias("j"), F.lit(True).alias("asks"), F.col("qid"), F.lit(None).cast(tid_t).alias("tid"), "vec")
+    right = p.select(*extra, span(qb).alias("i"), F.pmod(F.xxhash64("tid"), of(pb)).alias("j"), F.lit(False).alias("asks"), F.lit(None).cast(qid_t).alias("qid"), "tid", "vec")
+    head = [f"{within} {q.schema[within].dataType.simpleString()}"] if within else []
+
+    def block(table: pa.Table) -> pa.Table:
+        asks = table["asks"].to_numpy()
+        a, b = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
+        x, y = _matrix(a["vec"]), _matrix(b["vec"])
+        tid = b["tid"].combine_chunks()
+        labels = None
+        if other:
+            codes = pa.concat_arrays([a[other].combine_chunks(), b[other].combine_chunks()]).dictionary_encode().indices
+            codes = np.where(codes.is_valid().to_numpy(zero_copy_only=False), codes.fill_null(0).to_numpy(), -1)
+            labels = codes[: len(x)], codes[len(x) :]
+        qi, ti, d = _best(x, y, k, metric, tid, labels) if len(x) and len(y) else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        out = {"qid": a["qid"].combine_chunks().take(pa.array(qi)), "tid": tid.take(pa.array(ti)), "distance": pa.array(d)}
+        if within:
+            out = {within: table[within].combine_chunks().take(pa.array(np.zeros(len(d), dtype=np.int64)))} | out
+        return pa.table(out)
+
+    keys = [within] if within else []
+    found = left.unionByName(right).groupBy(*keys, "i", "j").applyInArrow(block, ", ".join([*head, f"qid {qid_t}", f"tid {tid_t}", "distance double"]))
+    w = Window.partitionBy(*keys, "qid").orderBy("distance", "tid")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def post_filter(probe: DataFrame, keep: Column, k: int) -> DataFrame:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Equally long vectors as the rows of a matrix, without a Python object per row."""
+    lists = column.combine_chunks()
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(lists), -1) if len(lists) else np.empty((0, 0))
+
+
+def _best(x: np.ndarray, y: np.ndarray, k: int, metric: str, tid: pa.Array, labels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query position, point position and exact distance of the k nearest points of each query."""
+    if metric == "cosine":
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    yy = (y * y).sum(1)
+    slack = 1e-9 * (1.0 + float(yy.max()))
+    order = np.argsort(pa.compute.rank(tid, "ascending", tiebreaker="first").to_numpy())  # positions by id
+    y, yy = y[order], yy[order]
+    found = []
+    for at in range(0, len(x), 256):
+        part = x[at : at + 256]
+        d = part @ (-2.0 * y.T)
+        d += yy
+        if labels is not None:
+            mine, theirs = labels[0][at : at + 256, None], labels[1][order][None, :]
+            d[(mine == theirs) & (mine >= 0)] = np.inf
+        n = min(k, d.shape[1])
+        limit = np.partition(d, n - 1, axis=1)[:, n - 1 : n] + slack
+        qi, ti = np.nonzero((d <= limit) & (d < np.inf))
+        gap = part[qi] - y[ti]
+        exact = np.einsum("ij,ij->i", gap, gap)
+        exact = exact / 2.0 if metric == "cosine" else np.sqrt(exact)
+        by = np.lexsort((ti, exact, qi))
+        qi, ti, exact = qi[by], ti[by], exact[by]
+        start = np.searchsorted(qi, np.arange(len(part)))
+        keep = np.arange(len(qi)) - start[qi] < k
+        found.append((qi[keep] + at, order[ti[keep]], exact[keep]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def post_filter(probe: DataFrame, keep: Column, k: int, by: list[str] = ("qid",)) -> DataFrame:
     """Of the probed neighbours those that satisfy ``keep``, the k nearest, ranked again.
 
     Only the probe set is seen, so fewer than k may be left although more lie farther away.
     """
-    w = Window.partitionBy("qid").orderBy("distance", "tid")
+    w = Window.partitionBy(*by).orderBy("distance", "tid")
     return probe.where(keep).drop("rank").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def cell_search(queries: DataFrame, points: DataFrame, k: int, cells: int | None = None, probes: int = 8, sample: int = 100_000, other: str | None = None) -> DataFrame:
+    """``qid, tid, distance, rank``: about the k nearest points, searched in the ``probes`` nearest of ``cells`` cells.
+
+    Centres are ``cells`` (sqrt(n) by default) points of a sample of at most ``sample``, chosen by hash order; every
+    point belongs to its nearest centre, and a query meets the points of its ``probes`` nearest ones, which are ranked exactly. What is
+    lost is what lies in other cells: measure it with ``recall``. Cases as for ``knn_join``.
+    """
+    ok = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x))
+    extra = [other] if other else []
+    p, q = staged(points.select("tid", "vec", *extra).where(ok), "points"), queries.select("qid", "vec", *extra).where(ok)
+    n = p.count()
+    got = p.orderBy(F.xxhash64("tid", "vec"), "tid").limit(min(sample, cells or max(1, int(n**0.5)))).select("vec").toArrow()["vec"]
+    if not n:
+        return knn_join(q, p, k, counts=(0, 0))
+    shared = p.sparkSession.sparkContext.broadcast(_matrix(got))
+
+    def nearest(df: DataFrame, m: int) -> DataFrame:
+        def run(batches):
+            c = shared.value
+            for b in batches:
+                x = _matrix(pa.chunked_array([b.column("vec")]))
+                top = min(m, len(c))
+                near = np.concatenate([_nearest_centres(x[at : at + 2048], c, top) for at in range(0, len(x), 2048)]) if len(x) else np.empty((0, top), dtype=np.int64)
+                cell = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * top), pa.array(near.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*b.columns, cell], names=[*b.schema.names, "cells"])
+
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+        return df.mapInArrow(run, f"{fields}, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
+
+    filed, asked = staged(nearest(p, 1), "filed"), staged(nearest(q, probes), "asked")
+    near = knn_join(asked, filed, k, other=other, within="cell")
+    w = Window.partitionBy("qid").orderBy("distance", "tid")
+    return near.drop("rank", "cell").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _nearest_centres(x: np.ndarray, centres: np.ndarray, m: int) -> np.ndarray:
+    d = (centres * centres).sum(1)[None, :] - 2.0 * (x @ centres.T)
+    return np.argpartition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(x), 1))
+
+
 def recall(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """One row: mean share of the k exact neighbours that were found."""
-    hit = exact.where(F.col("rank") <= k).join(found.where(F.col("rank") <= k).select("qid", "tid"), ["qid", "tid"], "left_semi")
-    per = exact.select("qid").distinct().join(hit.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left")
-    return per.agg(F.avg(F.coalesce("n", F.lit(0)) / F.lit(k)).alias("recall"))
+    """One row: ``queries`` and ``recall``, the mean share of a query's k exact neighbours that were found."""
+    want = exact.where(F.col("rank") <= k).select("qid", "tid")
+    hit = want.join(found.where(F.col("rank") <= k).select("qid", "tid", F.lit(1).alias("hit")), ["qid", "tid"], "left")
+    per = hit.groupBy("qid").agg((F.count("hit") / F.count(F.lit(1))).alias("share"))
+    return per.agg(F.count(F.lit(1)).alias("queries"), F.avg("share").alias("recall"))
 
 
 def paa(vec: str, size: int, segments: int) -> Column:

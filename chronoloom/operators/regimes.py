@@ -28,3 +28,23 @@ def backward_regimes(rows: DataFrame, date: str, series: DataFrame, least: int =
         "date", F.when(F.col("__n") < least, 0).otherwise(2 * F.coalesce((F.col("v") > 0).cast("int"), F.lit(0)) + F.coalesce((F.col("vol") >= F.col("__mid")).cast("int"), F.lit(0))).alias("code")
     )
     return backward(rows, date, coded, "code", "regime", clip=True)
+
+
+def overridden_regime(rows: DataFrame, date: str, series: DataFrame, fear: DataFrame | None = None, spread: DataFrame | None = None, limit: float = 1.0) -> DataFrame:
+    """``regime`` by the nearest benchmark value (below 0: bear, 0), set to 0 where the nearest fear z-score exceeds ``limit`` or the nearest yield spread is below 0.
+
+    Each series has ``date, v``; a missing value overrides nothing.
+    """
+    out = nearest_regime(rows, date, series)
+    for other, bear in ((fear, lambda c: c > limit), (spread, lambda c: c < 0)):
+        if other is not None:
+            out = nearest_date(out, date, other, "v", "__o").withColumn("regime", F.when(F.coalesce(bear(F.col("__o")), F.lit(False)), 0).otherwise(F.col("regime"))).drop("__o")
+    return out
+
+
+def octet_regimes(rows: DataFrame, date: str, series: DataFrame, strength: str, strong: float = 25.0, least: int = 10) -> DataFrame:
+    """``regime`` with eight classes: 2 * the four classes of ``backward_regimes`` + (the row's own trend strength above ``strong``); 0 with fewer than ``least`` dates."""
+    four = backward_regimes(rows, date, series, least)
+    enough = F.broadcast(series.where("v is not null").agg((F.count(F.lit(1)) >= least).alias("__enough")))
+    trending = F.coalesce((F.col(strength) > strong).cast("int"), F.lit(0))
+    return four.join(enough).withColumn("regime", F.when(F.col("__enough"), 2 * F.col("regime") + trending).otherwise(0)).drop("__enough")

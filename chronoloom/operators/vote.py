@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def vote(queries: DataFrame, neighbours: DataFrame, weighting: str = "uniform", boost: float = 1.0) -> DataFrame:
-    """``qid, raw_prob, mean_return, n_matches, ensemble`` for every query.
+def vote(queries: DataFrame, neighbours: DataFrame, weighting: str = "uniform", boost: float = 1.0, by: list[str] = ("qid",)) -> DataFrame:
+    """``by..., raw_prob, mean_return, n_matches, ensemble`` for every query.
 
     ``neighbours``: qid, tid, distance, rank, label, fwd_return and, for a boost above 1, a boolean ``same_sector``.
     "uniform": plain means. "inverse": weights 1 / (distance + 0.01), times ``boost`` within the
@@ -22,11 +22,11 @@ def vote(queries: DataFrame, neighbours: DataFrame, weighting: str = "uniform",
     else:
         raise ValueError("weighting must be 'uniform' or 'inverse'")
     total = F.greatest(F.sum("w"), F.lit(1e-9))
-    won = neighbours.withColumn("w", w).groupBy("qid").agg(
+    won = neighbours.withColumn("w", w).groupBy(*by).agg(
         (F.sum(F.col("w") * F.col("label")) / total).alias("raw_prob"), (F.sum(F.col("w") * F.col("fwd_return")) / total).alias("mean_return"),
         F.count(F.lit(1)).alias("n_matches"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "fwd_return"))), lambda x: x["fwd_return"]).alias("ensemble"),
     )
-    out = queries.join(won, "qid", "left")
+    out = queries.join(won, list(by), "left")
     return out.withColumns(
         {
             "raw_prob": F.coalesce("raw_prob", F.lit(0.5)), "mean_return": F.coalesce("mean_return", F.lit(0.0)), "n_matches": F.coalesce("n_matches", F.lit(0)),
@@ -100,3 +100,27 @@ def consensus(votes: DataFrame) -> DataFrame:
     stats = votes.groupBy("item").agg(F.avg("prob").alias("avg_prob"), (F.max("prob") - F.min("prob")).alias("spread"))
     out = lead.join(stats, "item")
     return out.select("item", F.when(F.col("c") >= F.floor(F.col("n") / 2) + 1, F.col("lead")).otherwise("HOLD").alias("consensus"), (F.col("c") / F.col("n")).alias("ratio"), "avg_prob", "spread")
+
+
+def pipeline(signals: DataFrame, filters: list) -> DataFrame:
+    """Filters in turn, each a function of a table with ``signal`` that returns it with ``filtered``; adds ``signal, changed`` (by any of them)."""
+    out = signals.withColumn("__changed", F.lit(False))
+    for f in filters:
+        out = f(out).withColumn("__changed", F.col("__changed") | ~F.col("filtered").eqNullSafe(F.col("signal")))
+        out = out.withColumn("signal", F.col("filtered")).select(*signals.columns, "__changed")
+    return out.withColumnRenamed("__changed", "changed")
+
+
+def unified(signals: DataFrame, source: str, confidence: Column, metadata: dict[str, Column]) -> DataFrame:
+    """Signals of one model in the common form: ``date, ticker, signal, confidence, signal_source, metadata`` (a string map without nulls)."""
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in metadata.items()])
+    return signals.select("date", "ticker", "signal", confidence.alias("confidence"), F.lit(source).alias("signal_source"), F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("metadata"))
+
+
+def leaderboard(signals: DataFrame, neighbours: DataFrame, top: int, analogues: int = 5) -> DataFrame:
+    """The ``top`` BUY and SELL queries by how sure they are, with their nearest analogues and those' mean distance."""
+    w = Window.partitionBy("signal").orderBy(F.desc(F.abs(F.col("raw_prob") - 0.5)), "qid")
+    best = signals.where(F.col("signal").isin("BUY", "SELL")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    near = neighbours.where(F.col("rank") <= analogues).join(best.select("qid"), "qid", "left_semi")
+    held = near.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tid"))), lambda x: x["tid"]).alias("analogues"), F.avg("distance").alias("avg_distance"))
+    return best.join(held, "qid").select("signal", "place", "qid", "raw_prob", "analogues", "avg_distance")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.operators import neighbours as nb
@@ -13,7 +13,10 @@ from chronoloom.operators.vote import signal, vote
 
 @dataclass(frozen=True)
 class AnalogueConfig:
-    """Parameters of a query; the probe sees ``probe * top_k`` neighbours before the filters."""
+    """Parameters of a query; the probe sees ``probe * top_k`` neighbours before the filters.
+
+    ``cells`` above 0 searches approximately, in the ``cell_probes`` nearest of so many cells; 0 searches exactly.
+    """
 
     top_k: int = 50
     max_distance: float = 4.5
@@ -26,6 +29,8 @@ class AnalogueConfig:
     threshold: float = 0.55
     spread: float = 0.05
     min_matches: int = 5
+    cells: int = 0
+    cell_probes: int = 8
     feature_weights: dict = field(default_factory=dict)
 
 
@@ -34,15 +39,16 @@ def probe(train: DataFrame, query: DataFrame, config: AnalogueConfig) -> DataFra
 
     ``train``: tid, vec, ticker, sector, regime, label, fwd_return; ``query``: qid, vec, ticker, sector, regime.
     """
-    near = nb.knn_join(query.select("qid", "vec"), train.select("tid", "vec"), config.probe * config.top_k)
+    q, t, k = query.select("qid", "vec"), train.select("tid", "vec"), config.probe * config.top_k
+    near = nb.cell_search(q, t, k, config.cells, config.cell_probes) if config.cells else nb.knn_join(q, t, k)
     t = train.select("tid", F.col("ticker").alias("t_ticker"), F.col("sector").alias("t_sector"), F.col("regime").alias("t_regime"), "label", "fwd_return")
     q = query.select("qid", F.col("ticker").alias("q_ticker"), F.col("sector").alias("q_sector"), F.col("regime").alias("q_regime"))
     both = near.join(t, "tid").join(q, "qid")
     return both.withColumn("same_sector", F.coalesce(F.col("t_sector") == F.col("q_sector"), F.lit(False)))
 
 
-def matched(probed: DataFrame, config: AnalogueConfig) -> DataFrame:
-    """The neighbours that pass the filters, the top_k nearest of each query."""
+def keep_rule(config: AnalogueConfig) -> Column:
+    """Which probed neighbours count."""
     keep = F.col("distance") <= config.max_distance
     if config.exclude_same_ticker:
         keep = keep & (F.col("t_ticker") != F.col("q_ticker"))
@@ -50,7 +56,12 @@ def matched(probed: DataFrame, config: AnalogueConfig) -> DataFrame:
         keep = keep & F.col("same_sector")
     if config.regime_only:
         keep = keep & (F.col("t_regime") == F.col("q_regime"))
-    return nb.post_filter(probed, keep, config.top_k)
+    return keep
+
+
+def matched(probed: DataFrame, config: AnalogueConfig) -> DataFrame:
+    """The neighbours that pass the filters, the top_k nearest of each query."""
+    return nb.post_filter(probed, keep_rule(config), config.top_k)
 
 
 def query(train: DataFrame, queries: DataFrame, config: AnalogueConfig, probed: DataFrame | None = None) -> DataFrame:

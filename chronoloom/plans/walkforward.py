@@ -1,25 +1,30 @@
-"""Walk-forward evaluation: one plan per fold over a shared feature table."""
+"""Walk-forward evaluation: all folds in one plan over a shared feature table."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.operators import neighbours as nb
-from chronoloom.operators.metrics import brier, brier_skill
+from chronoloom.operators.metrics import brier, brier_skill, murphy
 from chronoloom.operators.temporal import nearest_date
-from chronoloom.plans.analogue import AnalogueConfig, query
+from chronoloom.operators.vote import signal, vote
+from chronoloom.plans.analogue import AnalogueConfig, keep_rule
 from chronoloom.session import staged
 
 
+def checked(fold: dict) -> dict:
+    """The fold itself; overlapping training and validation is an error."""
+    if fold["train_end"] >= fold["val_start"]:
+        raise ValueError(f"training ends {fold['train_end']}, not before validation begins {fold['val_start']}")
+    if fold["val_start"] > fold["val_end"]:
+        raise ValueError("validation ends before it begins")
+    return fold
+
+
 def split(df: DataFrame, train_end, val_start, val_end, date: str = "date") -> tuple[DataFrame, DataFrame]:
     """Training rows up to train_end and validation rows val_start..val_end, all inclusive; overlapping folds are an error."""
-    if train_end >= val_start:
-        raise ValueError(f"training ends {train_end}, not before validation begins {val_start}")
-    if val_start > val_end:
-        raise ValueError("validation ends before it begins")
+    checked({"train_end": train_end, "val_start": val_start, "val_end": val_end})
     return df.where(F.col(date) <= F.lit(train_end)), df.where(F.col(date).between(F.lit(val_start), F.lit(val_end)))
 
 
@@ -32,35 +37,69 @@ def complete_cases(df: DataFrame, columns: list[str], key: str = "ticker", least
     return ok.join(enough, key, "left_semi")
 
 
-def run_fold(rows: DataFrame, fold: dict, features: list[str], config: AnalogueConfig, benchmark: DataFrame | None = None, bear_below: float = 0.05) -> DataFrame:
-    """Scored validation rows of one fold: ``fold, qid, y, raw_prob, prob, bear, n_matches, signal``.
+def per_fold(rows: DataFrame, folds: list[dict], date: str = "date") -> DataFrame:
+    """Each row once for every fold it takes part in: adds ``fold, asks`` (validation) to the columns. No shuffle."""
+    d = F.col(date)
+    parts = F.array(*[F.struct(F.lit(f["fold"]).alias("fold"), (d <= F.lit(f["train_end"])).alias("trains"), d.between(F.lit(f["val_start"]), F.lit(f["val_end"])).alias("asks")) for f in map(checked, folds)])
+    each = rows.withColumn("__f", F.explode(F.filter(parts, lambda x: x["trains"] | x["asks"])))
+    return each.withColumns({"fold": F.col("__f.fold"), "asks": F.col("__f.asks")}).drop("__f")
 
-    ``rows``: id, ticker, sector, date, label, fwd_return and the features, complete. Features are scaled by the
-    fold's training rows. With a benchmark series (date, v), rows whose nearest benchmark value lies
-    below ``bear_below`` get the training base rate as probability.
+
+def scored(rows: DataFrame, folds: list[dict], features: list[str], config: AnalogueConfig, benchmark: DataFrame | None = None, bear_below: float = 0.05, calibrate=None) -> DataFrame:
+    """Scored validation rows of all folds: ``fold, qid, y, raw_prob, prob, bear, n_matches, signal``.
+
+    ``rows``: id, ticker, sector, date, label, fwd_return and the features, complete. Features are scaled by each
+    fold's training rows (moments, base rates and counts of all folds are one aggregate). With a benchmark series (date, v), rows whose
+    nearest benchmark value lies below ``bear_below`` get the training base rate as probability and HOLD. ``calibrate``
+    maps (fold, raw_prob) to a probability. A fold without training or validation rows has no row.
     """
-    train, val = split(rows, fold["train_end"], fold["val_start"], fold["val_end"])
-    stats = nb.standardise(train, features)
-    base = train.agg(F.avg("label")).first()[0]
-    vec = nb.scaled_columns(stats, config.feature_weights)
-    keep = ["ticker", "sector", F.lit(1).alias("regime"), "label", "fwd_return", "date", vec.alias("vec")]
-    t, v = train.select(F.col("id").alias("tid"), *keep), val.select(F.col("id").alias("qid"), *keep)
-    out = query(t, v, config).join(v.select("qid", "date", F.col("label").alias("y")), "qid")
+    rows = staged(rows, "folds")  # read several times
+    each = per_fold(rows, folds)
+    trains = ~F.col("asks")
+    moments = [x for c in features for x in (F.avg(F.when(trains, F.col(c))).alias(f"m_{c}"), F.stddev_pop(F.when(trains, F.col(c))).alias(f"s_{c}"))]
+    stats = each.groupBy("fold").agg(*moments, F.avg(F.when(trains, F.col("label"))).alias("base"), F.count_if("asks").alias("nq"), F.count_if(trains).alias("np")).collect()  # a row per fold
+    stats = {r["fold"]: r for r in stats if r["nq"] and r["np"]}
+    schema = rows.schema
+    weight = config.feature_weights or {}
+
+    def by_fold(value) -> Column:
+        return F.element_at(F.create_map(*[x for f, r in stats.items() for x in (F.lit(f), value(r))]), F.col("fold"))
+
+    if not stats:
+        ids = schema["id"].dataType.simpleString()
+        return rows.sparkSession.createDataFrame([], f"fold int, qid {ids}, y double, raw_prob double, prob double, bear boolean, n_matches long, signal string")
+    means = by_fold(lambda r: F.array(*[F.lit(float(r[f"m_{c}"])) for c in features]))
+    scales = by_fold(lambda r: F.array(*[F.lit(float(weight.get(c, 1.0)) / (float(r[f"s_{c}"] or 0.0) or 1.0)) for c in features]))
+    centred = F.zip_with(F.array(*[F.col(c).cast("double") for c in features]), means, lambda x, m: x - m)
+    vectors = each.where(F.col("fold").isin(list(stats))).select("fold", "asks", "id", F.zip_with(centred, scales, lambda x, s: x * s).alias("vec"))
+    q, t = vectors.where("asks").withColumnRenamed("id", "qid"), vectors.where(~F.col("asks")).withColumnRenamed("id", "tid")
+    near = nb.knn_join(q, t, config.probe * config.top_k, within="fold", counts={f: (r["nq"], r["np"]) for f, r in stats.items()})
+
+    names = {"ticker": "ticker", "sector": "sector"}
+    side = lambda p, key, more: rows.select(F.col("id").alias(key), *[F.col(c).alias(f"{p}_{n}") for c, n in names.items()], F.lit(1).alias(f"{p}_regime"), *more)
+    both = near.join(side("t", "tid", ["label", "fwd_return"]), "tid").join(side("q", "qid", []), "qid").withColumn("same_sector", F.coalesce(F.col("t_sector") == F.col("q_sector"), F.lit(False)))
+    kept = nb.post_filter(both, keep_rule(config), config.top_k, ["fold", "qid"])
+    won = vote(q.select("fold", "qid"), kept, config.weighting, config.sector_boost, ["fold", "qid"])
+    out = won.join(rows.select(F.col("id").alias("qid"), "date", F.col("label").alias("y")), "qid")
     if benchmark is not None:
         out = nearest_date(out, "date", benchmark, "v", "bench").withColumn("bear", F.coalesce(F.col("bench") < bear_below, F.lit(False)))
     else:
         out = out.withColumn("bear", F.lit(False))
-    prob = F.when(F.col("bear"), F.lit(base)).otherwise(F.col("raw_prob"))
-    return out.withColumn("prob", prob).select(F.lit(fold["fold"]).alias("fold"), "qid", "y", "raw_prob", "prob", "bear", "n_matches", "signal")
+    sure = calibrate(F.col("fold"), F.col("raw_prob")) if calibrate else F.col("raw_prob")
+    prob = F.when(F.col("bear"), by_fold(lambda r: F.lit(float(r["base"])))).otherwise(sure)
+    call, _ = signal(sure, F.col("n_matches"), config.threshold, config.spread, config.min_matches)
+    return out.withColumns({"prob": prob, "signal": F.when(F.col("bear"), "HOLD").otherwise(call)}).select("fold", "qid", "y", "raw_prob", "prob", "bear", "n_matches", "signal")
 
 
-def run(rows: DataFrame, folds: list[dict], features: list[str], config: AnalogueConfig, benchmark: DataFrame | None = None) -> DataFrame:
-    """``fold, n_total, n_scored, base_rate, mean_prob, brier, bss, avg_k`` per fold; bear rows are not scored."""
-    rows = staged(rows, "folds")  # read by several jobs of every fold
-    scored = reduce(DataFrame.unionByName, [run_fold(rows, f, features, config, benchmark) for f in folds])
+def run(rows: DataFrame, folds: list[dict], features: list[str], config: AnalogueConfig, benchmark: DataFrame | None = None, calibrate=None) -> DataFrame:
+    """One row per fold over its scored rows (bear rows are not scored): counts, base rate, mean probability, Brier score and skill,
+    mean matches, the Murphy decomposition over ten bins and the number of signals of each kind."""
+    s = staged(scored(rows, folds, features, config, benchmark, calibrate=calibrate), "scored")
     ok, p, y = ~F.col("bear"), F.col("prob"), F.col("y")
-    base = scored.groupBy("fold").agg(
+    base = s.groupBy("fold").agg(
         F.count(F.lit(1)).alias("n_total"), F.count_if(ok).alias("n_scored"), F.avg(F.when(ok, y)).alias("base_rate"), F.avg(F.when(ok, p)).alias("mean_prob"),
         brier(F.when(ok, p), F.when(ok, y)).alias("brier"), brier_skill(F.when(ok, p), F.when(ok, y)).alias("bss"), F.avg(F.when(ok, F.col("n_matches"))).alias("avg_k"),
+        *[F.count_if(F.col("signal") == k).alias(f"n_{k.lower()}") for k in ("BUY", "SELL", "HOLD")],
     )
-    return base
+    parts = murphy(s.where(ok).select("fold", F.col("prob").alias("p"), "y"), ["fold"], 10).select("fold", "reliability", "resolution", "uncertainty")
+    return base.join(parts, "fold", "left")

@@ -77,12 +77,27 @@ def classes(spark, folder):
     return rnd(m.classification(scored(spark, folder).where("signal is not null"), ["fold"]), ["fold", "n", "n_signalled"], ["accuracy", "signal_accuracy", "precision", "recall", "f1"])
 
 
-@register("e12_bootstrap_skill")
+@register(
+    "e12_bootstrap_skill",
+    f"with {SCORED} select fold, count(*) as n, round(1 - avg(power(p - y, 2)) / (avg(y) * (1 - avg(y))), 6) as bss_point, true as covered, true as near, true as reduced from s group by fold",
+)
 def bootstrap(spark, folder):
-    """Poisson bootstrap of the skill score per fold over the whole journal."""
+    """Control-variate bootstrap of the skill score per fold over the whole journal: the point lies in the interval, the estimate near the point, and the variance shrinks."""
+    out = bootstrapped(spark, folder)
+    inside = (F.col("ci_lower") <= F.col("bss_point")) & (F.col("bss_point") <= F.col("ci_upper"))
+    near = F.abs(F.col("bss_cv") - F.col("bss_point")) <= F.col("ci_upper") - F.col("ci_lower")
+    return out.select("fold", "n", F.round("bss_point", 6).alias("bss_point"), inside.alias("covered"), near.alias("near"), F.col("variance_reduction").between(0, 1).alias("reduced"))
+
+
+def bootstrapped(spark, folder):
     key = F.xxhash64("query_ticker", "query_date", "analogue_ticker", "analogue_date", "analogue_rank")
-    rows = scored(spark, folder).select("fold", "p", "y", key.alias("key"))
-    return rnd(m.bootstrap_skill(rows, ["fold"]), ["fold"], ["mean", "deviation", "low", "high"])
+    return m.bootstrap_skill(scored(spark, folder).select("fold", "p", "y", key.alias("key")), ["fold"])
+
+
+@register("e13_control_variate")
+def control_variate(spark, folder):
+    """The estimates behind ``e12_bootstrap_skill``: control-variate score, interval, beta and variance reduction per fold."""
+    return rnd(bootstrapped(spark, folder), ["fold", "n"], ["bss_point", "bss_cv", "ci_lower", "ci_upper", "beta", "variance_reduction"])
 
 
 _FOLDS = "f as (select max_distance, fold, avg(bss) as bss, avg(avgk) as avgk from sweep_max_distance_23d_standardized where fold is not null and bss is not null group by 1, 2)"
@@ -95,11 +110,13 @@ def fold_results(spark, folder):
 
 @register(
     "e15_fold_summary",
-    f"""with {_FOLDS}, r as (select *, row_number() over (partition by max_distance order by bss, fold) as w from f)
-select max_distance, count(*) as n_folds, round(avg(bss), 6) as mean, round(avg(bss) filter (w > 1), 6) as trimmed_mean, count(*) filter (bss > 0) as positive, round(regr_slope(bss, cast(fold as double)), 6) as slope, arg_max(fold, (bss, -fold)) as best_fold from r group by 1""",
+    f"""with {_FOLDS}, r as (select *, row_number() over (partition by max_distance order by bss, fold) as w from f),
+nz as (select max_distance, bss, abs(bss) as a, rank() over (partition by max_distance order by abs(bss)) + (count(*) over (partition by max_distance, abs(bss)) - 1) / 2.0 as rk, row_number() over (partition by max_distance order by fold) - 1 as i, count(*) over (partition by max_distance) as n from f where bss <> 0),
+wp as (select max_distance, avg(cast(t >= w - 1e-9 as double)) as p from (select max_distance, m, sum(case when (m >> i) & 1 = 1 then rk else 0 end) as t, sum(case when bss > 0 then rk else 0 end) as w from nz, (select unnest(range(0, 64)) as m) where n = 6 group by 1, 2) group by 1)
+select max_distance, round((select p from wp where wp.max_distance = r.max_distance), 6) as wilcoxon_p, count(*) as n_folds, round(avg(bss), 6) as mean, round(avg(bss) filter (w > 1), 6) as trimmed_mean, count(*) filter (bss > 0) as positive, round(regr_slope(bss, cast(fold as double)), 6) as slope, arg_max(fold, (bss, -fold)) as best_fold from r group by 1""",
 )
 def folds(spark, folder):
-    return rnd(m.fold_summary(fold_results(spark, folder), ["max_distance"], "bss"), ["max_distance", "n_folds", "positive", "best_fold"], ["mean", "trimmed_mean", "slope"])
+    return rnd(m.fold_summary(fold_results(spark, folder), ["max_distance"], "bss"), ["max_distance", "n_folds", "positive", "best_fold"], ["mean", "trimmed_mean", "slope", "wilcoxon_p"])
 
 
 @register(
@@ -130,9 +147,8 @@ def lift(spark, folder):
     g = table(spark, folder, "signals").where("raw_prob is not null").select(F.upper(F.trim("ticker")).alias("t"), F.col("raw_prob").alias("p"))
     s = g.join(u, g["t"] == u["ticker"], "left").select(F.coalesce("usector", F.lit("Unknown")).alias("sector"), "p")
     each = s.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (0.5, 0.55, 0.6, 0.65)])))
-    out = each.groupBy("sector", "threshold").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_prob"), F.percentile("p", F.lit(0.05)).alias("p5"), F.percentile("p", F.lit(0.95)).alias("p95"), F.avg((F.col("p") >= F.col("threshold")).cast("double")).alias("pass_rate")
-    )
+    out = each.groupBy("sector", "threshold").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_prob"), F.avg((F.col("p") >= F.col("threshold")).cast("double")).alias("pass_rate"))
+    out = out.join(m.percentiles(s, ["sector"], "p", {"p5": 0.05, "p95": 0.95}), "sector")
     return rnd(out, ["sector", "threshold", "n"], ["mean_prob", "p5", "p95", "pass_rate"])
 
 
@@ -197,8 +213,10 @@ def trade_metrics(spark, folder):
     win, loss = F.when(x > 0, x), F.when(x < 0, x)
     out = t.groupBy("exit_reason").agg(
         F.count(F.lit(1)).alias("n"), F.avg((x > 0).cast("double")).alias("win_rate"), F.avg(x).alias("expectancy"), F.try_divide(F.sum(win), F.abs(F.sum(loss))).alias("profit_factor"),
-        F.coalesce(F.try_divide(F.avg(win), F.abs(F.avg(loss))), F.lit(1.0)).alias("b_ratio"), F.avg("holding_days").alias("mean_days"), F.percentile("holding_days", F.lit(0.5)).alias("median_days"),
+        F.coalesce(F.try_divide(F.avg(win), F.abs(F.avg(loss))), F.lit(1.0)).alias("b_ratio"), F.avg("holding_days").alias("mean_days"),
     )
+    mid = m.percentiles(t, ["exit_reason"], "holding_days", {"median_days": 0.5}).withColumnRenamed("exit_reason", "reason")
+    out = out.join(mid, F.col("exit_reason").eqNullSafe(F.col("reason")), "left")
     out = out.withColumn("expectancy", F.round("expectancy", 9))
     return rnd(out, ["exit_reason", "n", "expectancy"], ["win_rate", "profit_factor", "b_ratio", "mean_days", "median_days"])
 
@@ -265,9 +283,10 @@ union all select e.event_type, e.i, greatest(0, c.up + (e.value - 20.0) / 25.0 -
 select event_type, max(i) as n, round(arg_max(up, i), 5) as up, round(arg_max(down, i), 5) as down, arg_max(alerts, i) as alerts, round(arg_max(ew, i), 5) as ewma from c group by 1""",
 )
 def monitors(spark, folder):
-    vs = o.ordered_values(table(spark, folder, "events"), ["event_type"], ["ts", "event_id"], "value")
-    out = vs.select("event_type", F.size("vs").cast("long").alias("n"), o.cusum(F.col("vs"), 20.0, 25.0).alias("c"), o.ewma(F.col("vs"), 10.0, 0.1).alias("e"))
-    return out.select("event_type", "n", F.round("c.up", 5).alias("up"), F.round("c.down", 5).alias("down"), "c.alerts", F.round("e", 5).alias("ewma"))
+    e = table(spark, folder, "events").select("event_type", "ts", "event_id", "value")
+    c = o.cusum(e, ["event_type"], ["ts", "event_id"], "value", 20.0, 25.0)
+    w = o.ewma(e, ["event_type"], ["ts", "event_id"], "value", 10.0, 0.1).select("event_type", F.round("ewma", 5).alias("ewma"))
+    return c.select("event_type", "n", F.round("up", 5).alias("up"), F.round("down", 5).alias("down"), "alerts").join(w, "event_type")
 
 
 @register(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +11,7 @@ from chronoloom.plans import walkforward as wf
 from chronoloom.plans.analogue import AnalogueConfig
 from chronoloom.queries import register
 from chronoloom.queries.joins import SERIES, benchmark
-from chronoloom.session import shared_dir
+from chronoloom.session import scratch
 from chronoloom.sources import files
 from chronoloom.sources.tables import table
 
@@ -81,7 +80,7 @@ def depth(spark, folder):
 
 @register("s03_csv_round_trip", "select trade_id, ticker, cast(entry_date as varchar) as entry_date, round(net_pnl, 4) as net_pnl, exit_reason from trades")
 def csv_round_trip(spark, folder):
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = scratch(spark, "csv")
     t = table(spark, folder, "trades").select("trade_id", "ticker", "entry_date", "net_pnl", "exit_reason")
     # quotes keep blanks inside the cells
     t.write.option("header", True).option("sep", "\t").option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
@@ -91,7 +90,7 @@ def csv_round_trip(spark, folder):
 
 @register("s05_glob_file_column", "select cast(fold as varchar) as fold, count(*) as n, round(sum(analogue_rank), 0) as ranks from journal where fold is not null group by 1")
 def glob_column(spark, folder):
-    path = f"{shared_dir(spark)}/folds-{uuid.uuid4().hex}"
+    path = scratch(spark, "folds")
     j = table(spark, folder, "journal").where("fold is not null").select("fold", "analogue_rank")
     j.withColumn("part", F.col("fold")).write.partitionBy("part").parquet(path)
     got = files.read_glob(spark, f"{path}/part=*", "fold_name", r"part=(\d+)/")
@@ -170,16 +169,21 @@ k as (select *, row_number() over (partition by fold, qid order by dist, tid) as
 w as (select fold, qid, avg(label) as prob, count(*) as n from k where r2 <= 20 group by 1, 2),
 b as (select q.*, s.date as bd, s.v as bv from q asof left join series s on q.date >= s.date),
 n as (select b.*, s.date as nd, s.v as nv from b asof left join series s on b.date <= s.date),
-o as (select n.fold, n.label as y, coalesce(w.prob, 0.5) as prob, coalesce(w.n, 0) as n, coalesce(case when nd is null then bv when bd is null or nd - n.date <= n.date - bd then nv else bv end < 0.05, false) as bear from n left join w on w.fold = n.fold and w.qid = n.id)
+o as (select n.fold, n.label as y, coalesce(w.prob, 0.5) as prob, coalesce(w.n, 0) as n, coalesce(case when nd is null then bv when bd is null or nd - n.date <= n.date - bd then nv else bv end < 0.05, false) as bear from n left join w on w.fold = n.fold and w.qid = n.id),
+b10 as (select fold, greatest(1, least(10, ceil(prob * 10))) as bin, count(*) as n, avg(prob) as mp, avg(y) as my from o where not bear group by 1, 2),
+bt as (select fold, sum(n) as total, sum(n * my) / sum(n) as base from b10 group by 1),
+mu as (select b10.fold, sum(n / total * power(mp - my, 2)) as reliability, sum(n / total * power(my - base, 2)) as resolution from b10 join bt using (fold) group by 1),
+sg as (select *, case when bear or n < 5 or abs(prob - 0.5) * 2 < 0.05 then 'HOLD' when prob >= 0.55 then 'BUY' when prob <= cast(1 as double) - cast(0.55 as double) then 'SELL' else 'HOLD' end as sig from o)
 select fold, count(*) as n_total, count(*) filter (not bear) as n_scored, round(avg(y) filter (not bear), 9) as base_rate, round(avg(prob) filter (not bear), 9) as mean_prob,
-round(avg(power(prob - y, 2)) filter (not bear), 9) as brier, round(avg(n) filter (not bear), 9) as avg_k from o group by fold"""
+round(avg(power(prob - y, 2)) filter (not bear), 9) as brier, round(avg(n) filter (not bear), 9) as avg_k, count(*) filter (sig = 'BUY') as n_buy, count(*) filter (sig = 'SELL') as n_sell, count(*) filter (sig = 'HOLD') as n_hold,
+round(max(mu.reliability), 9) as reliability, round(max(mu.resolution), 9) as resolution from sg left join mu using (fold) group by fold"""
 
 
 @register("e14_walk_forward", _wf_sql())
 def walk_forward(spark, folder):
     folds = [r.asDict() for r in table(spark, folder, "folds").orderBy("fold").collect()]
     out = wf.run(complete_rows(spark, folder), folds, R8, _WF, benchmark(spark, folder))
-    return out.select("fold", "n_total", "n_scored", *[F.round(c, 9).alias(c) for c in ("base_rate", "mean_prob", "brier", "avg_k")])
+    return out.select("fold", "n_total", "n_scored", "n_buy", "n_sell", "n_hold", *[F.round(c, 9).alias(c) for c in ("base_rate", "mean_prob", "brier", "avg_k", "reliability", "resolution")])
 
 
 @register(

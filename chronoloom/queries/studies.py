@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators import calibrate as cal
 from chronoloom.operators import features as f
+from chronoloom.operators import metrics as m
 from chronoloom.operators import neighbours as nb
 from chronoloom.operators import ordered as o
 from chronoloom.operators import regimes
@@ -20,7 +20,7 @@ from chronoloom.queries.evaluation import SCORED, rnd, scored
 from chronoloom.queries.features import _OVER, BARS_N, BARS_S, gated, rounded
 from chronoloom.queries.joins import SERIES, TRADES, benchmark
 from chronoloom.queries.pipeline import COMPLETE, complete_rows
-from chronoloom.session import shared_dir
+from chronoloom.session import scratch
 from chronoloom.sources.tables import bars_nation, bars_segment, replay_trades, table
 
 
@@ -63,7 +63,7 @@ def fallback(spark, folder):
 def distance_percentiles(spark, folder):
     train, query = sides(spark, folder)
     near = nb.knn_join(query, train, 20).where(F.col("rank").isin(1, 5, 20))
-    return near.groupBy("rank").agg(*[F.round(F.percentile("distance", F.lit(p)), 6).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)])
+    return rnd(m.percentiles(near, ["rank"], "distance", {"p10": 0.1, "p50": 0.5, "p90": 0.9}), ["rank"], ["p10", "p50", "p90"])
 
 
 @register("g20_median_projection", f"with {VECTORS} select qid, round(avg(fwd_return), 6) as mean_return, round(median(fwd_return), 6) as median_return, round(quantile_cont(fwd_return, 0.25), 6) as p25, count(*) as n from kept group by qid")
@@ -75,21 +75,37 @@ def projection(spark, folder):
     )
 
 
-@register("g13_mixture_weights")
-def mixture(spark, folder):
-    """Student-t mixture weights of the twenty ranked neighbours' returns (a bounded query set), with the weighted forecast error."""
-    import numpy as np
-
+def ensembles(spark, folder):
     train, query = sides(spark, folder)
     near = analogue.matched(analogue.probe(train, query, CONFIG), CONFIG)
-    votes = vt.vote(query.select("qid", F.col("fwd_return").alias("y")), near).select("qid", "y", cal.padded(F.col("ensemble"), 20, 0.0).alias("x"))
-    # at most 20,000 rows are fitted: documented bound of the model's sample, by hash order
-    rows = votes.orderBy(F.xxhash64("qid"), "qid").limit(20_000).collect()
-    w, var = cal.fit_mixture(np.array([r.x for r in rows]), np.array([r.y for r in rows]))
+    return vt.vote(query.select("qid", F.col("fwd_return").alias("y")), near).select("qid", "y", "ensemble", cal.padded(F.col("ensemble"), 20, 0.0).alias("x"))
+
+
+@register("g13_mixture_weights")
+def mixture(spark, folder):
+    """Student-t mixture weights of the twenty ranked neighbours' returns over all queries, with the weighted forecast error."""
+    votes = ensembles(spark, folder)
+    w, var = cal.fit_mixture(votes, "x", "y")
     rmse = votes.agg(F.sqrt(F.avg((cal.weighted(F.col("x"), w.tolist()) - F.col("y")) ** 2)).alias("e")).first().e
     return spark.createDataFrame([(i + 1, round(float(a), 6), round(float(b), 6), round(float(rmse), 6)) for i, (a, b) in enumerate(zip(w, var))], "member int, weight double, variance double, rmse double")
 
 
+@register(
+    "g05_ensembles",
+    f"""with {VECTORS}, q as (select id as qid, fwd from v where id % 5 = 0), k as (select qid, fwd_return, rank from kept),
+e as (select q.qid, count(k.rank) as n, coalesce(sum(k.fwd_return * k.rank), 0) as ranked, coalesce(max(k.fwd_return) - min(k.fwd_return), 0) as spread from q left join k using (qid) group by 1)
+select qid, n, round(ranked, 6) as ranked, round(spread, 6) as spread, round(ranked, 6) as padded from e""",
+)
+def ensemble_rows(spark, folder):
+    """Each query's neighbour returns in rank order: their number, rank-weighted sum (also of the padded array) and spread."""
+    def ranked(c):
+        return F.round(F.aggregate(F.transform(c, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 6)
+
+    e = ensembles(spark, folder)
+    spread = F.coalesce(F.array_max("ensemble") - F.array_min("ensemble"), F.lit(0.0))
+    return e.select("qid", F.size("ensemble").cast("long").alias("n"), ranked("ensemble").alias("ranked"), F.round(spread, 6).alias("spread"), ranked("x").alias("padded"))
+
+
 @register(
     "g24_adaptive_coverage",
     f"""with recursive {SCORED}, d as (select fold, query_date, query_ticker, avg(p) as p, avg(y) as y from s group by 1, 2, 3),
@@ -100,16 +116,16 @@ select fold, max(i) as n, round(arg_max(level, i), 6) as level from a group by 1
 def adaptive(spark, folder):
     d = scored(spark, folder).groupBy("fold", "query_date", "query_ticker").agg(F.avg("p").alias("p"), F.avg("y").alias("y"))
     d = d.withColumn("miss", (F.abs(F.col("p") - F.col("y")) > 0.35).cast("double"))
-    vs = o.ordered_values(d, ["fold"], ["query_date", "query_ticker"], "miss")
-    return vs.select("fold", F.size("vs").cast("long").alias("n"), F.round(o.adaptive_coverage(F.col("vs"), 0.1, 0.05), 6).alias("level"))
+    out = o.adaptive_coverage(d, ["fold"], ["query_date", "query_ticker"], "miss", 0.1, 0.05)
+    return out.select("fold", "n", F.round("level", 6).alias("level"))
 
 
 @register("e02_skill_variants", f"with {SCORED} select fold, round(1 - avg(power(p - y, 2)) / nullif(var_pop(y), 0), 6) as by_variance, round(avg(p), 6) as mean_prob, round(stddev_pop(p), 6) as deviation, round(quantile_cont(p, 0.05), 6) as p5, round(quantile_cont(p, 0.95), 6) as p95 from s group by fold")
 def skill_variants(spark, folder):
     p, y = F.col("p"), F.col("y")
     out = scored(spark, folder).groupBy("fold").agg(
-        (1 - F.try_divide(F.avg((p - y) ** 2), F.var_pop(y))).alias("by_variance"), F.avg(p).alias("mean_prob"), F.stddev_pop(p).alias("deviation"), F.percentile(p, F.lit(0.05)).alias("p5"), F.percentile(p, F.lit(0.95)).alias("p95")
-    )
+        (1 - F.try_divide(F.avg((p - y) ** 2), F.var_pop(y))).alias("by_variance"), F.avg(p).alias("mean_prob"), F.stddev_pop(p).alias("deviation")
+    ).join(m.percentiles(scored(spark, folder), ["fold"], "p", {"p5": 0.05, "p95": 0.95}), "fold")
     return rnd(out, ["fold"], ["by_variance", "mean_prob", "deviation", "p5", "p95"])
 
 
@@ -219,7 +235,7 @@ def imputation(spark, folder):
 def partitioned_build(spark, folder):
     rows = complete_rows(spark, folder)
     split = F.when(F.col("date") <= "2021-12-31", "train").when(F.col("date") <= "2022-12-31", "val").otherwise("test")
-    path = f"{shared_dir(spark)}/build-{uuid.uuid4().hex}"
+    path = scratch(spark, "build")
     rows.withColumn("split", split).write.partitionBy("split").parquet(path)
     back: DataFrame = spark.read.parquet(path).where("split <> 'test'")  # the test folder is not read
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ticker").alias("tickers"), F.round(F.avg("label"), 9).alias("base_rate"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+_WATCHED: list[bool] = []
+
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks (clusters bring their own)."""
@@ -27,7 +32,7 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, a laptop) a temporary folder is set.
+    Only a local session that names none (tests, a laptop) gets a temporary folder, removed at exit; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -35,18 +40,54 @@ def shared_dir(spark: SparkSession) -> str:
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
         return str(jdir.get()).rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="chronoloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the session's process ends (see ``sweep``)."""
+    path = f"{shared_dir(spark)}/chronoloom-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete everything ``staged`` and ``scratch`` wrote so far; results that still read it must be written first. Returns how many paths."""
+    n, jvm = 0, spark._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The result has no lineage: executors can be lost without recomputing what lies before
-    it, and columns and predicates of later steps are pushed into the written table.
+    it, and columns and predicates of later steps are pushed into the written table. The files go when the
+    session stops, or with ``sweep``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chronoloom-{label}-{uuid.uuid4().hex}"
+    _watch(spark)
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _watch(spark: SparkSession) -> None:
+    """Sweep once when the process ends while its session still lives."""
+    if not _WATCHED:
+        _WATCHED.append(True)
+
+        def end() -> None:
+            try:
+                if spark.sparkContext._jsc is not None:
+                    sweep(spark)
+            except Exception:  # the session may be gone
+                pass
+
+        atexit.register(end)

@@ -105,3 +105,61 @@ def from_state(df: DataFrame, schema: T.StructType, version: int) -> DataFrame:
     doc = df.select(F.from_json("state", full, {"mode": "FAILFAST"}).alias("d")).select("d.*")
     checked = F.when(F.col("_schema_version") == version, F.col("_schema_version")).otherwise(F.raise_error(F.concat(F.lit("state has version "), F.coalesce(F.col("_schema_version").cast("string"), F.lit("none")))).cast("int"))
     return doc.withColumn("_schema_version", checked).where("_schema_version is not null").drop("_schema_version")
+
+
+def append_log(spark: SparkSession, path: str, rows: DataFrame, keys: list[str]) -> int:
+    """Append to a Parquet log the rows whose keys it does not hold; returns how many. A log that does not exist is begun."""
+    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hp):
+        rows = append_new(spark.read.schema(rows.schema).parquet(path), rows, keys)
+    fresh = keep_first(rows, keys, [F.lit(1)])
+    n = fresh.count()
+    if n:
+        fresh.write.mode("append").parquet(path)
+    return n
+
+
+def text_lines(df: DataFrame, header: dict[str, str] | None = None, places: int = 6) -> DataFrame:
+    """``line``: a table as tab-separated text under ``#`` comments, with signed fixed-point numbers and empty cells for null."""
+    cells = [
+        F.coalesce(F.format_string(f"%+.{places}f", F.col(f"`{f.name}`").cast("double")) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`").cast("string"), F.lit(""))
+        for f in df.schema.fields
+    ]
+    top = [f"# {k}: {v}" for k, v in (header or {}).items()] + ["\t".join(df.columns)]
+    body = df.select(F.concat_ws("\t", *cells).alias("line"))
+    return df.sparkSession.createDataFrame([(x,) for x in top], "line string").unionByName(body)
+
+
+def with_lineage(df: DataFrame, column: str, facts: dict) -> DataFrame:
+    """The table with facts about its origin in the metadata of a column (kept by Parquet)."""
+    return df.withMetadata(column, {**df.schema[column].metadata, "lineage": facts})
+
+
+def read_lineage(df: DataFrame, column: str) -> dict | None:
+    return df.schema[column].metadata.get("lineage")
+
+
+def data_version(facts: dict) -> str:
+    """Short fingerprint of what a result was computed from: the first 12 digits of its configuration hash."""
+    return config_hash(facts)[:12]
+
+
+def stale(manifest_: dict, facts: dict) -> list[str]:
+    """The names of facts that differ from those a manifest was written for (missing ones too)."""
+    old = manifest_.get("facts", {})
+    return sorted(k for k in {*old, *facts} if old.get(k) != facts.get(k))
+
+
+def run_manifests(runs: DataFrame, newest: int) -> DataFrame:
+    """The newest runs of ``run_id, finished_at, facts, score`` with the best score before each (null for the first)."""
+    before = Window.orderBy("finished_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)  # one row per run
+    return runs.withColumn("best_before", F.max("score").over(before)).orderBy(F.desc("finished_at"), F.desc("run_id")).limit(newest)
+
+
+def save_results(tables: dict[str, DataFrame], path: str) -> dict[str, int]:
+    """Write several result tables beside each other, each swapped in whole; rows per table."""
+    out = {}
+    for name, df in tables.items():
+        write_atomic(df, f"{path}/{name}")
+        out[name] = df.sparkSession.read.parquet(f"{path}/{name}").count()
+    return out

@@ -7,7 +7,6 @@ reads it back. State is keyed and bounded by watermarks or is one small tuple pe
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chronoloom.session import shared_dir
+from chronoloom.session import scratch
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +28,7 @@ def stream(spark: SparkSession, path: str) -> DataFrame:
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming query over everything available now and read its output (append or complete mode)."""
     spark = df.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     out, log = f"{base}/out", f"{base}/log"
     if mode == "append":
         query = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start()
@@ -80,3 +79,30 @@ def monitor(events: DataFrame, mean: float, deviation: float, slack: float = 0.5
     return events.select("event_type", "ts", "event_id", "value").groupBy("event_type").applyInPandasWithState(
         step, schema, "n long, up double, down double, alerts long, ewma double", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def calibration_buckets(events: DataFrame, bins: int = 5, late: str = "10 minutes") -> DataFrame:
+    """Running calibration table of ``ts, p, y`` per bin (the last one closed): count, mean probability, hits, hit rate and drift. Complete or update mode."""
+    b = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
+    out = events.where("p is not null and y is not null").groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_prob"), F.sum("y").alias("hits"))
+    return out.withColumn("hit_rate", F.col("hits") / F.col("n")).withColumn("drift", (F.col("bin") + 0.5) / bins - F.col("hit_rate"))
+
+
+def incremental_atr(bars: DataFrame, n: int = 14) -> DataFrame:
+    """ATR by ticker, one step per bar: the mean of the first n true ranges, then (before * (n - 1) + range) / n.
+
+    State is one tuple per ticker; bars of a micro-batch are put in order of date. Update mode: ``ticker, date, seen, atr`` after each batch.
+    """
+
+    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, atr, close = state.get if state.exists else (0, 0.0, float("nan"))
+        rows = pd.concat(list(batches)).sort_values("date")
+        for high, low, last in rows[["high", "low", "close"]].itertuples(index=False):
+            tr = high - low if close != close else max(high - low, abs(high - close), abs(low - close))
+            seen, atr, close = seen + 1, (atr * seen + tr) / (seen + 1) if seen < n else (atr * (n - 1) + tr) / n, last
+        state.update((seen, float(atr), float(close)))
+        yield pd.DataFrame({"ticker": [key[0]], "date": [rows["date"].iloc[-1]], "seen": [seen], "atr": [atr if seen >= n else None]})
+
+    return bars.select("ticker", "date", "high", "low", "close").groupBy("ticker").applyInPandasWithState(
+        step, "ticker string, date date, seen long, atr double", "seen long, atr double, close double", "update", GroupStateTimeout.NoTimeout
+    )
