@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from chronoloom.session import staged
 
 MAX_SOURCES = 10_000
-ROUNDS = 6
 CLOSE = 0.0005
 
 
@@ -71,7 +70,7 @@ def exponent_for_entropy(natural: np.ndarray, target: float) -> float:
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None, mode: str = "repetition") -> list[dict]:
-    """One dict per wanted source: source, target_share, max_repeats, tokens, n, weight, budget.
+    """One dict per wanted source: source, target_share, max_repeats, tokens, n, weight, budget, exponent.
 
     ``sizes``: source, tokens. ``targets``: source, target_share, max_repeats, at most
     MAX_SOURCES distinct sources (checked). mode="repetition": wanted shares, bent only as far as ``total``
@@ -90,29 +89,33 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None, mode:
     natural = tokens / tokens.sum() if tokens.sum() else tokens
     if mode == "entropy":
         flat = (natural > 0) / max(1, (natural > 0).sum())
-        w = weights(natural, flat, exponent_for_entropy(natural, entropy(share / share.sum() if share.sum() else share)))
+        exponent = exponent_for_entropy(natural, entropy(share / share.sum() if share.sum() else share))
+        w = weights(natural, flat, exponent)
+    elif mode == "repetition":
+        exponent = 0.0 if total is None else exponent_for_total(natural, share, tokens, repeats, total)
+        w = weights(natural, share, exponent)
     else:
-        w = weights(natural, share, 0.0 if total is None else exponent_for_total(natural, share, tokens, repeats, total))
+        raise ValueError("mode must be 'repetition' or 'entropy'")
     limit = largest_total(w, tokens, repeats)
     budget = w * min(limit, total if total is not None else math.inf) if limit else w * 0
     for r, wi, b in zip(rows, w, budget):
-        r |= {"tokens": int(r["tokens"] or 0), "n": int(r["n"] or 0), "weight": float(wi), "budget": float(b)}
+        r |= {"tokens": int(r["tokens"] or 0), "n": int(r["n"] or 0), "weight": float(wi), "budget": float(b), "exponent": float(exponent)}
     return rows
 
 
-def mix(items: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7) -> DataFrame:
+def mix(items: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, mode: str = "repetition") -> DataFrame:
     """Which records are used how often, with the shares really reached.
 
     ``items``: id, source, tokens. Rows: ``id, source, tokens, copies, target_share, reached_share,
     max_repeats``; one row per record used. Records of unlisted or null sources, and records
     without tokens, are not used. Ids may repeat (each row is a record). Budgets are met from
     below: what a block permutation leaves open, because a long record did not fit, is drawn again
-    from the records that do fit, until every source is within CLOSE of its budget or nothing fits (ROUNDS times at most). Empty in, empty out.
+    from the records that do fit, until every source is within CLOSE of its budget or nothing fits. Empty in, empty out. ``total`` and ``mode`` as for ``plan``.
     """
     spark = items.sparkSession
     clean = items.select("id", "source", F.col("tokens").cast("long").alias("tokens")).where("source is not null and tokens > 0")
     base = staged(clean, "mixbase")
-    plans = plan(base.select("source", "tokens"), targets, total)
+    plans = plan(base.select("source", "tokens"), targets, total, mode)
     rows, rest, whole = [], {}, {r["source"]: r["budget"] for r in plans}
     for r in plans:
         if r["budget"] <= 0:
@@ -126,7 +129,9 @@ def mix(items: DataFrame, targets: DataFrame, total: float | None = None, seed:
     id_type = items.schema["id"].dataType.simpleString()
     columns = ["id", "source", "tokens", "target_share", "max_repeats", "passes", "taken"]
     schema = f"id {id_type}, source string, tokens long, target_share double, max_repeats int, passes int, taken boolean"
-    for turn in range(ROUNDS):
+    turn = -1
+    while True:  # every round takes a record of each source for which one fits, or ends
+        turn += 1
         room = spark.createDataFrame([(k, v) for k, v in rest.items() if v > 0], "source string, room long")
         can = state.join(F.broadcast(room), "source", "left").withColumn("can", F.coalesce(~F.col("taken") & (F.col("tokens") <= F.col("room")), F.lit(False)))
         counts = can.where("can").groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES).collect()

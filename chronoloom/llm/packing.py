@@ -5,7 +5,8 @@ fit decreasing. Dual feasible functions give a lower bound of the containers tha
 packing of a partition needs; where the packing meets it, it is certified as optimal. What a
 partition uses beyond its (unrounded) bound is its gap: that many of its emptiest containers,
 and one more, move to new partitions that mix several old ones, where their items are packed
-again; the new packing is kept where it needs fewer containers. ROUNDS rounds at most.
+again; the new packing is kept where it needs fewer containers. Rounds go on until one saves nothing.
+What stays behind after an exchange is certified anew, against the bound of its own items.
 
 An item larger than the capacity is cut into pieces of the full capacity, each with a
 container of its own, and a rest that is packed like any other item.
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 from chronoloom.session import staged
 
 ITEMS_PER_PARTITION = 20_000
-ROUNDS = 3
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -52,16 +52,18 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return int(np.ceil(round(bound(sizes, capacity), 9)))
 
 
-def bound(sizes: np.ndarray, capacity: int) -> float:
+def bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> float:
     """Containers that any packing needs, unrounded: the best of several dual feasible functions.
 
+    With ``counts``, ``sizes`` are distinct and each occurs so many times.
+
     Total size; the rounding functions of order 1..30; and, for thresholds t up to half the
     capacity, the function that counts items above capacity - t as whole containers and drops
     those below t.
     """
     if not len(sizes):
         return 0.0
-    size, times = np.unique(sizes, return_counts=True)
+    size, times = np.unique(sizes, return_counts=True) if counts is None else (np.asarray(sizes), np.asarray(counts))
     size, times = size[size > 0].astype(np.int64), times[size > 0]
     if not len(size):
         return 1.0
@@ -123,19 +125,20 @@ def pack(
         return _packed(pdf, int(pdf["part"].iat[0]))
 
     done = staged(at.groupBy("pack_kind", "capacity_tokens", "part").applyInPandas(fresh, schema), "packing")
-    for turn in range(1, ROUNDS + 1):
+    turn, saved = 0, 1
+    while saved:
+        turn += 1
         moving = F.col("moves")
-        stats = done.where(moving).groupBy("pack_kind").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("part").alias("p")).collect()
-        if not stats or all(r["p"] < 2 for r in stats):
+        stats = done.where(moving).groupBy("pack_kind").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("part").alias("p"), F.count_distinct("part", "bin").alias("b")).collect()
+        if all(r["p"] < 2 for r in stats):
             break
         # whole containers move, to fewer partitions than they came from
         target = {r["pack_kind"]: max(1, min(-(-r["c"] // per_partition), r["p"] - 1)) for r in stats}
         to = F.element_at(F.create_map(*[x for k, v in target.items() for x in (F.lit(k), F.lit(v))]), F.col("pack_kind"))
-        seeded = F.xxhash64("part", "bin", F.lit(turn))
-        moved = done.where(moving).withColumn("to", F.pmod(seeded, to))
-        stay = done.where(~moving)
-        repacked = moved.groupBy("pack_kind", "capacity_tokens", "to").applyInPandas(_repacked(turn * (parts + 1)), schema)
-        done = staged(stay.unionByName(repacked), "packing")
+        moved = done.where(moving).withColumn("to", F.pmod(F.xxhash64("part", "bin", F.lit(turn)), to))
+        again = staged(moved.groupBy("pack_kind", "capacity_tokens", "to").applyInPandas(_repacked(turn * (parts + 1)), schema + ", saved long"), "repacked")
+        saved = again.agg(F.sum("saved")).first()[0]  # per group, on one of its rows
+        done = staged(done.where(~moving).unionByName(again.drop("saved")), "packing")
     return done.unionByName(alone).select(
         "pack_kind", "capacity_tokens", F.concat_ws("-", "part", F.hex("bin")).alias("bin_id"), F.col("doc_id").alias(id_col), "piece",
         (F.col("piece") * F.col("capacity_tokens")).cast("long").alias("start_token"), "tokens", F.col("used").alias("bin_tokens"), (F.col("gap") == 0).alias("certified"),
@@ -148,7 +151,13 @@ def _repacked(base_part: int):
     def again(pdf: pd.DataFrame) -> pd.DataFrame:
         new = _packed(pdf, base_part + int(pdf["to"].iat[0]))
         old = len(pdf[["part", "bin"]].drop_duplicates())
-        return new if new["bin"].nunique() < old else pdf[new.columns]
+        n = new["bin"].nunique()
+        if n >= old:
+            least = lower_bound(pdf["tokens"].to_numpy(dtype=np.int64), int(pdf["capacity_tokens"].iat[0]))
+            new = pdf[new.columns].assign(gap=old - least)
+        saved = np.zeros(len(new), dtype=np.int64)
+        saved[0] = max(old - n, 0)
+        return new.assign(saved=saved)
 
     return again
 
@@ -160,23 +169,35 @@ def _packed(pdf: pd.DataFrame, part: int) -> pd.DataFrame:
     used = np.bincount(where, weights=sizes, minlength=n).astype(np.int64)
     least = bound(sizes, capacity)
     spare = n - least
-    moves = np.zeros(n, dtype=bool)
+    moves, gap = np.zeros(n, dtype=bool), np.full(n, n - int(np.ceil(round(least, 9))))
     if spare > 1e-9:
         moves[np.argsort(used, kind="stable")[: int(np.ceil(spare)) + 1]] = True
+        # if those leave, the others are judged by their own items
+        stay = ~moves
+        gap[stay] = min(gap[0], int(stay.sum()) - lower_bound(sizes[stay[where]], capacity))
     return pd.DataFrame(
         {
             "pack_kind": pdf["pack_kind"].to_numpy(), "capacity_tokens": capacity, "part": part, "bin": where, "doc_id": pdf["doc_id"].to_numpy(), "piece": pdf["piece"].to_numpy(),
-            "tokens": sizes, "used": used[where], "gap": n - int(np.ceil(round(least, 9))), "moves": moves[where],
+            "tokens": sizes, "used": used[where], "gap": gap[where], "moves": moves[where],
         }
     )
 
 
 def report(packed: DataFrame) -> DataFrame:
-    """Per kind: containers, tokens, fill and the bound by total size that no packing can beat."""
-    bins = packed.groupBy("pack_kind", "capacity_tokens", "bin_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("c"))
+    """Per kind: containers, tokens, fill and the least number that any packing of all items needs.
+
+    The bound is that of the dual feasible functions over the whole input: sizes are counted first, so
+    one kind is at most one row per size up to its capacity.
+    """
+    bins = packed.groupBy("pack_kind", "capacity_tokens", "bin_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("c"), F.min("certified").alias("certified"))
     agg = bins.groupBy("pack_kind", "capacity_tokens").agg(
-        F.count(F.lit(1)).alias("containers"), F.sum("c").alias("pieces"), F.sum("t").alias("tokens"), F.max("t").alias("fullest")
-    )
-    return agg.withColumn("least_containers", F.ceil(F.col("tokens") / F.col("capacity_tokens"))).withColumn(
-        "fill", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))
+        F.count(F.lit(1)).alias("containers"), F.count_if("certified").alias("certified"), F.sum("c").alias("pieces"), F.sum("t").alias("tokens"), F.max("t").alias("fullest")
     )
+
+    def least(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = bound(pdf["tokens"].to_numpy(dtype=np.int64), int(pdf["capacity_tokens"].iat[0]), pdf["count"].to_numpy(dtype=np.int64))
+        return pd.DataFrame({"pack_kind": [pdf["pack_kind"].iat[0]], "least_containers": [int(np.ceil(round(n, 9)))]})
+
+    sizes = packed.groupBy("pack_kind", "capacity_tokens", "tokens").count()
+    bounds = sizes.groupBy("pack_kind").applyInPandas(least, "pack_kind string, least_containers long")
+    return agg.join(bounds, "pack_kind").withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm import digest, similar, topn
 from chronoloom.llm.queries import register
+from chronoloom.operators import neighbours
 from chronoloom.sources.tables import table
 
 PROBS = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -20,6 +21,22 @@ def p1_distance_percentiles(spark, folder):
     return out.select("fold", "prob", "estimate", F.col("n").cast("long").alias("n"), "n_below", "n_upto", "rank_error", F.lit(0.005).alias("error_bound"))
 
 
+_USABLE = "analogue_distance is not null and not isnan(analogue_distance) and not isinf(analogue_distance) and analogue_distance >= 0"
+
+
+@register(
+    "p1_check",
+    f"""select fold, count(*) filter ({_USABLE}) as n, cast({len(PROBS)} as bigint) as certified, true as ordered from journal
+where fold in (select fold from sweep_max_distance_23d_standardized where fold is not null) group by fold having count(*) filter ({_USABLE}) > 0""",
+)
+def p1_check(spark, folder):
+    """Per fold: the number of usable distances, how many percentiles are certified within the bound, and whether they rise with their probability."""
+    p = p1_distance_percentiles(spark, folder)
+    rising = F.array_sort(F.collect_list(F.struct("prob", "estimate")))
+    listed = p.groupBy("fold").agg(F.max("n").alias("n"), F.count_if((F.col("rank_error") <= F.col("error_bound")) & (F.col("n_below") <= F.col("n_upto"))).alias("certified"), rising.alias("e"))
+    return listed.select("fold", "n", "certified", (F.transform("e", lambda x: x["estimate"]) == F.array_sort(F.transform("e", lambda x: x["estimate"]))).alias("ordered"))
+
+
 @register(
     "p4_found",
     """
@@ -38,6 +55,19 @@ def p4_found(spark, folder):
     return best.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "rank", "ranked_id")
 
 
+@register(
+    "p4_closest_analogues",
+    f"""with r as (select fold, analogue_distance, query_date, query_ticker, analogue_ticker, analogue_date,
+ row_number() over (partition by fold order by analogue_distance, query_date nulls last, query_ticker nulls last, analogue_ticker nulls last, analogue_date nulls last) as k from journal where fold is not null and {_USABLE})
+select fold, cast(k as integer) as rank, analogue_distance, cast(query_date as varchar) as query_date, query_ticker, analogue_ticker, cast(analogue_date as varchar) as analogue_date from r where k <= 25""",
+)
+def p4_closest_analogues(spark, folder):
+    """The 25 closest analogues of each fold: few groups that hold the whole journal, so each goes through the range sort."""
+    rows = table(spark, folder, "journal").where(digest.usable(F.col("analogue_distance"))).select("fold", "analogue_distance", "query_date", "query_ticker", "analogue_ticker", "analogue_date")
+    best = topn.top_n(rows.withColumn("closeness", -F.col("analogue_distance")), "fold", "closeness", ["query_date", "query_ticker", "analogue_ticker", "analogue_date"], 25)
+    return best.select("fold", "rank", "analogue_distance", F.date_format("query_date", "yyyy-MM-dd").alias("query_date"), "query_ticker", "analogue_ticker", F.date_format("analogue_date", "yyyy-MM-dd").alias("analogue_date"))
+
+
 RETURNS = ["ret_1d", "ret_3d", "ret_7d", "ret_14d", "ret_30d", "ret_45d", "ret_60d", "ret_90d"]
 
 
@@ -65,3 +95,13 @@ def p5_found(spark, folder):
 def p5_neighbours(spark, folder):
     """The ten nearest rows of other tickers for every row whose id is divisible by 100, against all rows."""
     return similar.neighbours(_returns(spark, folder), F.col("row_id") % 100 == 0, 10)
+
+
+@register("p5_recall", f"select count(*) as queries, true as enough from full_db where row_id % 100 = 0 and ticker is not null and {' and '.join(c + ' is not null' for c in RETURNS)}")
+def p5_recall(spark, folder):
+    """Recall at ten of the open search against an exact search of the same queries; it has to reach 0.9."""
+    rows = _returns(spark, folder)
+    asked = rows.where(F.col("row_id") % 100 == 0).select(F.col("row_id").alias("qid"), "vec", "label")
+    exact = neighbours.knn_join(asked, rows.select(F.col("row_id").alias("tid"), "vec", "label"), 10, other="label")
+    found = p5_neighbours(spark, folder).select(F.col("row_id").alias("qid"), F.col("near_id").alias("tid"), "rank")
+    return neighbours.recall(exact, found, 10).select("queries", (F.col("recall") >= 0.9).alias("enough"))

@@ -105,17 +105,19 @@ def _within(radius: float):
     reach = 2.0 * radius + SLACK + 1e-7
 
     def posting(d, near, dn, m):
-        posts, cut = [], np.empty(len(d), dtype=np.int32)
-        for i in range(len(d)):
-            row, ids = dn[i], near[i]
-            if row[-1] <= row[m - 1] + 2 * reach and len(ids) < d.shape[1]:  # more pivots in reach than were sorted
-                ids = np.flatnonzero(d[i] <= row[m - 1] + 2 * reach)
+        # how many ranks a pivot can move: the pivots that may change order with it
+        moved = (np.abs(dn[:, :, None] - dn[:, None, :]) <= reach).sum(axis=2) - 1
+        cut = np.where(dn <= dn[:, m - 1 : m] + reach, np.minimum(moved, m), 0).sum(axis=1).astype(np.int32)
+        in_reach = (dn <= dn[:, :1] + reach).sum(axis=1)
+        posts = [ids[:n] for ids, n in zip(near.astype(np.int32), in_reach)]
+        if near.shape[1] < d.shape[1]:
+            for i in np.flatnonzero(dn[:, -1] <= dn[:, m - 1] + 2 * reach):  # more pivots in reach than were sorted
+                ids = np.flatnonzero(d[i] <= dn[i, m - 1] + 2 * reach)
                 row = d[i][ids]
                 ids, row = ids[np.argsort(row, kind="stable")], np.sort(row)
-            posts.append(ids[row <= row[0] + reach].astype(np.int32))
-            # how many ranks a pivot can move: the pivots that may change order with it
-            moved = np.searchsorted(row, row + reach, side="right") - np.searchsorted(row, row - reach, side="left") - 1
-            cut[i] = int(np.minimum(moved, m)[row <= row[m - 1] + reach].sum())
+                posts[i] = ids[row <= row[0] + reach].astype(np.int32)
+                moved_i = np.searchsorted(row, row + reach, side="right") - np.searchsorted(row, row - reach, side="left") - 1
+                cut[i] = int(np.minimum(moved_i, m)[row <= row[m - 1] + reach].sum())
         return posts, cut
 
     return posting

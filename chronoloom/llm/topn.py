@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEAVY_ROWS = 10_000
+HEAVY_ROWS = 500
 HEAVY_SHARE = 10_000
 
 

@@ -54,7 +54,7 @@ def test_percentiles_against_brute_force(spark, monkeypatch, within, broadcast):
         assert r.rank_error == pytest.approx(rank_error(v, r.prob, r.estimate)) and r.rank_error <= 0.01
 
 
-def test_impossible_digest_falls_back_to_exact(spark):
+def test_a_coarse_digest_is_refined_until_it_holds(spark):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([(float(x),) for x in rng.random(3000)], "d double")
     got = digest.percentiles(df, [], "d", [0.3, 0.5], max_rank_error=1e-4, compression=4).collect()
