@@ -71,6 +71,11 @@ def fit_compression(df: DataFrame, features: list[str], label: str, size: int) -
     return dict(zip(features, importance.tolist())), top
 
 
+def top_features(importance: dict[str, float], n: int) -> list[str]:
+    """The n most important features, equal ones by name."""
+    return sorted(importance, key=lambda c: (-importance[c], c))[:n]
+
+
 def project(features: list[str], matrix: np.ndarray) -> Column:
     """The compressed vector: the features times the projection."""
     return F.array(*[sum((F.col(c) * F.lit(float(matrix[i, k])) for i, c in enumerate(features)), F.lit(0.0)) for k in range(matrix.shape[1])])

@@ -122,7 +122,7 @@ def append_log(spark: SparkSession, path: str, rows: DataFrame, keys: list[str])
 def text_lines(df: DataFrame, header: dict[str, str] | None = None, places: int = 6) -> DataFrame:
     """``line``: a table as tab-separated text under ``#`` comments, with signed fixed-point numbers and empty cells for null."""
     cells = [
-        F.coalesce(F.format_string(f"%+.{places}f", F.col(f"`{f.name}`").cast("double")) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`").cast("string"), F.lit(""))
+        F.when(F.col(f"`{f.name}`").isNull(), "").otherwise(F.format_string(f"%+.{places}f", F.col(f"`{f.name}`").cast("double")) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`").cast("string"))
         for f in df.schema.fields
     ]
     top = [f"# {k}: {v}" for k, v in (header or {}).items()] + ["\t".join(df.columns)]
