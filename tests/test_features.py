@@ -75,3 +75,19 @@ def test_average_rank_matches_pandas(spark):
     got = {(r.v, r.r) for r in df.collect()}
     want = pd.Series(v, dtype=float).rank(pct=True)
     assert got == {(x, None if x is None else y) for x, y in zip(v, want)}
+
+
+def test_wilder_seeds(spark):
+    c = [10.0 + (i * 7 % 5) for i in range(30)]
+    ranges = [0.0, *(abs(a - b) for a, b in zip(c[1:], c))]  # high = low = close
+    for seed in ("mean", "first"):
+        got = f.wilder(bars(spark, c).withColumns({"high": F.col("close"), "low": F.col("close")}), seed=seed).orderBy("date").collect()
+        mean = sum(ranges[:14]) / 14
+        if seed == "first":
+            mean = ranges[0]
+            for v in ranges[1:14]:
+                mean += (v - mean) / 14
+        want = [mean]
+        for v in ranges[14:]:
+            want.append(want[-1] + (v - want[-1]) / 14)
+        assert [r.atr_14 for r in got[:13]] == [None] * 13 and [r.atr_14 for r in got[13:]] == pytest.approx(want)

@@ -81,3 +81,52 @@ def test_split_guards(spark):
     assert train.count() == 3 and val.count() == 3
     with pytest.raises(ValueError, match="training ends"):
         wf.split(df, D(2020, 1, 4), D(2020, 1, 4), D(2020, 1, 6))
+
+
+def test_coerced_and_rules(spark):
+    rows = spark.createDataFrame([("2020-01-02", "1.5"), ("02.01.2020", "1"), (None, "1"), ("2020-01-03", "x"), ("2020-01-04", "Infinity")], "d string, n string")
+    got = contracts.coerced(rows, {"d": "yyyy-MM-dd"}, ["n"]).collect()
+    assert [(str(r.d), r.n) for r in got] == [("2020-01-02", 1.5)]
+    bars = spark.createDataFrame([("a", 1.0, 2.0, 3.0, 1.0, 5.0)], "ticker string, open double, high double, low double, close double, volume double").withColumn("date", F.current_date())
+    assert {r.rule for r in contracts.violations(bars, contracts.bar_rules()).where("broken > 0").collect()} == {"high not below low"}
+
+
+def test_append_log_lineage_and_staleness(spark, tmp_path):
+    path = str(tmp_path / "log")
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    assert [files.append_log(spark, path, df, ["k"]), files.append_log(spark, path, df, ["k"])] == [2, 0] and spark.read.parquet(path).count() == 2
+    marked = files.with_lineage(df, "k", {"rows": 3})
+    marked.write.parquet(str(tmp_path / "m"))
+    assert files.read_lineage(spark.read.parquet(str(tmp_path / "m")), "k") == {"rows": 3} and files.read_lineage(df, "k") is None
+    assert files.stale({"facts": {"a": 1, "b": 2}}, {"a": 1, "b": 3, "c": 4}) == ["b", "c"] and len(files.data_version({"a": 1})) == 12
+    lines = [r.line for r in files.text_lines(spark.createDataFrame([(1, -0.5), (None, None)], "a int, b double"), {"x": "y"}).collect()]
+    assert lines == ["# x: y", "a\tb", "1\t-0.500000", "\t"]
+
+
+def test_model_of_another_version(spark, tmp_path):
+    from chronoloom.plans import model
+
+    spark.createDataFrame([('{"version": 0}',)], "doc string").write.text(str(tmp_path / "model"))
+    with pytest.raises(ValueError, match="version 0"):
+        model.load(spark, str(tmp_path))
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from chronoloom import session
+
+    none = N(isDefined=lambda: False)
+    context = N(master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(N(conf=N(get=lambda *_: None), sparkContext=context))
+    assert session.shared_dir(N(conf=N(get=lambda *_: "s3://x/"), sparkContext=context)) == "s3://x"
+
+
+def test_staged_files_can_be_swept(spark):
+    from pathlib import Path
+
+    from chronoloom import session
+
+    path = session.staged(spark.range(3), "sweeping").inputFiles()[0].removeprefix("file://")
+    assert Path(path).exists() and session.sweep(spark) >= 1 and not Path(path).exists()

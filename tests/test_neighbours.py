@@ -107,3 +107,31 @@ def test_sax(spark):
         nb.sax_distance(F.array(F.lit(0), F.lit(1)), F.array(F.lit(2), F.lit(2)), breaks).alias("d"),
     ).first()
     assert d.w == [0, 2, 2] and d.d == pytest.approx(0.5)
+
+
+def test_other_and_within_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nb, "BLOCK", 7)
+    monkeypatch.setattr(nb, "POINT_BLOCK", 9)
+    rng = np.random.default_rng(21)
+    pts = [(i, [float(x) for x in rng.integers(4, size=3)], int(rng.integers(3)) if i % 11 else None, i % 2) for i in range(60)]
+    p = spark.createDataFrame(pts, "tid long, vec array<double>, g int, f int")
+    q = p.withColumnRenamed("tid", "qid")
+    got = {}
+    for r in nb.knn_join(q, p, 4, other="g", within="f").collect():
+        got.setdefault(r.qid, []).append((r.rank, r.tid, r.distance))
+    for i, v, g, f in pts:
+        near = sorted((float(np.linalg.norm(np.subtract(v, w))), j) for j, w, h, e in pts if e == f and (g is None or h is None or g != h))[:4]
+        assert [(t, pytest.approx(d)) for _, t, d in sorted(got[i])] == [(j, pytest.approx(d)) for d, j in near]
+    assert nb.knn_join(q.limit(0), p, 3, within="f").count() == 0
+
+
+def test_cell_search_finds_most(spark):
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(1500, 6))
+    p = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(9000, None)], "tid long, vec array<double>")
+    q = p.where("tid < 100").withColumnRenamed("tid", "qid")
+    exact = nb.knn_join(q, p, 10)
+    r = nb.recall(exact, nb.cell_search(q, p, 10), 10).first()
+    assert r.queries == 100 and r.recall >= 0.8
+    assert nb.recall(exact, nb.cell_search(q, p, 10, cells=20, probes=20), 10).first().recall == 1.0
+    assert nb.cell_search(q, p.limit(0), 10).count() == 0
