@@ -26,7 +26,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,21 +84,30 @@ def _permute(index: DataFrame, pivots, columns: str, posting) -> DataFrame:
         p = shared.value
         m = min(ORDERED, len(p))
         wide = min(m + 8, len(p))
-        for pdf in batches:
-            for at in range(0, len(pdf), 1024):
-                part = pdf.iloc[at : at + 1024].copy()
-                d = np.sqrt(_squared(np.stack(part["vec"].to_numpy()), p))
+        for batch in batches:
+            vec, perms, posts, cuts = _matrix(batch.column("vec")), [], [], []
+            for at in range(0, len(vec), 1024):
+                d = _squared(vec[at : at + 1024], p)  # the root is taken of the nearest only
                 near = np.argpartition(d, wide - 1, axis=1)[:, :wide] if wide < len(p) else np.tile(np.arange(len(p)), (len(d), 1))
-                dn = np.take_along_axis(d, near, 1)
+                dn = np.sqrt(np.take_along_axis(d, near, 1))
                 order = np.argsort(dn, axis=1, kind="stable")
-                near, dn = np.take_along_axis(near, order, 1), np.take_along_axis(dn, order, 1)
-                part["perm"] = list(near[:, :m].astype(np.int32))
-                part["home"] = near[:, 0].astype(np.int32)
-                part["posts"], part["cutoff"] = posting(d, near, dn, m)
-                yield part
+                near, dn = np.take_along_axis(near, order, 1).astype(np.int32), np.take_along_axis(dn, order, 1)
+                listed, cut = posting(d, near, dn, m)
+                perms.append(near[:, :m])
+                posts += listed
+                cuts.append(cut)
+            if not len(vec):
+                continue
+            perm = np.concatenate(perms)
+            more = [_lists([m] * len(perm), perm.ravel()), pa.array(np.ascontiguousarray(perm[:, 0])), _lists([len(x) for x in posts], np.concatenate(posts)), pa.array(np.concatenate(cuts))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "perm", "home", "posts", "cutoff"])
 
     schema = f"{columns}, perm array<int>, home int, posts array<int>, cutoff int"
-    return index.mapInPandas(run, schema)
+    return index.mapInArrow(run, schema)
+
+
+def _lists(lengths: list[int], values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values))
 
 
 def _within(radius: float):
@@ -109,11 +119,12 @@ def _within(radius: float):
         moved = (np.abs(dn[:, :, None] - dn[:, None, :]) <= reach).sum(axis=2) - 1
         cut = np.where(dn <= dn[:, m - 1 : m] + reach, np.minimum(moved, m), 0).sum(axis=1).astype(np.int32)
         in_reach = (dn <= dn[:, :1] + reach).sum(axis=1)
-        posts = [ids[:n] for ids, n in zip(near.astype(np.int32), in_reach)]
+        posts = [ids[:n] for ids, n in zip(near, in_reach)]
         if near.shape[1] < d.shape[1]:
             for i in np.flatnonzero(dn[:, -1] <= dn[:, m - 1] + 2 * reach):  # more pivots in reach than were sorted
-                ids = np.flatnonzero(d[i] <= dn[i, m - 1] + 2 * reach)
-                row = d[i][ids]
+                far = np.sqrt(d[i])
+                ids = np.flatnonzero(far <= dn[i, m - 1] + 2 * reach)
+                row = far[ids]
                 ids, row = ids[np.argsort(row, kind="stable")], np.sort(row)
                 posts[i] = ids[row <= row[0] + reach].astype(np.int32)
                 moved_i = np.searchsorted(row, row + reach, side="right") - np.searchsorted(row, row - reach, side="left") - 1
@@ -125,7 +136,7 @@ def _within(radius: float):
 
 def _nearest(posts: int):
     def posting(d, near, dn, m):
-        return list(near[:, :posts].astype(np.int32)), np.zeros(len(d), dtype=np.int32)
+        return list(near[:, :posts]), np.zeros(len(d), dtype=np.int32)
 
     return posting
 
@@ -143,12 +154,11 @@ def _unary(perms: np.ndarray, names: np.ndarray) -> np.ndarray:
 
 
 def _keep(q, d, ids, labels, k):
-    """Positions of the rows that matter per query: k per label and 2k in all, by (distance, id)."""
+    """Positions of the rows that matter per query: k per label (a code) and 2k in all, by (distance, id)."""
     order = np.lexsort((ids, d, q))
     q1, l1 = q[order], labels[order]
-    codes = pd.factorize(l1)[0]
-    by = np.lexsort((np.arange(len(order)), codes, q1))
-    same = np.concatenate(([False], (q1[by][1:] == q1[by][:-1]) & (codes[by][1:] == codes[by][:-1])))
+    by = np.lexsort((np.arange(len(order)), l1, q1))
+    same = np.concatenate(([False], (q1[by][1:] == q1[by][:-1]) & (l1[by][1:] == l1[by][:-1])))
     ok = np.empty(len(order), dtype=bool)
     ok[by] = _running(same) < k
     order, q1 = order[ok], q1[ok]
@@ -162,50 +172,60 @@ def _running(same: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(same, 0, at)) if len(same) else at
 
 
+def _array(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Equally long lists as the rows of a matrix, without a Python object per row."""
+    lists = _array(column)
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
 def _search(postings: DataFrame, k: int, radius: float | None, id_type: str, label_type: str) -> DataFrame:
     """Blocks of a file's queries and points -> ``vid, near_id, near_label, distance``."""
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"vid": [], "near_id": [], "near_label": [], "distance": []})
-        qs, xs = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        if qs.empty or xs.empty:
-            return empty
-        qv, xv = np.stack(qs["vec"].to_numpy()), np.stack(xs["vec"].to_numpy())
-        qp, xp = np.stack(qs["perm"].to_numpy()), np.stack(xs["perm"].to_numpy())
-        names = np.unique(np.concatenate([qp.ravel(), xp.ravel()]))
-        m = qp.shape[1]
-        held = xs["ids"].to_numpy()
-        counts = np.array([len(v) for v in held])
-        starts = np.concatenate(([0], np.cumsum(counts)))
-        ids, labels = np.concatenate(held), np.concatenate(xs["labels"].to_numpy())
-        ux, vids, cut = None if radius is None else _unary(xp, names), qs["vid"].to_numpy(), qs["cutoff"].to_numpy()
-        out = []
-        # without a radius every pair is ranked: fewer queries at a time
-        step = 256 if radius is not None else max(1, min(256, PAIRS // len(ids)))
-        for at in range(0, len(qs), step):
-            part = slice(at, at + step)
-            if radius is None:
-                qi, xi = (x.ravel() for x in np.indices((len(qv[part]), len(xv))))
-            else:
-                footrule = m * (m + 1) - 2.0 * (_unary(qp[part], names) @ ux.T)
-                qi, xi = np.nonzero(footrule <= cut[part][:, None])
-            gap = qv[part][qi] - xv[xi]
-            d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-            if radius is not None:
-                ok = d <= radius
-                qi, xi, d = qi[ok], xi[ok], d[ok]
-            if not len(qi):
-                continue
-            times = counts[xi]
-            rep = np.repeat(np.arange(len(qi)), times)
-            row = np.repeat(starts[xi] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-            best = _keep(qi[rep], d[rep], ids[row], labels[row], k)
-            rep, row = rep[best], row[best]
-            out.append(pd.DataFrame({"vid": vids[part][qi[rep]], "near_id": ids[row], "near_label": labels[row], "distance": d[rep]}))
-        return pd.concat(out) if out else empty
+    def block(table: pa.Table) -> pa.Table:
+        asks = table["asks"].to_numpy()
+        qs, xs = table.filter(pa.array(asks)).combine_chunks(), table.filter(pa.array(~asks)).combine_chunks()
+        vids, held, names_ = _array(qs["vid"]), _array(xs["ids"]), _array(xs["labels"])
+        ids, labels = held.flatten(), names_.flatten()
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(qs) and len(xs):
+            qv, xv, qp, xp = (_matrix(t[c]) for t, c in ((qs, "vec"), (xs, "vec"), (qs, "perm"), (xs, "perm")))
+            names = np.unique(np.concatenate([qp.ravel(), xp.ravel()]))
+            m = qp.shape[1]
+            counts = held.value_lengths().to_numpy()
+            starts = np.concatenate(([0], np.cumsum(counts)))
+            order_ids, codes = pa.compute.rank(ids, "ascending", tiebreaker="dense").to_numpy(), labels.dictionary_encode().indices.to_numpy()
+            ux, cut = None if radius is None else _unary(xp, names), qs["cutoff"].to_numpy()
+            # without a radius every pair is ranked: fewer queries at a time
+            step = 256 if radius is not None else max(1, min(256, PAIRS // len(ids)))
+            for at in range(0, len(qs), step):
+                part = slice(at, at + step)
+                if radius is None:
+                    qi, xi = (x.ravel() for x in np.indices((len(qv[part]), len(xv))))
+                else:
+                    footrule = m * (m + 1) - 2.0 * (_unary(qp[part], names) @ ux.T)
+                    qi, xi = np.nonzero(footrule <= cut[part][:, None])
+                gap = qv[part][qi] - xv[xi]
+                d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+                if radius is not None:
+                    ok = d <= radius
+                    qi, xi, d = qi[ok], xi[ok], d[ok]
+                if not len(qi):
+                    continue
+                times = counts[xi]
+                rep = np.repeat(np.arange(len(qi)), times)
+                row = np.repeat(starts[xi] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
+                best = _keep(qi[rep], d[rep], order_ids[row], codes[row], k)
+                rep, row = rep[best], row[best]
+                found.append((qi[rep] + at, row, d[rep]))
+        q, row, d = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"vid": vids.take(pa.array(q)), "near_id": ids.take(pa.array(row)), "near_label": labels.take(pa.array(row)), "distance": pa.array(d)})
 
     schema = f"vid {id_type}, near_id {id_type}, near_label {label_type}, distance double"
-    return postings.groupBy("cell", "i", "j").applyInPandas(block, schema)
+    return postings.groupBy("cell", "i", "j").applyInArrow(block, schema)
 
 
 def _blocks(index: DataFrame, queries: DataFrame) -> DataFrame:
