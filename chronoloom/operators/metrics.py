@@ -60,6 +60,14 @@ def classification(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def report(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
+    """All scores of ``p, y, signal`` in one row per group: counts, Brier score and skill, decomposition, mean and deviation of p, classification."""
+    p, y = F.col("p"), F.col("y")
+    base = rows.groupBy(*by).agg(brier(p, y).alias("brier"), brier_skill(p, y).alias("bss"), F.avg(p).alias("mean_prob"), F.stddev_pop(p).alias("deviation"))
+    parts = murphy(rows, by, bins).select(*by, "reliability", "resolution", "uncertainty")
+    return classification(rows, by).join(base, by).join(parts, by)
+
+
 def crps(ensemble: Column, y: Column) -> Column:
     """Continuous ranked probability score of an ensemble: E|X - y| - E|X - X'| / 2; NULL below two members.
 

@@ -75,7 +75,10 @@ def knn_join(
     extra = [c for c in (within, other) if c]
     q, p = queries.select("qid", "vec", *extra).where(ok), points.select("tid", "vec", *extra).where(ok)
     if within is None:
-        sizes = {None: counts or (q.count(), p.count())}
+        if counts is None:  # both sides in one job
+            both = q.select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(p.select(F.lit(0).alias("a"), F.lit(1).alias("b")))
+            counts = tuple(int(v or 0) for v in both.agg(F.sum("a"), F.sum("b")).first())
+        sizes = {None: counts}
     elif counts is not None:
         sizes = counts
     else:
@@ -273,6 +276,12 @@ def dtw(a: Column, b: Column, window: int = 2) -> Column:
     return run(a, b)
 
 
+def dtw_mask(probed: DataFrame, a: str, b: str, limit: float, window: int = 2) -> DataFrame:
+    """Adds ``warped`` (the warped distance of two array columns) and ``kept``, whether it is at most ``limit`` (unknown: not kept)."""
+    out = probed.withColumn("warped", dtw(F.col(a), F.col(b), window))
+    return out.withColumn("kept", F.coalesce(F.col("warped") <= limit, F.lit(False)))
+
+
 def emd_distance(a: np.ndarray, b: np.ndarray, time_penalty: float = 0.5, price_penalty: float = 1.0) -> float:
     """Earth mover's distance of two equally long profiles as uniform point sets (lag, value).
 

@@ -165,6 +165,15 @@ def dtw_rerank(spark, folder):
     return nb.post_filter(both.withColumn("distance", nb.dtw(F.col("a"), F.col("b"))), F.lit(True), 5).select("qid", "rank", F.round("distance", 6).alias("distance"))
 
 
+@register("j16_dtw_mask", _dtw_sql().split("r as (select")[0].rstrip().rstrip(",") + " select qid, count(*) as n, count(*) filter (sqrt(c8_8) <= 2.5) as kept, round(sum(sqrt(c8_8)), 4) as total from w group by qid")
+def dtw_masked(spark, folder):
+    """Of the 20 nearest those whose warped distance is at most 2.5, as a mask."""
+    train, query = sides(spark, folder)
+    near = nb.knn_join(query, train, 20)
+    both = near.join(train.select("tid", F.slice("vec", 1, 8).alias("a")), "tid").join(query.select("qid", F.slice("vec", 1, 8).alias("b")), "qid")
+    return nb.dtw_mask(both, "a", "b", 2.5).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("kept"), F.round(F.sum("warped"), 4).alias("total"))
+
+
 @register("j19_emd_rerank")
 def emd_rerank(spark, folder):
     """The 30 nearest reranked by earth mover's distance over the first eight dimensions, ten kept."""

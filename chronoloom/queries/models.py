@@ -265,3 +265,60 @@ def drift(spark, folder):
     b = e.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).first()
     out = drift_report(e, ["value"], ["ts", "event_id"], {"value": (b.m or 0.0, b.s or 1.0)})
     return out.select("feature", "moment", "n", F.round("up", 4).alias("up"), F.round("down", 4).alias("down"), "alerts", "drifted")
+
+
+def _simulated_sql():
+    scaled = ", ".join(f"(x.{c} - st.m_{c}) / st.s_{c}" for c in R8)
+    stats = ", ".join(f"avg({c}) as m_{c}, case when stddev_pop({c}) = 0 then 1 else stddev_pop({c}) end as s_{c}" for c in R8)
+    return f"""with {COMPLETE}, st as (select {stats} from rows where {_TRAIN}),
+z as (select x.*, [{scaled}] as z from rows x, st), d as (select q.id as qid, t.id as tid, q.ticker as qt, t.ticker as tt, t.label, t.fwd_return, list_distance(q.z, t.z) as dist from z q join z t on q.id % 10 = 0 and t.id % 10 <> 0),
+p as (select *, row_number() over (partition by qid order by dist, tid) as r from d), k as (select *, row_number() over (partition by qid order by dist, tid) as r2 from p where r <= 60 and dist <= 2.5 and qt <> tt),
+w as (select qid, avg(label) as raw_prob, avg(fwd_return) as mean_return, count(*) as n_matches from k where r2 <= 20 group by 1),
+o as (select rows.id, rows.date, rows.ticker, rows.sector, coalesce(raw_prob, 0.5) as raw_prob, coalesce(mean_return, 0) as mean_return, coalesce(n_matches, 0) as n_matches from rows left join w on w.qid = rows.id where rows.id % 10 = 0)
+select id, cast(date as varchar) as date, ticker, sector, case when n_matches < 5 or abs(raw_prob - 0.5) * 2 < 0.05 then 'HOLD' when raw_prob >= 0.55 then 'BUY' when raw_prob <= cast(1 as double) - cast(0.55 as double) then 'SELL' else 'HOLD' end as signal,
+round(raw_prob, 6) as confidence, 'KNN' as signal_source, n_matches, round(mean_return, 6) as mean_7d_return from o"""
+
+
+@register("g36_simulated_signals", _simulated_sql())
+def simulated(spark, folder):
+    """Fit, ask and put the answers into the form of the signals table."""
+    train, asked = _sides(spark, folder)
+    out = model.fit(train, R8, _MODEL).predict(asked).join(asked.select(F.col("id").alias("qid"), "date", "ticker", "sector"), "qid")
+    return out.select(
+        F.col("qid").alias("id"), F.date_format("date", "yyyy-MM-dd").alias("date"), "ticker", "sector", "signal", F.round("prob", 6).alias("confidence"), F.lit("KNN").alias("signal_source"), "n_matches", F.round("mean_return", 6).alias("mean_7d_return")
+    )
+
+
+@register("s12_saved_signals", "select signal_id, upper(trim(ticker)) as ticker, cast(date as varchar) as date, round(confidence, 6) as confidence, n_matches, cast(null as varchar) as note from signals where ticker is not null")
+def saved_signals(spark, folder):
+    """Signals saved as text and loaded again with a check of the columns they must have; a column the file lacks is NULL."""
+    path = scratch(spark, "signals")
+    s = table(spark, folder, "signals").where("ticker is not null").select("signal_id", F.upper(F.trim("ticker")).alias("ticker"), "date", "confidence", "n_matches")
+    files.write_csv(s, path, "\t")
+    back = files.read_required(spark, path, "signal_id long, ticker string, date date, confidence double, n_matches int, note string", ["signal_id", "ticker", "date", "confidence"], "\t")
+    return back.select("signal_id", "ticker", F.date_format("date", "yyyy-MM-dd").alias("date"), F.round("confidence", 6).alias("confidence"), "n_matches", "note")
+
+
+@register("s13_atomic_write", "select 'second' as version, count(*) as n, count(distinct ticker) as tickers from trades")
+def atomic_write(spark, folder):
+    """A table replaced as a whole beside its readers, found under the first of several paths that exists."""
+    path = scratch(spark, "atomic")
+    t = table(spark, folder, "trades").select("ticker")
+    for version, rows in (("first", t.limit(0)), ("second", t)):
+        files.write_atomic(rows.withColumn("version", F.lit(version)), path)
+    back = spark.read.parquet(files.first_existing(spark, [f"{path}-none", path]))
+    return back.groupBy("version").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ticker").alias("tickers"))
+
+
+@register(
+    "e10_report",
+    f"""with {SCORED}, x as (select * from s where signal is not null), b as (select fold, greatest(1, least(10, ceil(p * 10))) as bin, count(*) as n, avg(p) as mp, avg(y) as my from x group by 1, 2),
+t as (select fold, sum(n) as total, sum(n * my) / sum(n) as base from b group by 1), d as (select fold, sum(n / total * power(mp - my, 2)) as reliability, sum(n / total * power(my - base, 2)) as resolution from b join t using (fold) group by 1)
+select fold, count(*) as n, round(avg(power(p - y, 2)), 6) as brier, round(1 - avg(power(p - y, 2)) / (avg(y) * (1 - avg(y))), 6) as bss, round(avg(p), 6) as mean_prob, round(stddev_pop(p), 6) as deviation, round(max(d.reliability), 6) as reliability, round(max(d.resolution), 6) as resolution,
+round(avg(cast((p > 0.5) = (y = 1) as double)), 6) as accuracy, round(coalesce(count(*) filter (signal = 'BUY' and y = 1) / nullif(count(*) filter (signal = 'BUY'), 0), 0), 6) as "precision" from x join d using (fold) group by fold""",
+)
+def whole_report(spark, folder):
+    from chronoloom.operators.metrics import report
+
+    out = report(scored(spark, folder).where("signal is not null"), ["fold"])
+    return out.select("fold", "n", *[F.round(c, 6).alias(c) for c in ("brier", "bss", "mean_prob", "deviation", "reliability", "resolution", "accuracy", "precision")])

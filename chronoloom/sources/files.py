@@ -17,6 +17,17 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: st
     return (reader.option("comment", comment) if comment else reader).csv(path)
 
 
+def read_required(spark: SparkSession, path: str, schema: T.StructType | str, required: list[str], sep: str = ",") -> DataFrame:
+    """A delimited file whose header must name the required columns; the others of the schema are NULL where it lacks them. Order does not matter."""
+    names = spark.read.option("header", True).option("sep", sep).csv(path).columns
+    missing = [c for c in required if c not in names]
+    if missing:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    raw = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).option("header", True).option("sep", sep).csv(path)
+    return raw.select(*[(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted.fields])
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.option("header", True).option("sep", sep).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").mode("overwrite").csv(path)
 
