@@ -4,14 +4,14 @@ Method. The facts of a key form, over time, a step function: at each moment the
 the fact of highest precedence among those already effective. The moments at which the
 winner changes cut the time line into half-open validity intervals. Each interval is
 decomposed into dyadic time nodes (aligned powers of two of a leaf of 2**36 microseconds,
-some 19 hours, up to 2**39, some 6 days); an event lies in one node of each size, so a
+some 19 hours, up to 2**40, some 13 days); an event lies in one node of each size, so a
 plain equi-join on (key, node size, node) finds its interval and the exact half-open test
 removes what shares only a leaf. No range join, no per-key sort of events.
 
 Scale. A key may hold a third of all facts or events: facts are first reduced to one row
 per (key, moment) with map-side combining, running maxima are taken inside blocks of
 2**41 microseconds (some 25 days) and carried across blocks by a second window over one row
-per block, and a key's events are spread over nodes of at most six days. Only (key, time) pairs
+per block, and a key's events are spread over nodes of at most 13 days. Only (key, time) pairs
 are filed under their nodes, each once; whole event rows are joined to the answer by key and time.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions.timeparts import micros
 
 LEAF_SHIFT = 36
-TOP_LEVEL = 3
+TOP_LEVEL = 4
 BLOCK_SHIFT = 41
 
 
