@@ -41,7 +41,10 @@ SLACK = 1e-9
 
 
 def points(df: DataFrame, row_id: Column, label: Column, features: list[str]) -> DataFrame:
-    """``row_id, label, vec, h`` of the rows whose features are all finite numbers."""
+    """``row_id, label, vec, h, h2`` of the rows whose features are all finite numbers.
+
+    ``h, h2`` are 128 bits that stand for the vector wherever rows are grouped or joined by it.
+    """
     ok = F.lit(True)
     for c in features:
         v = F.col(f"`{c}`").cast("double")
@@ -49,19 +52,21 @@ def points(df: DataFrame, row_id: Column, label: Column, features: list[str]) ->
     # adding 0.0 turns -0.0 into 0.0, so that equal vectors hash alike
     vec = F.array(*[F.col(f"`{c}`").cast("double") + F.lit(0.0) for c in features])
     rows = df.where(ok & row_id.isNotNull() & label.isNotNull()).select(row_id.alias("row_id"), label.alias("label"), vec.alias("vec"))
-    return rows.withColumn("h", F.xxhash64("vec"))
+    return rows.withColumns({"h": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
 
 
 def distinct_points(rows: DataFrame, k: int) -> DataFrame:
-    """``h, vec, ids, labels``: each distinct vector with the rows that can be among anyone's k nearest.
+    """``vid, h, h2, vec, ids, labels``: each distinct vector with the rows that can be among anyone's k nearest.
 
     A row can only matter while fewer than k rows of its label and fewer than 2k rows in all
     precede it (by row id); window limits prune both before their shuffle.
     """
-    per_label = rows.withColumn("k1", F.row_number().over(Window.partitionBy("h", "vec", "label").orderBy("row_id"))).where(F.col("k1") <= k)
-    kept = per_label.withColumn("k2", F.row_number().over(Window.partitionBy("h", "vec").orderBy("row_id"))).where(F.col("k2") <= 2 * k)
-    listed = kept.groupBy("h", "vec").agg(F.array_sort(F.collect_list(F.struct("row_id", "label"))).alias("held"))
-    return listed.select(F.col("held")[0]["row_id"].alias("vid"), "h", "vec", F.col("held.row_id").alias("ids"), F.col("held.label").alias("labels"))
+    slim = rows.select("row_id", "label", "h", "h2")
+    per_label = slim.withColumn("k1", F.row_number().over(Window.partitionBy("h", "h2", "label").orderBy("row_id"))).where(F.col("k1") <= k)
+    kept = per_label.withColumn("k2", F.row_number().over(Window.partitionBy("h", "h2").orderBy("row_id"))).where(F.col("k2") <= 2 * k)
+    listed = kept.groupBy("h", "h2").agg(F.array_sort(F.collect_list(F.struct("row_id", "label"))).alias("held"))
+    vectors = rows.groupBy("h", "h2").agg(F.first("vec").alias("vec"))
+    return listed.join(vectors, ["h", "h2"]).select(F.col("held")[0]["row_id"].alias("vid"), "h", "h2", "vec", F.col("held.row_id").alias("ids"), F.col("held.label").alias("labels"))
 
 
 def fit_pivots(index: DataFrame, n: int) -> np.ndarray:
@@ -251,13 +256,13 @@ def _rank(found: DataFrame, asking: DataFrame, k: int) -> DataFrame:
     """The k nearest rows of other labels for each asking (vid, label)."""
     both = asking.join(found, "vid").where(F.col("label") != F.col("near_label"))
     w = Window.partitionBy("vid", "label").orderBy("distance", "near_id")
-    best = both.select("vid", "label", "h", "vec", "near_id", "distance").distinct()
+    best = both.select("vid", "label", "h", "h2", "near_id", "distance").distinct()
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _columns(index: DataFrame) -> tuple[str, str, str]:
     i, lab = index.schema["vid"].dataType.simpleString(), index.schema["labels"].dataType.elementType.simpleString()
-    return f"vid {i}, h long, vec array<double>, ids array<{i}>, labels array<{lab}>", i, lab
+    return f"vid {i}, h long, h2 long, vec array<double>, ids array<{i}>, labels array<{lab}>", i, lab
 
 
 def neighbours_within(rows: DataFrame, k: int, radius: float) -> DataFrame:
@@ -276,9 +281,9 @@ def neighbours_within(rows: DataFrame, k: int, radius: float) -> DataFrame:
     placed = staged(_permute(index, fit_pivots(index, n), columns, _within(radius)), "permutations")
     found = _search(_blocks(placed, placed.withColumn("probes", F.array("home"))), k, radius, id_type, label_type)
     # labels beyond the kept rows ask as well: the answer depends on (vector, label) only
-    every = rows.select("h", "vec", "label").distinct().join(index.select("h", "vec", "vid"), ["h", "vec"])
-    best = _rank(found, every.select("vid", "h", "vec", "label"), k)
-    return rows.join(best.drop("vid"), ["h", "vec", "label"]).select("row_id", "near_id", "rank", "distance")
+    every = rows.select("h", "h2", "label").distinct().join(index.select("h", "h2", "vid"), ["h", "h2"])
+    best = _rank(found, every.select("vid", "h", "h2", "label"), k)
+    return rows.join(best.drop("vid"), ["h", "h2", "label"]).select("row_id", "near_id", "rank", "distance")
 
 
 def neighbours(rows: DataFrame, queries: Column, k: int, posts: int = 3, probes: int = 4) -> DataFrame:
@@ -294,8 +299,8 @@ def neighbours(rows: DataFrame, queries: Column, k: int, posts: int = 3, probes:
         return rows.sparkSession.createDataFrame([], f"row_id {id_type}, near_id {id_type}, rank int, distance double")
     placed = staged(_permute(index, fit_pivots(index, n), columns, _nearest(max(posts, probes))), "permutations")
     asked = rows.where(queries)
-    every = asked.select("h", "vec", "label").distinct().join(index.select("h", "vec", "vid"), ["h", "vec"])
+    every = asked.select("h", "h2", "label").distinct().join(index.select("h", "h2", "vid"), ["h", "h2"])
     whom = placed.join(every.select("vid").distinct(), "vid", "left_semi").withColumn("probes", F.slice("posts", 1, probes))
     found = _search(_blocks(placed.withColumn("posts", F.slice("posts", 1, posts)), whom), k, None, id_type, label_type)
-    best = _rank(found, every.select("vid", "h", "vec", "label"), k)
-    return asked.join(best.drop("vid"), ["h", "vec", "label"]).select("row_id", "near_id", "rank", "distance")
+    best = _rank(found, every.select("vid", "h", "h2", "label"), k)
+    return asked.join(best.drop("vid"), ["h", "h2", "label"]).select("row_id", "near_id", "rank", "distance")
