@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from itertools import product
 
+from pyspark.sql import SparkSession
+
 FLOOR = -0.10
 PENALTY = 0.05
 
@@ -66,3 +69,14 @@ def run(trials: Iterable[dict], objective: Callable[[dict], float], gate: Callab
 def best(log: list[dict]) -> dict | None:
     """The entry of greatest value, the first one on ties."""
     return max(log, key=lambda x: x["value"], default=None)
+
+
+def save_log(spark: SparkSession, log: list[dict], path: str) -> None:
+    """The log as Parquet, one row per trial in order; replaces what was there."""
+    rows = [(i, json.dumps(x["params"]), float(x["value"]), x["status"]) for i, x in enumerate(log)]
+    spark.createDataFrame(rows, "trial int, params string, value double, status string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_log(spark: SparkSession, path: str) -> list[dict]:
+    """A saved log, ready to be resumed (as long as the number of trials)."""
+    return [{"params": json.loads(r.params), "value": r.value, "status": r.status} for r in spark.read.parquet(path).orderBy("trial").collect()]

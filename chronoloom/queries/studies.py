@@ -176,14 +176,14 @@ def buy_and_hold(spark, folder):
 
 @register(
     "f15_legacy_candles",
-    f"""with {BARS_N} select ticker, date, round((greatest(open, close) - low) / (high - low + 1e-8), 6) as body_position, round(abs(close - open) / (high - low + 1e-8), 6) as body, case when close > open then 1.0::double else -1.0::double end as direction from bars""",
+    f"""with {BARS_N} select ticker, date, round((greatest(open, close) - low) / (high - low + 1e-8), 6) as body_position, round(abs(close - open) / (high - low + 1e-8), 6) as body, round((high - greatest(open, close)) / (high - low + 1e-8), 6) as upper_wick, round((least(open, close) - low) / (high - low + 1e-8), 6) as lower_wick, case when close > open then 1.0::double else -1.0::double end as direction from bars""",
 )
 def legacy_candles(spark, folder):
     span = F.col("high") - F.col("low") + 1e-8
     b = bars_nation(spark, folder).withColumns(
-        {"body_position": (F.greatest("open", "close") - F.col("low")) / span, "body": F.abs(F.col("close") - F.col("open")) / span, "direction": F.when(F.col("close") > F.col("open"), 1.0).otherwise(-1.0)}
+        {"body_position": (F.greatest("open", "close") - F.col("low")) / span, "body": F.abs(F.col("close") - F.col("open")) / span, "upper_wick": (F.col("high") - F.greatest("open", "close")) / span, "lower_wick": (F.least("open", "close") - F.col("low")) / span, "direction": F.when(F.col("close") > F.col("open"), 1.0).otherwise(-1.0)}
     )
-    return rounded(b, ["body_position", "body", "direction"])
+    return rounded(b, ["body_position", "body", "upper_wick", "lower_wick", "direction"])
 
 
 @register(
@@ -249,7 +249,7 @@ def best_per_fold(spark, folder):
 
 @register("o03_resumed_search")
 def resumed_search(spark, folder):
-    """A quasi-random search over distance limit and threshold on one probe table; the first half of the log is resumed."""
+    """A quasi-random search over distance limit and threshold on one probe table; the first half of the log is saved and resumed."""
     from chronoloom.operators.metrics import brier_skill
     from chronoloom.plans import search
     from chronoloom.session import staged
@@ -264,5 +264,7 @@ def resumed_search(spark, folder):
 
     space = {"max_distance": (9.0, 12.0), "top_k": (5, 20)}
     log = search.run(search.proposals(space, 3), objective)
-    log = search.run(search.proposals(space, 6), objective, log=log)
+    path = scratch(spark, "trials")
+    search.save_log(spark, log, path)
+    log = search.run(search.proposals(space, 6), objective, log=search.load_log(spark, path))
     return spark.createDataFrame([(i, x["params"]["max_distance"], x["params"]["top_k"], round(x["value"], 6), x["status"]) for i, x in enumerate(log)], "trial int, max_distance double, top_k int, bss double, status string")
