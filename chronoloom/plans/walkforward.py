@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,3 +105,18 @@ def run(rows: DataFrame, folds: list[dict], features: list[str], config: Analogu
     )
     parts = murphy(s.where(ok).select("fold", F.col("prob").alias("p"), "y"), ["fold"], 10).select("fold", "reliability", "resolution", "uncertainty")
     return base.join(parts, "fold", "left")
+
+
+def run_each(rows: DataFrame, folds: list[dict], features: list[str], config: AnalogueConfig, benchmark: DataFrame | None = None, deadline: float | None = None) -> list[dict]:
+    """The folds one after another, each with a ``status``: "ok", "failed: ..." (the others go on) or "late" (not begun after ``deadline`` seconds)."""
+    rows, began, out = staged(rows, "each"), time.monotonic(), []
+    for fold in folds:
+        if deadline is not None and time.monotonic() - began > deadline:
+            out.append({"fold": fold["fold"], "status": "late"})
+            continue
+        try:
+            got = run(rows, [fold], features, config, benchmark).first()
+            out.append({**(got.asDict() if got else {}), "fold": fold["fold"], "status": "ok"})
+        except Exception as e:  # one impossible fold must not end the evaluation
+            out.append({"fold": fold["fold"], "status": f"failed: {type(e).__name__}"})
+    return out

@@ -322,3 +322,47 @@ def whole_report(spark, folder):
 
     out = report(scored(spark, folder).where("signal is not null"), ["fold"])
     return out.select("fold", "n", *[F.round(c, 6).alias(c) for c in ("brier", "bss", "mean_prob", "deviation", "reliability", "resolution", "accuracy", "precision")])
+
+
+@register("e16_isolated_folds", f"with {COMPLETE} select f.fold, 'ok' as status, count(*) as n_total from folds f join rows on rows.date between f.val_start and f.val_end where exists (select 1 from rows x where x.date <= f.train_end) group by f.fold union all select 99, 'failed: ValueError', null union all select 100, 'late', null")
+def isolated_folds(spark, folder):
+    """Folds that run one after another: a broken one is reported, the others go on, and what begins too late is left."""
+    from chronoloom.plans import walkforward as wf
+
+    folds = [r.asDict() for r in table(spark, folder, "folds").orderBy("fold").collect()]
+    rows = complete_rows(spark, folder)
+    broken = {**folds[0], "fold": 99, "train_end": folds[0]["val_end"]}
+    got = wf.run_each(rows, [broken, *folds], R8, _MODEL) + wf.run_each(rows, [{**folds[0], "fold": 100}], R8, _MODEL, deadline=-1)
+    kept = [(g["fold"], g["status"], g.get("n_total")) for g in got if g["status"] != "ok" or g.get("n_total")]
+    return spark.createDataFrame(kept, "fold int, status string, n_total long")
+
+
+@register(
+    "s14_four_way_build",
+    f"""with {BARS_N}, k as (select ticker, date, row_number() {_OVER} as k, count(*) over (partition by ticker) as n from bars), t as (select * from k where k >= 92 and k <= n - 7),
+s as (select *, ntile(10) over (partition by ticker order by date) as part from t)
+select 'all' as name, count(*) as n from s union all select 'test', count(*) from s where part = 10 union all select 'train', count(*) from s where part <= 8 union all select 'val', count(*) from s where part = 9""",
+)
+def four_way_build(spark, folder):
+    """Bars to features to four tables, written side by side: the first eight tenths of each ticker, the ninth, the last, and all."""
+    from pyspark.sql import Window
+
+    t = f.feature_table(bars_nation(spark, folder)).withColumn("part", F.ntile(10).over(Window.partitionBy("ticker").orderBy("date")))
+    n = files.save_results({"all": t, "train": t.where("part <= 8"), "val": t.where("part = 9"), "test": t.where("part = 10")}, scratch(spark, "build"))
+    return spark.createDataFrame(sorted(n.items()), "name string, n long")
+
+
+@register(
+    "s15_journal_round_trip",
+    f"""with {VECTORS}, w as (select qid, avg(label) as raw_prob, count(*) as n_matches from kept group by qid), s as (select *, {_SIGNAL} as signal from w)
+select s.qid, s.signal, k.tid, cast(k.rank as integer) as analogue_rank, round(k.distance, 5) as distance, k.label from s join kept k using (qid) where s.signal in ('BUY', 'SELL') and k.rank <= 5""",
+)
+def journal_round_trip(spark, folder):
+    """The signal journal written as text and read again with its declared types."""
+    train, query = sides(spark, folder)
+    probed = analogue.probe(train, query, CONFIG)
+    out = vt.journal(analogue.query(train, query, CONFIG, probed).select("qid", "signal"), analogue.matched(probed, CONFIG), 5)
+    path = scratch(spark, "journal")
+    files.write_csv(out.select("qid", "signal", "tid", "analogue_rank", "distance", "label"), path, "\t")
+    back = files.read_csv(spark, path, "qid long, signal string, tid long, analogue_rank int, distance double, label double", "\t")
+    return back.withColumn("distance", F.round("distance", 5))

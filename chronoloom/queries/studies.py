@@ -196,7 +196,7 @@ select ticker, date, round(ret_7d - coalesce(proxy_ret, 0), 6) as proxy_gap, rou
 def proxy_relative(spark, folder):
     r = f.trailing_returns(bars_nation(spark, folder), (7,))
     px = r.groupBy("sector").agg(F.min("ticker").alias("proxy"))
-    p = r.join(F.broadcast(px), "sector").where("ticker = proxy").select("sector", "date", F.col("ret_7d").alias("proxy_ret"))
+    p = r.join(px, "sector").where("ticker = proxy").select("sector", "date", F.col("ret_7d").alias("proxy_ret"))
     n = F.count("ret_7d").over(Window.partitionBy("date", "sector"))
     j = r.join(p, ["sector", "date"], "left").withColumn("proxy_gap", F.col("ret_7d") - F.coalesce("proxy_ret", F.lit(0.0)))
     j = j.withColumn("sector_rank", F.when(F.col("ret_7d").isNull(), None).when(n < 2, 0.5).otherwise(f.average_rank("ret_7d", ["date", "sector"])))
