@@ -3,10 +3,11 @@
 Method. The own words of each post are fingerprinted: posts with equal own words (case, digits
 and spacing aside) are one class; each class has a 64-bit SimHash of its five-word
 shingles. Partitioned tables bring together classes whose hashes agree on a part of their bits: permutations
-of the 64 bits are cut into keys, one table each. Candidates of like length within HAMMING bits are verified by the Jaccard
-similarity of their five-word shingles (SIMILAR or more). The tables are probabilistic (README: measured
-recall); a prefix join adds, exactly, the pairs that no table met: with shingles in one order for all
-texts (rare first), two sets of similarity 0.8 share one among the first fifth of each.
+of the 64 bits are cut into keys, one table each. In each table a class is linked to the least class of like length within
+HAMMING bits in its bucket, and the link is verified by the Jaccard similarity of their five-word shingles (SIMILAR or
+more). The tables are probabilistic (README: measured recall); a prefix join adds, exactly, the pairs whose ends the
+tables left in different components: with shingles in one order for all texts (rare first), two sets of similarity 0.8 share
+one among the first fifth of each.
 
 Labels. ``residue_rules`` trusts what its shape alone tells (a template part, a status code with its
 phrase, Latin filler). From these seeds labels travel in two ways until nothing changes:
@@ -22,8 +23,9 @@ phrase, Latin filler). From these seeds labels travel in two ways until nothing
 Scale. Texts are read where they lie and reduced to fingerprints; copies collapse before any
 join; shingles are written once, beside the fingerprints. The order of the prefix join comes from a
 table of ORDER counters (the only thing collected). Sentences, links and components stay distributed (alternating
-large-star and small-star rounds over written tables). A family of m classes that differ in words
-and resemble each other costs m * m / 2 candidate pairs, as each is a link.
+large-star and small-star rounds over written tables). A family of classes that resemble each other becomes a star
+in each table, not all its pairs; the prefix join meets no two members of one component. Candidates are first tested by
+an upper bound of their overlap (GAUGES counters of shingles each), so that whole shingle sets travel for few.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.llm import residue_rules as rules
@@ -50,13 +52,14 @@ ORDER = 1 << 20
 LEAST = 2
 COMPANY = 0.5
 CHUNK = 400_000
+GAUGES = 256
 
 
 def fingerprints(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
-    """``doc_id, h1, h2, sim, template, said, lit, pieces, s`` of posts that have own words. No shuffle.
+    """``doc_id, h1, h2, sim, template, said, lit, pieces, g, s`` of posts that have own words. No shuffle.
 
     ``said`` are the hashes of the sentences, ``lit`` whether each is a seed, ``pieces`` the number of
-    pieces of furniture, ``s`` the shingles.
+    pieces of furniture, ``s`` the shingles, ``g`` how many of them fall to each of GAUGES counters.
     """
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text")).where("text is not null and doc_id is not null")
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -76,7 +79,8 @@ def fingerprints(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
         return pd.DataFrame(
             {
                 "doc_id": [ids[i] for i in p.texts], "h1": p.h1.view(np.int64), "h2": p.h2.view(np.int64), "sim": p.sim, "template": [rules.template_part(own[i]) for i in p.texts],
-                "said": said, "lit": lit, "pieces": np.array(pieces, dtype=np.int32), "s": [x.view(np.int64) for x in p.shingles],
+                "said": said, "lit": lit, "pieces": np.array(pieces, dtype=np.int32),
+                "g": [np.bincount((x % np.uint64(GAUGES)).astype(np.int64), minlength=GAUGES).astype(np.int32) for x in p.shingles], "s": [x.view(np.int64) for x in p.shingles],
             }
         )
 
@@ -94,7 +98,7 @@ def fingerprints(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
             if ids:
                 yield chunk(ids, own, vocabularies)
 
-    return rows.mapInPandas(run, f"doc_id {id_type}, h1 long, h2 long, sim long, template boolean, said array<long>, lit array<boolean>, pieces int, s array<long>")
+    return rows.mapInPandas(run, f"doc_id {id_type}, h1 long, h2 long, sim long, template boolean, said array<long>, lit array<boolean>, pieces int, g array<int>, s array<long>")
 
 
 def table_masks(n: int) -> list[int]:
@@ -113,8 +117,11 @@ def table_masks(n: int) -> list[int]:
     return [int(np.array([m], dtype=np.uint64).view(np.int64)[0]) for m in masks[:tables]]
 
 
-def near_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of ``vid`` that share a table's key, whose ``sim`` differ in at most HAMMING bits and whose numbers ``n`` of shingles allow the similarity."""
+def near_pairs(classes: DataFrame, every: bool = False) -> DataFrame:
+    """Pairs ``a < b`` of ``vid`` that share a table's key, whose ``sim`` differ in at most HAMMING bits and whose numbers ``n`` of shingles allow the similarity.
+
+    Of the partners a class has in a bucket only the least is named, so that a family is a star; with ``every`` all are.
+    """
     masks = table_masks(classes.count())
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("sim").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(masks)])
     filed = classes.select("vid", "sim", "n", F.explode(tables).alias("f")).select("vid", "sim", "n", "f.t", "f.key")
@@ -124,11 +131,12 @@ def near_pairs(classes: DataFrame) -> DataFrame:
         & (F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim"))) <= HAMMING)
         & (F.least("a.n", "b.n") >= F.lit(SIMILAR) * F.greatest("a.n", "b.n") - F.lit(1e-6))
     )
-    return a.join(b, on).select(F.col("a.vid").alias("a"), F.col("b.vid").alias("b")).distinct()
+    met = a.join(b, on).select(F.col("a.t").alias("t"), F.col("a.key").alias("key"), F.col("a.vid").alias("a"), F.col("b.vid").alias("b"))
+    return (met if every else met.groupBy("t", "key", "b").agg(F.min("a").alias("a"))).select("a", "b").distinct()
 
 
-def prefix_pairs(prints: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of ``vid``, all of Jaccard similarity SIMILAR or more among them.
+def prefix_pairs(prints: DataFrame, classes: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """Pairs ``a < b`` of ``vid``, all of Jaccard similarity SIMILAR or more among them but those of one component in ``placed`` (node, root).
 
     Shingles are ordered by how often their counter is hit (any order common to all texts is exact;
     this one keeps the lists short). The larger set is at most 1 / SIMILAR times the smaller, and
@@ -155,31 +163,44 @@ def prefix_pairs(prints: DataFrame, classes: DataFrame) -> DataFrame:
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys), "c": np.concatenate(of), "n": np.concatenate(n).astype(np.int32), "at": np.concatenate(at).astype(np.int32)})
 
-    # equal own words have equal rows; one shuffle by key serves the grouping and both sides of the join
+    # equal own words have equal rows; keys of one class only join nothing
     filed = prints.select("h1", "s").mapInPandas(run, "key long, c long, n int, at int").repartition("key").groupBy("key", "c").agg(F.first("n").alias("n"), F.first("at").alias("at"))
+    filed = filed.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("k > 1").drop("k")
+    named = classes.select(F.col("h1").alias("c"), "vid")
+    if placed is not None:
+        named = named.join(placed, F.col("vid") == F.col("node"), "left").select("c", "vid", "root")
+    else:
+        named = named.withColumn("root", F.lit(None).cast(classes.schema["vid"].dataType))
+    filed = staged(staged(filed, "prefixes").join(named, "c").withColumn("root", F.coalesce("root", "vid")), "prefixes")
     a, b = filed.alias("a"), filed.alias("b")
     needed = F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-6)
     on = (
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c"))
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.vid") < F.col("b.vid")) & (F.col("a.root") != F.col("b.root"))
         & (F.least("a.n", "b.n") >= F.lit(SIMILAR) * F.greatest("a.n", "b.n") - F.lit(1e-6))
         & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= needed)
     )
-    met = staged(a.join(b, on).select(F.col("a.c").alias("ha"), F.col("b.c").alias("hb")).distinct(), "prefixes")
-    named = classes.select(F.col("h1"), F.col("vid"))
-    both = met.join(named.withColumnsRenamed({"h1": "ha", "vid": "x"}), "ha").join(named.withColumnsRenamed({"h1": "hb", "vid": "y"}), "hb")
-    return both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return a.join(b, on).select(F.col("a.vid").alias("a"), F.col("b.vid").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of SIMILAR or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(prints.select("doc_id", "s").join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("vid"), "s"), "shingles")
-    both = (
-        pairs.join(sets.select(F.col("vid").alias("a"), F.col("s").alias("sa")), "a")
-        .join(sets.select(F.col("vid").alias("b"), F.col("s").alias("sb")), "b")
-        .withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    )
-    return both.where(F.col("common") >= SIMILAR * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    """The pairs whose shingle sets have a Jaccard similarity of SIMILAR or more.
+
+    Two sets share at most as many shingles as the smaller counts of their gauges add up to; pairs that fail by this
+    bound never meet their sets.
+    """
+
+    def joined(p: DataFrame, column: str) -> DataFrame:
+        wanted = p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        held = staged(prints.select("doc_id", column, F.size("s").alias("n")).join(wanted, "doc_id", "left_semi"), "held")
+        side = lambda x: held.select(F.col("doc_id").alias(x), F.col(column).alias(f"x{x}"), F.col("n").alias(f"n{x}"))
+        return p.join(side("a"), "a").join(side("b"), "b")
+
+    def alike(common: Column) -> Column:
+        return common >= SIMILAR * (F.col("na") + F.col("nb") - common) - 1e-6
+
+    most = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    able = staged(joined(pairs, "g").where(alike(most)).select("a", "b"), "able")
+    return joined(able, "s").where(alike(F.size(F.array_intersect("xa", "xb")))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -276,8 +297,8 @@ def travelled(placed: DataFrame, docs: DataFrame, doc_id: Column, text: Column)
 def classify(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     """One row per post with own words: ``doc_id, class_id, links, trusted, residue, reason``.
 
-    ``class_id`` is the least post id of the connected component, ``links`` the number of verified
-    links of the post's class to classes with other words, ``trusted`` whether the seeds alone
+    ``class_id`` is the least post id of the connected component, ``links`` the number of links kept
+    between the post's class and classes with other words (a star in a family, not all its pairs), ``trusted`` whether the seeds alone
     decide, ``residue`` the verdict, ``reason`` how it came: "seed", "company" (sentences), "component" (links) or null.
     Null texts, and posts that only quote, have no row; post ids must
     be unique; repeated texts are posts of their own; empty in, empty out.
@@ -291,8 +312,9 @@ def classify(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
         .join(kept, "h1", "left").withColumn("told", F.col("trusted") | F.coalesce("kept", F.lit(False))).drop("kept"),
         "classes",
     )
-    pairs = staged(near_pairs(classes).unionByName(prefix_pairs(prints, classes)).distinct(), "pairs")
-    links = staged(verified(pairs, prints), "verified")
+    stars = staged(verified(staged(near_pairs(classes), "near"), prints), "stars")
+    rest = verified(staged(prefix_pairs(prints, classes, components(stars)), "pairs"), prints)
+    links = staged(stars.unionByName(rest).distinct(), "verified")
     comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     placed = staged(
