@@ -77,28 +77,24 @@ def knn_join(
     if within is None:
         if counts is None:  # both sides in one job
             both = q.select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(p.select(F.lit(0).alias("a"), F.lit(1).alias("b")))
-            counts = tuple(int(v or 0) for v in both.agg(F.sum("a"), F.sum("b")).first())
-        sizes = {None: counts}
-    elif counts is not None:
-        sizes = counts
+            counts = both.agg(F.sum("a"), F.sum("b")).first()
+        q, p = (d.withColumns({"nq": F.lit(int(counts[0] or 0)), "np": F.lit(int(counts[1] or 0))}) for d in (q, p))
     else:
-        both = q.groupBy(within).agg(F.count(F.lit(1)).alias("a")).join(p.groupBy(within).agg(F.count(F.lit(1)).alias("b")), within)
-        sizes = {r[within]: (r["a"], r["b"]) for r in both.collect()}  # one row per separate search
-    qb = {v: max(1, -(-n[0] // BLOCK)) for v, n in sizes.items()}
-    pb = {v: max(1, -(-n[1] // POINT_BLOCK), min(8 if within is None else 2, -(-n[1] // 512))) for v, n in sizes.items()}  # some parallelism for small sides
+        if counts is None:
+            sizes = q.groupBy(within).agg(F.count(F.lit(1)).alias("nq")).join(p.groupBy(within).agg(F.count(F.lit(1)).alias("np")), within)
+        else:
+            kind = q.schema[within].dataType.simpleString()
+            sizes = q.sparkSession.createDataFrame([(v, int(a), int(b)) for v, (a, b) in counts.items()], f"{within} {kind}, nq long, np long")
+        sizes = staged(sizes, "sizes")
+        q, p = q.join(sizes, within), p.join(sizes, within)
+    some = F.lit(8 if within is None else 2)  # some parallelism for small sides
+    qb = F.greatest(F.lit(1), F.ceil(F.col("nq") / BLOCK)).cast("long")
+    pb = F.greatest(F.lit(1), F.ceil(F.col("np") / POINT_BLOCK), F.least(some, F.ceil(F.col("np") / 512))).cast("long")
     qid_t, tid_t = q.schema["qid"].dataType.simpleString(), p.schema["tid"].dataType.simpleString()
-
-    def of(blocks: dict) -> Column:
-        if within is None:
-            return F.lit(blocks[None]).cast("long")
-        return F.element_at(F.create_map(*[x for v, n in blocks.items() for x in (F.lit(v), F.lit(n).cast("long"))]), F.col(within))
-
-    if not sizes:
-        q, p, qb, pb = q.limit(0), p.limit(0), {0: 1}, {0: 1}
-    span = lambda b: F.explode(F.sequence(F.lit(0).cast("long"), of(b) - 1))
+    span = lambda b: F.explode(F.sequence(F.lit(0).cast("long"), b - 1))
     # a stand-in id on the side that has none
-    left = q.select(*extra, F.pmod(F.xxhash64("qid"), of(qb)).alias("i"), span(pb).alias("j"), F.lit(True).alias("asks"), F.col("qid"), F.lit(None).cast(tid_t).alias("tid"), "vec")
-    right = p.select(*extra, span(qb).alias("i"), F.pmod(F.xxhash64("tid"), of(pb)).alias("j"), F.lit(False).alias("asks"), F.lit(None).cast(qid_t).alias("qid"), "tid", "vec")
+    left = q.select(*extra, F.pmod(F.xxhash64("qid"), qb).alias("i"), span(pb).alias("j"), F.lit(True).alias("asks"), F.col("qid"), F.lit(None).cast(tid_t).alias("tid"), "vec")
+    right = p.select(*extra, span(qb).alias("i"), F.pmod(F.xxhash64("tid"), pb).alias("j"), F.lit(False).alias("asks"), F.lit(None).cast(qid_t).alias("qid"), "tid", "vec")
     head = [f"{within} {q.schema[within].dataType.simpleString()}"] if within else []
 
     def block(table: pa.Table) -> pa.Table:
