@@ -210,6 +210,8 @@ def components(links: DataFrame) -> DataFrame:
     changes (their number grows with the logarithm of the component size; none is cut off).
     """
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     before, state = None, ()
     while state != before:
         before = state
