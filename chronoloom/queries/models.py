@@ -48,7 +48,7 @@ def approximate_signals(spark, folder):
     train, asked = _sides(spark, folder)
     fitted = model.fit(train, R8, _MODEL)
     exact = fitted.predict(asked).select("qid", F.col("prob").alias("p"))
-    near = replace(fitted, config=replace(_MODEL, cells=64, cell_probes=12)).predict(asked).join(exact, "qid")
+    near = replace(fitted, config=replace(_MODEL, cells=16, cell_probes=8)).predict(asked).join(exact, "qid")
     return near.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.avg((F.abs(F.col("prob") - F.col("p")) <= 0.1).cast("double")) >= 0.9, F.lit(True)).alias("alike"))
 
 
