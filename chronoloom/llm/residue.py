@@ -95,8 +95,10 @@ def fingerprints(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
                 if size >= CHUNK:
                     yield chunk(ids, own, vocabularies)
                     ids, own, size = [], [], 0
-            if ids:
-                yield chunk(ids, own, vocabularies)
+            if any(t.strip() for t in own):  # a batch without a token has no rows
+                part = chunk(ids, own, vocabularies)
+                if len(part):
+                    yield part
 
     return rows.mapInPandas(run, f"doc_id {id_type}, h1 long, h2 long, sim long, template boolean, said array<long>, lit array<boolean>, pieces int, g array<int>, s array<long>")
 

@@ -139,6 +139,8 @@ def _among(token: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
 
 def shingles(token: np.ndarray, owner: np.ndarray, whole: np.ndarray) -> list[np.ndarray]:
     """Distinct hashes of five-token shingles per text; a shorter text is one shingle."""
+    if not len(whole):
+        return []
     n = len(token) - SHINGLE + 1
     mixed = np.zeros(max(n, 0), dtype=np.uint64)
     if n > 0:

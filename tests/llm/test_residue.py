@@ -129,6 +129,9 @@ def test_classify(spark):
     assert {d for d, r in got.items() if r.residue} == {1, 2, 3, 12, 14}
     assert set(got) == {d for d, _ in docs} - {5, 6, 7}
     assert got[1].class_id == got[14].class_id == 1 and got[1].reason == "seed" and got[4].reason is None
+    assert fingerprint("\0\0").shingles == [] and fingerprint("... !\0").sentence.size == 0
+    bare = spark.createDataFrame([(1, ""), (2, "> only a quote"), (3, None)], "doc_id long, text string")
+    assert residue.classify(bare, F.col("doc_id"), F.col("text")).count() == 0
     none = spark.createDataFrame([], "doc_id long, text string")
     assert residue.classify(none, F.col("doc_id"), F.col("text")).count() == 0
 
