@@ -68,6 +68,13 @@ def report(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     return classification(rows, by).join(base, by).join(parts, by)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation of the rows where both are known; NULL without spread (``corr`` divides by zero there in ANSI mode)."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def crps(ensemble: Column, y: Column) -> Column:
     """Continuous ranked probability score of an ensemble: E|X - y| - E|X - X'| / 2; NULL below two members.
 

@@ -141,7 +141,7 @@ def spearman(spark, folder):
     d = scored(spark, folder).where("r is not null").groupBy(*by, "analogue_ticker", "analogue_date", "analogue_rank").agg(F.min("r").alias("r"))
     ties = F.count(F.lit(1)).over(Window.partitionBy(*by, "r"))
     k = d.withColumn("a", F.rank().over(Window.partitionBy(*by).orderBy("r")) + (ties - 1) / 2).withColumn("b", F.col("analogue_rank").cast("double"))
-    c = k.groupBy(*by).agg(F.corr("a", "b").alias("rho"), F.count(F.lit(1)).alias("n"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb")).where("n >= 5 and sa > 0 and sb > 0")
+    c = k.groupBy(*by).agg(m.correlation(F.col("a"), F.col("b")).alias("rho"), F.count(F.lit(1)).alias("n"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb")).where("n >= 5 and sa > 0 and sb > 0")
     return c.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rho"), 5).alias("mean_rho"))
 
 

@@ -37,3 +37,17 @@ def test_entry(spark, folder):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_spearman_without_spread(spark, tmp_path):
+    """Queries whose analogues share one return or one rank have no correlation and do not count."""
+    from datetime import date
+
+    rows = []
+    for q, (r, rank) in enumerate([(lambda i: i * i % 7, lambda i: i), (lambda i: 2, lambda i: i), (lambda i: i, lambda i: 3)]):
+        rows += [(0, 0.5, 1, "BUY", f"Q{q}", date(2020, 1, 2), f"A{i}", date(2019, 1, 2 + i), rank(i), float(r(i)), 0.5) for i in range(6)]
+    columns = "fold int, calibrated_prob double, analogue_label int, signal string, query_ticker string, query_date date, analogue_ticker string, analogue_date date, analogue_rank int, analogue_fwd_return double, raw_prob double"
+    spark.createDataFrame(rows, columns).toPandas().to_parquet(tmp_path / "journal.parquet")
+    got = core.QUERIES["e24_spearman"](spark, str(tmp_path))
+    assert got.first().n == 1
+    assert_same(got, core.SQL["e24_spearman"], tmp_path)
