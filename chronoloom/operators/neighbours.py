@@ -177,30 +177,38 @@ def cell_search(queries: DataFrame, points: DataFrame, k: int, cells: int | None
     extra = [other] if other else []
     p, q = staged(points.select("tid", "vec", *extra).where(ok), "points"), queries.select("qid", "vec", *extra).where(ok)
     n = p.count()
-    got = p.orderBy(F.xxhash64("tid", "vec"), "tid").limit(min(sample, cells or max(1, int(n**0.5)))).select("vec").toArrow()["vec"]
     if not n:
         return knn_join(q, p, k, counts=(0, 0))
-    shared = p.sparkSession.sparkContext.broadcast(_matrix(got))
-
-    def nearest(df: DataFrame, m: int) -> DataFrame:
-        def run(batches):
-            c = shared.value
-            for b in batches:
-                x = _matrix(pa.chunked_array([b.column("vec")]))
-                top = min(m, len(c))
-                near = np.concatenate([_nearest_centres(x[at : at + 2048], c, top) for at in range(0, len(x), 2048)]) if len(x) else np.empty((0, top), dtype=np.int64)
-                cell = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * top), pa.array(near.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*b.columns, cell], names=[*b.schema.names, "cells"])
-
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-        return df.mapInArrow(run, f"{fields}, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
-
+    shared = centres(p, min(sample, cells or max(1, int(n**0.5))))
+    nearest = lambda df, m: in_cells(df, shared, m).withColumn("cell", F.explode("cells")).drop("cells")
     filed, asked = staged(nearest(p, 1), "filed"), staged(nearest(q, probes), "asked")
     near = knn_join(asked, filed, k, other=other, within="cell")
     w = Window.partitionBy("qid").orderBy("distance", "tid")
     return near.drop("rank", "cell").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def centres(points: DataFrame, n: int) -> np.ndarray:
+    """The vectors of n of the points (tid, vec), by hash order."""
+    return _matrix(points.orderBy(F.xxhash64("tid", "vec"), "tid").limit(n).select("vec").toArrow()["vec"])
+
+
+def in_cells(df: DataFrame, centre: np.ndarray, m: int) -> DataFrame:
+    """Adds ``cells``, the positions of the m nearest centres of each ``vec`` (none of which may be null)."""
+    shared = df.sparkSession.sparkContext.broadcast(centre)
+
+    def run(batches):
+        c = shared.value
+        for b in batches:
+            x = _matrix(pa.chunked_array([b.column("vec")]))
+            top = min(m, len(c))
+            near = np.concatenate([_nearest_centres(x[at : at + 2048], c, top) for at in range(0, len(x), 2048)]) if len(x) else np.empty((0, top), dtype=np.int64)
+            cell = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * top), pa.array(near.ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns, cell], names=[*b.schema.names, "cells"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"{fields}, cells array<int>")
+
+
 def _nearest_centres(x: np.ndarray, centres: np.ndarray, m: int) -> np.ndarray:
     d = (centres * centres).sum(1)[None, :] - 2.0 * (x @ centres.T)
     return np.argpartition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(x), 1))

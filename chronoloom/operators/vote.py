@@ -35,6 +35,31 @@ def vote(queries: DataFrame, neighbours: DataFrame, weighting: str = "uniform",
     )
 
 
+def vote_listed(rows: DataFrame, near: str, weighting: str = "uniform", boost: float = 1.0) -> DataFrame:
+    """Adds ``raw_prob, mean_return, n_matches, ensemble`` as ``vote`` does, from an array of neighbours in rank order on each row; no shuffle.
+
+    The array holds structs of distance, label, fwd_return and, for a boost above 1, sector (compared with the row's).
+    """
+    if weighting not in ("uniform", "inverse"):
+        raise ValueError("weighting must be 'uniform' or 'inverse'")
+
+    def weight(x: Column) -> Column:
+        if weighting == "uniform":
+            return F.lit(1.0)
+        w = 1.0 / (x["distance"] + 0.01)
+        return w if boost == 1.0 else w * F.when(F.coalesce(x["sector"] == F.col("sector"), F.lit(False)), F.lit(float(boost))).otherwise(1.0)
+
+    total = F.greatest(F.aggregate(near, F.lit(0.0), lambda a, x: a + weight(x)), F.lit(1e-9))
+
+    def mean(c: str, none: float) -> Column:
+        got = F.aggregate(near, F.lit(0.0), lambda a, x: a + F.coalesce(weight(x) * x[c].cast("double"), F.lit(0.0))) / total
+        return F.when(F.exists(near, lambda x: x[c].isNotNull()), got).otherwise(F.lit(none))
+
+    return rows.withColumns(
+        {"raw_prob": mean("label", 0.5), "mean_return": mean("fwd_return", 0.0), "n_matches": F.size(near).cast("long"), "ensemble": F.transform(near, lambda x: x["fwd_return"].cast("double"))}
+    )
+
+
 def damp(prob: Column, multiplier: Column) -> Column:
     """A probability drawn towards one half by an overlay multiplier in [0, 1]."""
     return 0.5 + (prob - 0.5) * multiplier

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.operators import neighbours as nb
-from chronoloom.operators.vote import signal, vote
+from chronoloom.operators import scan
+from chronoloom.operators.vote import signal, vote, vote_listed
 
 
 @dataclass(frozen=True)
@@ -64,6 +65,30 @@ def matched(probed: DataFrame, config: AnalogueConfig) -> DataFrame:
     return nb.post_filter(probed, keep_rule(config), config.top_k)
 
 
+PAYLOAD = ["ticker", "sector", "regime", "label", "fwd_return"]
+
+
+def answered(queries: DataFrame, points: DataFrame, config: AnalogueConfig, **options) -> DataFrame:
+    """The queries' columns but the vector, with ``raw_prob, mean_return, n_matches, ensemble``: probe, filters and vote on one row per query.
+
+    ``queries``: ticker, sector, regime, vec and any others; ``points``: a table written by ``scan.filed`` (tid, vec and PAYLOAD). Answers as ``query`` does, without a join.
+    """
+    near = scan.near(queries, points, config.probe * config.top_k, PAYLOAD, **options)
+
+    def keep(x: Column) -> Column:
+        rule = x["distance"] <= config.max_distance
+        if config.exclude_same_ticker:
+            rule = rule & (x["ticker"] != F.col("ticker"))
+        if config.same_sector_only:
+            rule = rule & (x["sector"] == F.col("sector"))
+        if config.regime_only:
+            rule = rule & (x["regime"] == F.col("regime"))
+        return rule
+
+    kept = near.withColumn("near", F.slice(F.filter("near", keep), 1, config.top_k))
+    return vote_listed(kept, "near", config.weighting, config.sector_boost).drop("near")
+
+
 def query(train: DataFrame, queries: DataFrame, config: AnalogueConfig, probed: DataFrame | None = None) -> DataFrame:
     """``qid, raw_prob, mean_return, n_matches, ensemble, signal, reason`` of every query."""
     near = matched(probed if probed is not None else probe(train, queries, config), config)

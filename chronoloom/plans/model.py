@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators import calibrate as cal
 from chronoloom.operators import neighbours as nb
+from chronoloom.operators import scan
 from chronoloom.operators.vote import signal
-from chronoloom.plans.analogue import AnalogueConfig, query
+from chronoloom.plans.analogue import PAYLOAD, AnalogueConfig, answered
 from chronoloom.session import staged
 
 VERSION = 1
@@ -19,7 +20,7 @@ VERSION = 1
 
 @dataclass(frozen=True)
 class AnalogueModel:
-    """``train``: tid, vec (scaled), ticker, sector, regime, label, fwd_return, as a written table."""
+    """``train``: tid, vec (scaled), ticker, sector, regime, label, fwd_return, as a table written by ``scan.filed`` (or ``save``)."""
 
     features: list[str]
     scaling: dict[str, tuple[float, float]]
@@ -35,7 +36,14 @@ class AnalogueModel:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """``qid, raw_prob, prob, mean_return, n_matches, ensemble, signal, reason``; signals follow the calibrated probability."""
-        out = query(self.train, self.scaled(rows, "qid"), self.config).drop("signal", "reason").withColumn("prob", cal.apply(self.calibrator, F.col("raw_prob")))
+        asked = self.scaled(rows, "qid").select("qid", "ticker", "sector", "regime", "vec")
+        if self.config.cells:
+            centres = nb.centres(self.train, self.config.cells)
+            points = scan.filed(nb.in_cells(self.train.select("tid", "vec", *PAYLOAD), centres, 1).withColumn("cell", F.element_at("cells", 1)).drop("cells"), "cells")
+            won = answered(nb.in_cells(asked.where(scan.usable()), centres, self.config.cell_probes).unionByName(asked.where(~scan.usable()), allowMissingColumns=True), points, self.config, cells=True)
+        else:
+            won = answered(asked, self.train, self.config)
+        out = won.select("qid", "raw_prob", "mean_return", "n_matches", "ensemble").withColumn("prob", cal.apply(self.calibrator, F.col("raw_prob")))
         side, why = signal(F.col("prob"), F.col("n_matches"), self.config.threshold, self.config.spread, self.config.min_matches)
         return out.withColumns({"signal": side, "reason": why})
 
@@ -64,7 +72,7 @@ def fit(rows: DataFrame, features: list[str], config: AnalogueConfig, kind: str
     what it answers; same-ticker analogues are left out there as in any query.
     """
     plain = AnalogueModel(features, nb.standardise(rows, features), config, rows)
-    model = replace(plain, train=staged(plain.scaled(rows, "tid"), "model"))
+    model = replace(plain, train=scan.filed(plain.scaled(rows, "tid"), "model"))
     if kind == "none":
         return model
     n = rows.count()

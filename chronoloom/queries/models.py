@@ -18,7 +18,7 @@ from chronoloom.queries.evaluation import SCORED, fold_results, scored
 from chronoloom.queries.features import _ATR_SQL, _OVER, BARS_N, BARS_S
 from chronoloom.queries.pipeline import COMPLETE, R8, complete_rows
 from chronoloom.queries.studies import ensembles
-from chronoloom.session import scratch
+from chronoloom.session import scratch, staged
 from chronoloom.sources import files
 from chronoloom.sources.tables import bars_nation, bars_segment, table
 from chronoloom.streaming import twins
@@ -29,7 +29,7 @@ _MODEL = analogue.AnalogueConfig(top_k=20, max_distance=2.5, min_matches=5)
 
 
 def _sides(spark, folder):
-    rows = complete_rows(spark, folder).withColumn("regime", F.lit(1))
+    rows = staged(complete_rows(spark, folder).withColumn("regime", F.lit(1)), "rows")  # read several times
     return rows.where(_TRAIN), rows.where(_ASKED)
 
 
