@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators import neighbours as nb
+from chronoloom.operators import scan
 from chronoloom.operators.metrics import brier, brier_skill, murphy
 from chronoloom.operators.temporal import nearest_date
-from chronoloom.operators.vote import signal, vote
-from chronoloom.plans.analogue import AnalogueConfig, keep_rule
+from chronoloom.operators.vote import signal
+from chronoloom.plans.analogue import AnalogueConfig, answered
 from chronoloom.session import staged
 
 
@@ -47,15 +48,22 @@ def per_fold(rows: DataFrame, folds: list[dict], date: str = "date") -> DataFram
     return each.withColumns({"fold": F.col("__f.fold"), "asks": F.col("__f.asks")}).drop("__f")
 
 
-def scored(rows: DataFrame, folds: list[dict], features: list[str], config: AnalogueConfig, benchmark: DataFrame | None = None, bear_below: float = 0.05, calibrate=None) -> DataFrame:
+def training(rows: DataFrame, features: list[str]) -> DataFrame:
+    """The rows of all folds as written points: tid, date, attributes and the features as they are."""
+    vec = F.array(*[F.col(c).cast("double") for c in features]).alias("vec")
+    return scan.filed(rows.select(F.col("id").alias("tid"), "date", "ticker", "sector", F.lit(1).alias("regime"), "label", "fwd_return", vec), "training")
+
+
+def scored(rows: DataFrame, folds: list[dict], features: list[str], config: AnalogueConfig, benchmark: DataFrame | None = None, bear_below: float = 0.05, calibrate=None, points: DataFrame | None = None) -> DataFrame:
     """Scored validation rows of all folds: ``fold, qid, y, raw_prob, prob, bear, n_matches, signal``.
 
     ``rows``: id, ticker, sector, date, label, fwd_return and the features, complete. Features are scaled by each
     fold's training rows (moments, base rates and counts of all folds are one aggregate). With a benchmark series (date, v), rows whose
     nearest benchmark value lies below ``bear_below`` get the training base rate as probability and HOLD. ``calibrate``
-    maps (fold, raw_prob) to a probability. A fold without training or validation rows has no row.
+    maps (fold, raw_prob) to a probability. A fold without training or validation rows has no row. Training rows are written once for all folds, unscaled
+    (``training``; with ``points`` both they and ``rows`` are already written), and scaled where a fold's queries scan them.
     """
-    rows = staged(rows, "folds")  # read several times
+    rows = staged(rows, "folds") if points is None else rows  # read several times
     each = per_fold(rows, folds)
     trains = ~F.col("asks")
     moments = [x for c in features for x in (F.avg(F.when(trains, F.col(c))).alias(f"m_{c}"), F.stddev_pop(F.when(trains, F.col(c))).alias(f"s_{c}"))]
@@ -70,19 +78,13 @@ def scored(rows: DataFrame, folds: list[dict], features: list[str], config: Anal
     if not stats:
         ids = schema["id"].dataType.simpleString()
         return rows.sparkSession.createDataFrame([], f"fold int, qid {ids}, y double, raw_prob double, prob double, bear boolean, n_matches long, signal string")
-    means = by_fold(lambda r: F.array(*[F.lit(float(r[f"m_{c}"])) for c in features]))
-    scales = by_fold(lambda r: F.array(*[F.lit(float(weight.get(c, 1.0)) / (float(r[f"s_{c}"] or 0.0) or 1.0)) for c in features]))
-    centred = F.zip_with(F.array(*[F.col(c).cast("double") for c in features]), means, lambda x, m: x - m)
-    vectors = each.where(F.col("fold").isin(list(stats))).select("fold", "asks", "id", F.zip_with(centred, scales, lambda x, s: x * s).alias("vec"))
-    q, t = vectors.where("asks").withColumnRenamed("id", "qid"), vectors.where(~F.col("asks")).withColumnRenamed("id", "tid")
-    near = nb.knn_join(q, t, config.probe * config.top_k, within="fold", counts={f: (r["nq"], r["np"]) for f, r in stats.items()})
-
-    names = {"ticker": "ticker", "sector": "sector"}
-    side = lambda p, key, more: rows.select(F.col("id").alias(key), *[F.col(c).alias(f"{p}_{n}") for c, n in names.items()], F.lit(1).alias(f"{p}_regime"), *more)
-    both = near.join(side("t", "tid", ["label", "fwd_return"]), "tid").join(side("q", "qid", []), "qid").withColumn("same_sector", F.coalesce(F.col("t_sector") == F.col("q_sector"), F.lit(False)))
-    kept = nb.post_filter(both, keep_rule(config), config.top_k, ["fold", "qid"])
-    won = vote(q.select("fold", "qid"), kept, config.weighting, config.sector_boost, ["fold", "qid"])
-    out = won.join(rows.select(F.col("id").alias("qid"), "date", F.col("label").alias("y")), "qid")
+    vec = F.array(*[F.col(c).cast("double") for c in features]).alias("vec")
+    asked = each.where("asks").where(F.col("fold").isin(list(stats))).select("fold", F.col("id").alias("qid"), "ticker", "sector", F.lit(1).alias("regime"), "date", F.col("label").alias("y"), vec)
+    last = {f["fold"]: f["train_end"] for f in folds}
+    views = {
+        f: (np.array([float(r[f"m_{c}"]) for c in features]), np.array([float(weight.get(c, 1.0)) / (float(r[f"s_{c}"] or 0.0) or 1.0) for c in features]), last[f]) for f, r in stats.items()
+    }
+    out = answered(asked, points if points is not None else training(rows, features), config, views=views, within="fold", latest="date", n=sum(r["nq"] for r in stats.values()))
     if benchmark is not None:
         out = nearest_date(out, "date", benchmark, "v", "bench").withColumn("bear", F.coalesce(F.col("bench") < bear_below, F.lit(False)))
     else:
@@ -93,10 +95,10 @@ def scored(rows: DataFrame, folds: list[dict], features: list[str], config: Anal
     return out.withColumns({"prob": prob, "signal": F.when(F.col("bear"), "HOLD").otherwise(call)}).select("fold", "qid", "y", "raw_prob", "prob", "bear", "n_matches", "signal")
 
 
-def run(rows: DataFrame, folds: list[dict], features: list[str], config: AnalogueConfig, benchmark: DataFrame | None = None, calibrate=None) -> DataFrame:
+def run(rows: DataFrame, folds: list[dict], features: list[str], config: AnalogueConfig, benchmark: DataFrame | None = None, calibrate=None, points: DataFrame | None = None) -> DataFrame:
     """One row per fold over its scored rows (bear rows are not scored): counts, base rate, mean probability, Brier score and skill,
     mean matches, the Murphy decomposition over ten bins and the number of signals of each kind."""
-    s = staged(scored(rows, folds, features, config, benchmark, calibrate=calibrate), "scored")
+    s = staged(scored(rows, folds, features, config, benchmark, calibrate=calibrate, points=points), "scored")
     ok, p, y = ~F.col("bear"), F.col("prob"), F.col("y")
     base = s.groupBy("fold").agg(
         F.count(F.lit(1)).alias("n_total"), F.count_if(ok).alias("n_scored"), F.avg(F.when(ok, y)).alias("base_rate"), F.avg(F.when(ok, p)).alias("mean_prob"),

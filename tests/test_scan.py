@@ -1,3 +1,5 @@
+from datetime import date
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from chronoloom.operators import neighbours as nb
 from chronoloom.operators import scan
 from chronoloom.operators import vote as vt
 from chronoloom.plans import analogue, model
+from chronoloom.plans import walkforward as wf
 from chronoloom.session import staged
 
 
@@ -75,3 +78,15 @@ def test_no_neighbour_is_shuffled(table):
     fitted = model.fit(rows, ["x0", "x1", "x2"], analogue.AnalogueConfig(top_k=5))
     plan = fitted.predict(rows.where("id % 9 = 0"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan and "Aggregate" not in plan and plan.count("Repartition") == 1
+
+
+def fold_rows(table):
+    return staged(table.where(scan.usable())).select(F.col("tid").alias("id"), "ticker", "sector", F.date_add(F.lit("2020-01-01").cast("date"), "day").alias("date"), "label", "fwd_return", *[F.col("vec")[i].alias(f"x{i}") for i in range(3)])
+
+
+FOLDS = [{"fold": i, "train_end": date(2020, 1, 3 + i), "val_start": date(2020, 1, 4 + i), "val_end": date(2020, 1, 5 + i)} for i in range(3)]
+
+
+def test_folds_are_scored_without_a_join(table):
+    plan = wf.scored(fold_rows(table), FOLDS, ["x0", "x1", "x2"], analogue.AnalogueConfig(top_k=5))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("Repartition") == 1
