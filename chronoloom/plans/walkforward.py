@@ -111,13 +111,16 @@ def run(rows: DataFrame, folds: list[dict], features: list[str], config: Analogu
 
 def run_each(rows: DataFrame, folds: list[dict], features: list[str], config: AnalogueConfig, benchmark: DataFrame | None = None, deadline: float | None = None) -> list[dict]:
     """The folds one after another, each with a ``status``: "ok", "failed: ..." (the others go on) or "late" (not begun after ``deadline`` seconds)."""
-    rows, began, out = staged(rows, "each"), time.monotonic(), []
+    began, out, points = time.monotonic(), [], None
     for fold in folds:
         if deadline is not None and time.monotonic() - began > deadline:
             out.append({"fold": fold["fold"], "status": "late"})
             continue
+        if points is None:  # written once, with the first fold that begins
+            rows = staged(rows, "each")
+            points = training(rows, features)
         try:
-            got = run(rows, [fold], features, config, benchmark).first()
+            got = run(rows, [fold], features, config, benchmark, points=points).first()
             out.append({**(got.asDict() if got else {}), "fold": fold["fold"], "status": "ok"})
         except Exception as e:  # one impossible fold must not end the evaluation
             out.append({"fold": fold["fold"], "status": f"failed: {type(e).__name__}"})

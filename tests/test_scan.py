@@ -90,3 +90,11 @@ FOLDS = [{"fold": i, "train_end": date(2020, 1, 3 + i), "val_start": date(2020,
 def test_folds_are_scored_without_a_join(table):
     plan = wf.scored(fold_rows(table), FOLDS, ["x0", "x1", "x2"], analogue.AnalogueConfig(top_k=5))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan and plan.count("Repartition") == 1
+
+
+def test_isolated_folds_share_what_is_written(table, monkeypatch):
+    wrote, write = [], wf.training
+    monkeypatch.setattr(wf, "training", lambda *a: wrote.append(a) or write(*a))
+    got = wf.run_each(fold_rows(table), FOLDS[:2], ["x0", "x1", "x2"], analogue.AnalogueConfig(top_k=5))
+    assert [g["status"] for g in got] == ["ok", "ok"] and len(wrote) == 1
+    assert wf.run_each(fold_rows(table), FOLDS[:1], ["x0"], analogue.AnalogueConfig(), deadline=-1) == [{"fold": 0, "status": "late"}] and len(wrote) == 1
