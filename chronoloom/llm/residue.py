@@ -23,7 +23,8 @@ phrase, Latin filler). From these seeds labels travel in two ways until nothing
 Scale. Texts are read where they lie and reduced to fingerprints; copies collapse before any
 join; shingles are written once, beside the fingerprints. The order of the prefix join comes from a
 table of ORDER counters (the only thing collected). Sentences, links and components stay distributed (alternating
-large-star and small-star rounds over written tables). A family of classes that resemble each other becomes a star
+large-star and small-star rounds over written tables, until one task can hold the links that are left). Rounds join by
+merging only: what is broadcast passes through the driver, round by round. A family of classes that resemble each other becomes a star
 in each table, not all its pairs; the prefix join meets no two members of one component. Candidates are first tested by
 an upper bound of their overlap (GAUGES counters of shingles each), so that whole shingle sets travel for few.
 """
@@ -53,6 +54,7 @@ LEAST = 2
 COMPANY = 0.5
 CHUNK = 400_000
 GAUGES = 256
+LOCAL = 1 << 20
 
 
 def fingerprints(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
@@ -205,30 +207,53 @@ def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     return joined(able, "s").where(alike(F.size(F.array_intersect("xa", "xb")))).select("a", "b")
 
 
+def least_nodes(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links ``u, v`` and the least node of the component of each."""
+    at, nodes = pd.factorize(np.concatenate([u, v]), sort=True)
+    a, b = at[: len(u)], at[len(u) :]
+    least = np.arange(len(nodes))
+    while (least[a] != least[b]).any():
+        x, y = least[a], least[b]
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while (least[least] != least).any():
+            least = least[least]
+    return nodes, nodes[least]
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` (the least node of its component) for every node that has a link ``a, b``.
 
     Alternating large-star and small-star rounds; each is written, and rounds end when nothing
-    changes (their number grows with the logarithm of the component size; none is cut off).
+    changes (their number grows with the logarithm of the component size; none is cut off) or when LOCAL links
+    or fewer are left, which one task joins.
     """
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    before, state = None, ()
+    id_type = edges.schema["u"].dataType.simpleString()
+
+    def joined(batches):
+        parts = [(pdf["u"].to_numpy(), pdf["v"].to_numpy()) for pdf in batches]
+        if parts:
+            nodes, roots = least_nodes(*(np.concatenate(x) for x in zip(*parts)))
+            for i in range(0, len(nodes), 1 << 16):
+                yield pd.DataFrame({"node": nodes[i : i + (1 << 16)], "root": roots[i : i + (1 << 16)]})
+
+    before, state = None, (edges.count(),)
     while state != before:
+        if state[0] <= LOCAL:
+            return staged(edges.coalesce(1).mapInPandas(joined, f"node {id_type}, root {id_type}"), "rooted")
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = staged(small, "stars")
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     rooted = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     roots = rooted.select(F.col("root").alias("node"), "root").distinct()
-    return rooted.unionByName(roots.join(rooted.select("node"), "node", "left_anti"))
+    return rooted.unionByName(roots.join(rooted.select("node").hint("merge"), "node", "left_anti"))
 
 
 def keeps_company(prints: DataFrame) -> DataFrame:
@@ -247,22 +272,22 @@ def keeps_company(prints: DataFrame) -> DataFrame:
     rows = staged(rows, "sentences")
     counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("classes"), F.count_if("company").alias("beside"), F.max("lit").alias("lit"))
     counts = staged(counts.where(F.col("lit") | (F.col("classes") >= LEAST)), "counts")
-    shared = staged(rows.join(counts.select("k"), "k", "left_semi").select("h1", "piece", "k"), "shared")
-    trusted = counts.where("lit").select("k")
+    shared = staged(rows.join(counts.select("k", "beside").hint("merge"), "k").select("h1", "k", F.col("piece").alias("near"), "beside"), "shared")
+    trusted = new = staged(counts.where("lit").select("k"), "trusted")
+    other = shared  # rows of sentences that are not trusted; ``near``: beside furniture or a trusted one
     while True:
-        trusted = staged(trusted, "trusted")
-        held = shared.join(trusted, "k", "left_semi").select("h1").distinct()
-        other = shared.join(trusted, "k", "left_anti")
-        seen = other.where("piece").select("h1", "k").unionByName(other.where("not piece").join(held, "h1", "left_semi").select("h1", "k"))
-        met = seen.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
-        new = staged(met.join(counts, "k").where((F.col("c") >= LEAST) & (F.col("c") >= COMPANY * F.col("beside"))).select("k"), "newly")
+        met = other.join(new.withColumn("met", F.lit(True)).hint("merge"), "k", "left")
+        near = F.col("near") | F.coalesce(F.max("met").over(Window.partitionBy("h1")), F.lit(False))
+        other = staged(met.withColumn("near", near).where("met is null").drop("met"), "other")
+        met = other.where("near").groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.first("beside").alias("beside"))
+        new = staged(met.where((F.col("c") >= LEAST) & (F.col("c") >= COMPANY * F.col("beside"))).select("k"), "newly")
         if new.isEmpty():
             break
         trusted = trusted.unionByName(new)
     # every sentence of the class is trusted
     wanted = prints.where("size(said) > 0").select("h1", F.size("said").alias("n")).distinct()
-    has = shared.join(trusted, "k", "left_semi").groupBy("h1").agg(F.count(F.lit(1)).alias("c"))
-    return wanted.join(has, "h1").where("n = c").select("h1")
+    has = shared.join(trusted.hint("merge"), "k", "left_semi").groupBy("h1").agg(F.count(F.lit(1)).alias("c"))
+    return wanted.join(has.hint("merge"), "h1").where("n = c").select("h1")
 
 
 def travelled(placed: DataFrame, docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:

@@ -114,6 +114,39 @@ def test_components_against_union_find(spark, seed):
     assert got == {x: find(x) for x in parent}
 
 
+def broadcasts(spark, run):
+    """How many tables pass through the driver while ``run`` works."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    run()
+    bus.waitUntilEmpty(30_000)
+    runs = store.executionsList(before, 1000)
+    assert runs.size() > 0
+    return sum(runs.apply(i).physicalPlanDescription().split("== Initial Plan ==")[0].count("BroadcastExchange") for i in range(runs.size()))
+
+
+@pytest.mark.parametrize("local", [0, residue.LOCAL])
+def test_rounds_of_components_broadcast_nothing(spark, local, monkeypatch):
+    """A chain of 40 links takes several rounds; either way of joining them has the same result."""
+    monkeypatch.setattr(residue, "LOCAL", local)
+    links = spark.createDataFrame([(str(i), str(i + 1)) for i in range(10, 50)] + [("60", "61"), ("7", "7")], "a string, b string")
+    got = []
+    assert broadcasts(spark, lambda: got.extend(residue.components(links).collect())) == 0
+    assert {r.node: r.root for r in got} == {str(i): "10" for i in range(10, 51)} | {"60": "60", "61": "60"} and len(got) == 43
+
+
+def test_rounds_of_sentences_broadcast_nothing(spark):
+    """Each round trusts one sentence more, beside the one before in two classes."""
+    said = [(2 * i + j, 0, [i, i + 1], [i == 0, False]) for i in range(6) for j in range(2)]
+    # the seventh sentence has other company in most of its classes
+    said += [(50 + j, 0, [6, 200 + j], [False, False]) for j in range(6)] + [(60, 0, [1], [False]), (61, 0, [300], [False])]
+    prints = spark.createDataFrame(said, "h1 long, pieces int, said array<long>, lit array<boolean>")
+    got = []
+    assert broadcasts(spark, lambda: got.extend(residue.keeps_company(prints).collect())) == 0
+    assert sorted(r.h1 for r in got) == [*range(10), 60]
+
+
 def verdicts(spark, docs):
     rows = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, h1 string")
     return {r.doc_id: r for r in residue.classify(rows, F.col("doc_id"), F.col("text")).collect()}
