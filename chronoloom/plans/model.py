@@ -64,21 +64,17 @@ def load(spark: SparkSession, path: str) -> AnalogueModel:
     return AnalogueModel(doc["features"], scaling, AnalogueConfig(**doc["config"]), spark.read.parquet(f"{path}/train"), doc["calibrator"])
 
 
-def fit(rows: DataFrame, features: list[str], config: AnalogueConfig, kind: str = "none", share: float = 0.76, most: int = 100_000) -> AnalogueModel:
+def fit(rows: DataFrame, features: list[str], config: AnalogueConfig, kind: str = "none") -> AnalogueModel:
     """Fit on rows of id, ticker, sector, regime, label, fwd_return and features.
 
-    With a calibrator kind a second pass asks the model about a part of its own training rows (``share`` of them, at most
-    ``most``: a documented bound of the calibrator's labelled sample, chosen by hash order) and fits the calibrator to
-    what it answers; same-ticker analogues are left out there as in any query.
+    With a calibrator kind a second pass asks the model about all of its own training rows and fits the calibrator to
+    what it answers; same-ticker analogues are left out there as in any query. Answers are as many as the rows: they are not broadcast.
     """
     plain = AnalogueModel(features, nb.standardise(rows, features), config, rows)
     model = replace(plain, train=scan.filed(plain.scaled(rows, "tid"), "model"))
     if kind == "none":
         return model
-    n = rows.count()
-    size = max(min(1000, n), min(int(n * share), most))
-    part = rows.orderBy(F.xxhash64("id"), "id").limit(size)
-    asked = model.predict(part).select("qid", "raw_prob").join(part.select(F.col("id").alias("qid"), F.col("label").alias("y")), "qid")
+    asked = model.predict(rows).select("qid", "raw_prob").hint("merge").join(rows.select(F.col("id").alias("qid"), F.col("label").alias("y")), "qid")
     return replace(model, calibrator=cal.calibrator(kind, staged(asked, "calibration")))
 
 

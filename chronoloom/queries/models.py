@@ -62,7 +62,7 @@ def model_round_trip(spark, folder):
     a = fitted.predict(asked).select("qid", "prob", "signal")
     b = model.load(spark, path).predict(asked).select("qid", F.col("prob").alias("p2"), F.col("signal").alias("s2"))
     same, inside = (F.col("prob") == F.col("p2")) & (F.col("signal") == F.col("s2")), F.col("prob").between(0, 1)
-    return a.join(b, "qid").agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.every(same), F.lit(True)).alias("same"), F.coalesce(F.every(inside), F.lit(True)).alias("calibrated"))
+    return a.hint("merge").join(b, "qid").agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.every(same), F.lit(True)).alias("same"), F.coalesce(F.every(inside), F.lit(True)).alias("calibrated"))
 
 
 @register("v10_compressed_skill", f"with {COMPLETE}, n as (select count(*) as n from rows where {_ASKED}) select s as space, n, true as known from n, (select unnest(['plain', 'compressed']) as s)")

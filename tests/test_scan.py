@@ -80,6 +80,15 @@ def test_no_neighbour_is_shuffled(table):
     assert "Join" not in plan and "Window" not in plan and "Aggregate" not in plan and plan.count("Repartition") == 1
 
 
+def test_calibrators_are_fitted_to_all_rows(spark, monkeypatch):
+    """1,500 rows train the model and all of them its calibrator, not a part of them."""
+    seen, fitted = [], model.cal.calibrator
+    monkeypatch.setattr(model.cal, "calibrator", lambda kind, rows: seen.extend(r.qid for r in rows.collect()) or fitted(kind, rows))
+    rows = staged(spark.range(1500).selectExpr("id", "concat('t', id % 7) as ticker", "'s' as sector", "1 as regime", "cast(id % 3 = 0 as double) as label", "0.01 as fwd_return", "sin(id) as x0", "cos(3 * id) as x1"))
+    got = model.fit(rows, ["x0", "x1"], analogue.AnalogueConfig(top_k=5), "platt")
+    assert sorted(seen) == list(range(1500)) and len(got.calibrator["params"]) == 2
+
+
 def fold_rows(table):
     return staged(table.where(scan.usable())).select(F.col("tid").alias("id"), "ticker", "sector", F.date_add(F.lit("2020-01-01").cast("date"), "day").alias("date"), "label", "fwd_return", *[F.col("vec")[i].alias(f"x{i}") for i in range(3)])
 
