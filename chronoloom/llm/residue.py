@@ -21,28 +21,32 @@ phrase, Latin filler). From these seeds labels travel in two ways until nothing
   at the same place, in whatever symbols.
 
 Scale. Texts are read where they lie and reduced to fingerprints; copies collapse before any
-join; shingles are written once, beside the fingerprints. The order of the prefix join comes from a
+join; shingles are larger than the texts and are made again where they are needed, not kept. What a step wrote or shuffled is deleted when it has
+been used, and joins of lists (tables, prefixes) run in passes, so that little lies on disk at a time. The order of the prefix join comes from a
 table of ORDER counters (the only thing collected). Sentences, links and components stay distributed (alternating
 large-star and small-star rounds over written tables, until one task can hold the links that are left). Rounds join by
 merging only: what is broadcast passes through the driver, round by round. A family of classes that resemble each other becomes a star
 in each table, not all its pairs; the prefix join meets no two members of one component. Candidates are first tested by
-an upper bound of their overlap (GAUGES counters of shingles each), so that whole shingle sets travel for few.
+an upper bound of their overlap (a bitmap of shingles each), so that whole shingle sets travel for few.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.llm import residue_rules as rules
 from chronoloom.llm.ownwords import own_words
 from chronoloom.llm.residue_rules import holds_slot, says_the_same, sentences, slots
-from chronoloom.llm.textprint import fingerprint
-from chronoloom.session import staged
+from chronoloom.llm.textprint import fingerprint, shingle_sets
+from chronoloom.session import dropped
+from chronoloom.session import staged as written
 
 SIMILAR = 0.8
 HAMMING = 13
@@ -53,21 +57,29 @@ ORDER = 1 << 20
 LEAST = 2
 COMPANY = 0.5
 CHUNK = 400_000
-GAUGES = 256
 LOCAL = 1 << 20
+ROWS = 4_000_000
+PASSES = 8
+TABLES = 8
 
 
-def fingerprints(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
-    """``doc_id, h1, h2, sim, template, said, lit, pieces, g, s`` of posts that have own words. No shuffle.
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """A written table; what was shuffled for it is deleted at once."""
+    return written(df, label, tidy=True)
+
+
+def fingerprints(docs: DataFrame, doc_id: Column, text: Column, counted: bool = False) -> DataFrame:
+    """``doc_id, h1, h2, sim, template, said, lit, pieces, n, g, s`` of posts that have own words. No shuffle.
 
     ``said`` are the hashes of the sentences, ``lit`` whether each is a seed, ``pieces`` the number of
-    pieces of furniture, ``s`` the shingles, ``g`` how many of them fall to each of GAUGES counters.
+    pieces of furniture, ``s`` the shingles, ``n`` their number, ``g`` the bits they set (``bits_of``).
+    With ``counted`` each task adds a row without doc_id: ``hits``, how many shingles fall to each of ORDER counters.
     """
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text")).where("text is not null and doc_id is not null")
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def chunk(ids: list, own: list[str], vocabularies) -> pd.DataFrame:
-        joined = "\0".join(t.lower().replace("\0", " ") for t in own) + "\0"
+        joined = _joined(own)
         p = fingerprint(joined, vocabularies)
         seeds, furniture = rules.kinds(p, joined)
         cuts = np.searchsorted(p.owner, np.arange(len(p.texts) + 1))
@@ -81,28 +93,65 @@ def fingerprints(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
         return pd.DataFrame(
             {
                 "doc_id": [ids[i] for i in p.texts], "h1": p.h1.view(np.int64), "h2": p.h2.view(np.int64), "sim": p.sim, "template": [rules.template_part(own[i]) for i in p.texts],
-                "said": said, "lit": lit, "pieces": np.array(pieces, dtype=np.int32),
-                "g": [np.bincount((x % np.uint64(GAUGES)).astype(np.int64), minlength=GAUGES).astype(np.int32) for x in p.shingles], "s": [x.view(np.int64) for x in p.shingles],
+                "said": said, "lit": lit, "pieces": np.array(pieces, dtype=np.int32), "n": np.array([len(x) for x in p.shingles], dtype=np.int32), "g": [bits_of(x) for x in p.shingles], "s": [x.view(np.int64) for x in p.shingles],
             }
         )
 
     def run(batches):
-        vocabularies = rules.vocabularies()
-        for pdf in batches:
-            ids, own, size = [], [], 0
-            for d, t in zip(pdf["doc_id"], pdf["text"]):
-                ids.append(d)
-                own.append(own_words(t))
-                size += len(own[-1])
-                if size >= CHUNK:
-                    yield chunk(ids, own, vocabularies)
-                    ids, own, size = [], [], 0
-            if any(t.strip() for t in own):  # a batch without a token has no rows
-                part = chunk(ids, own, vocabularies)
-                if len(part):
-                    yield part
-
-    return rows.mapInPandas(run, f"doc_id {id_type}, h1 long, h2 long, sim long, template boolean, said array<long>, lit array<boolean>, pieces int, g array<int>, s array<long>")
+        vocabularies, total = rules.vocabularies(), np.zeros(ORDER, dtype=np.int32)
+        for ids, own in _chunks(batches):
+            part = chunk(ids, own, vocabularies)
+            if len(part):
+                if counted:
+                    total += np.bincount(np.concatenate(part["s"].tolist()) & (ORDER - 1), minlength=ORDER).astype(np.int32)
+                    part["hits"] = None
+                yield part
+        if counted and total.any():
+            yield pd.DataFrame({c: [None] for c in columns} | {"hits": [total]}, dtype=object)
+
+    columns = {"doc_id": id_type, "h1": "long", "h2": "long", "sim": "long", "template": "boolean", "said": "array<long>", "lit": "array<boolean>", "pieces": "int", "n": "int", "g": "array<long>", "s": "array<long>"}
+    return rows.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in (columns | ({"hits": "array<int>"} if counted else {})).items()))
+
+
+def bits_of(s: np.ndarray) -> np.ndarray:
+    """A bitmap of 64 bits or more, two to four times as many as there are shingles, as longs: the last bits of each shingle number a bit. Halves laid on each other are a bitmap of half the size."""
+    m = 1 << max(6, (2 * len(s) - 1).bit_length())
+    out = np.zeros(m, dtype=np.uint8)
+    out[(s & np.uint64(m - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view(np.int64)
+
+
+def shingled(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
+    """``doc_id, s`` of ``fingerprints``: shingles take three times the disk of the texts, so they are made again where they are needed. No shuffle."""
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text")).where("text is not null and doc_id is not null")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for ids, own in _chunks(batches):
+            texts, sets = shingle_sets(_joined(own))
+            if len(texts):
+                yield pd.DataFrame({"doc_id": [ids[i] for i in texts], "s": [x.view(np.int64) for x in sets]})
+
+    return rows.mapInPandas(run, f"doc_id {id_type}, s array<long>")
+
+
+def _joined(own: list[str]) -> str:
+    return "\0".join(t.lower().replace("\0", " ") for t in own) + "\0"
+
+
+def _chunks(batches):
+    """Ids and own words of posts, some CHUNK characters at a time."""
+    for pdf in batches:
+        ids, own, size = [], [], 0
+        for d, t in zip(pdf["doc_id"], pdf["text"]):
+            ids.append(d)
+            own.append(own_words(t))
+            size += len(own[-1])
+            if size >= CHUNK:
+                yield ids, own
+                ids, own, size = [], [], 0
+        if any(t.strip() for t in own):  # a batch without a token has no rows
+            yield ids, own
 
 
 def table_masks(n: int) -> list[int]:
@@ -125,86 +174,138 @@ def near_pairs(classes: DataFrame, every: bool = False) -> DataFrame:
     """Pairs ``a < b`` of ``vid`` that share a table's key, whose ``sim`` differ in at most HAMMING bits and whose numbers ``n`` of shingles allow the similarity.
 
     Of the partners a class has in a bucket only the least is named, so that a family is a star; with ``every`` all are.
+    A pass files the classes in so many tables as make ROWS rows, at least TABLES, so that what is shuffled at a time does not grow with the number of tables.
     """
-    masks = table_masks(classes.count())
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("sim").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(masks)])
-    filed = classes.select("vid", "sim", "n", F.explode(tables).alias("f")).select("vid", "sim", "n", "f.t", "f.key")
-    a, b = filed.alias("a"), filed.alias("b")
+    n = classes.count()
+    masks = list(enumerate(table_masks(n)))
+    each = max(TABLES, ROWS // max(n, 1))
     on = (
         (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.vid") < F.col("b.vid"))
         & (F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim"))) <= HAMMING)
         & (F.least("a.n", "b.n") >= F.lit(SIMILAR) * F.greatest("a.n", "b.n") - F.lit(1e-6))
     )
-    met = a.join(b, on).select(F.col("a.t").alias("t"), F.col("a.key").alias("key"), F.col("a.vid").alias("a"), F.col("b.vid").alias("b"))
-    return (met if every else met.groupBy("t", "key", "b").agg(F.min("a").alias("a"))).select("a", "b").distinct()
-
-
-def prefix_pairs(prints: DataFrame, classes: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    found = []
+    for at in range(0, len(masks), each):
+        tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("sim").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in masks[at : at + each]])
+        filed = classes.select("vid", "sim", "n", F.explode(tables).alias("f")).select("vid", "sim", "n", "f.t", "f.key")
+        met = filed.alias("a").join(filed.alias("b"), on).select(F.col("a.t").alias("t"), F.col("a.key").alias("key"), F.col("a.vid").alias("a"), F.col("b.vid").alias("b"))
+        found.append((met if every else met.groupBy("t", "key", "b").agg(F.min("a").alias("a"))).select("a", "b").distinct())
+    return _together(found, "met")
+
+
+def _together(found: list[DataFrame], label: str) -> DataFrame:
+    """The distinct pairs of several passes, each run after the other."""
+    if len(found) == 1:
+        return found[0]
+    parts = [staged(x, label) for x in found]
+    whole = staged(reduce(DataFrame.unionByName, parts).distinct(), label)
+    dropped(*parts)
+    return whole
+
+
+def prefix_pairs(sets: DataFrame, classes: DataFrame, placed: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
     """Pairs ``a < b`` of ``vid``, all of Jaccard similarity SIMILAR or more among them but those of one component in ``placed`` (node, root).
 
-    Shingles are ordered by how often their counter is hit (any order common to all texts is exact;
+    ``sets``: doc_id, s; ``hits``: the counters, if they are known. Shingles are ordered by how often their counter is hit (any order common to all texts is exact;
     this one keeps the lists short). The larger set is at most 1 / SIMILAR times the smaller, and
-    the first shingle in common leaves room for the overlap that is needed (length and position filters).
+    the first shingle in common leaves room for the overlap that is needed (length and position filters). Lists hold 32 bits of each
+    shingle: sets of these have as much in common or more (equal ones counted apart), so no pair is lost. They are joined in up to PASSES passes.
     """
-    slot = F.pmod(F.col("x"), F.lit(ORDER)).cast("int")
-    met = prints.select(F.explode("s").alias("x")).groupBy(slot.alias("slot")).count().where("count > 1").toArrow()
+
+    known = hits is not None
+
+    def count(batches):
+        total = np.zeros(ORDER, dtype=np.int64)
+        for b in batches:
+            v = b.column(0).flatten().to_numpy()
+            total += v.reshape(-1, ORDER).sum(0) if known else np.bincount(v & (ORDER - 1), minlength=ORDER)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["slot", "n"])
+
+    slots = staged((hits if known else sets.select("s")).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1"), "slots")
+    met = slots.toArrow()
     counts = np.ones(ORDER, dtype=np.int32)
-    counts[met["slot"].to_numpy()] = np.minimum(met["count"].to_numpy(), np.iinfo(np.int32).max)
-    shared = prints.sparkSession.sparkContext.broadcast(counts)
+    counts[met["slot"].to_numpy()] = np.minimum(met["n"].to_numpy(), np.iinfo(np.int32).max)
+    dropped(slots)
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
-        for pdf in batches:
-            keys, of, n, at = [], [], [], []
-            for h, s in zip(pdf["h1"], pdf["s"]):
-                s = np.asarray(s)
-                c, k = shared.value[s % ORDER], len(s)
-                first = np.lexsort((s, c))[: k - math.ceil(SIMILAR * k - 1e-9) + 1]
-                met = np.flatnonzero(c[first] > 1)  # a shingle met once joins nothing
-                keys.append(s[first[met]])
-                at.append(met)
-                of.append(np.full(len(met), h))
-                n.append(np.full(len(met), k))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "c": np.concatenate(of), "n": np.concatenate(n).astype(np.int32), "at": np.concatenate(at).astype(np.int32)})
-
-    # equal own words have equal rows; keys of one class only join nothing
-    filed = prints.select("h1", "s").mapInPandas(run, "key long, c long, n int, at int").repartition("key").groupBy("key", "c").agg(F.first("n").alias("n"), F.first("at").alias("at"))
-    filed = filed.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("k > 1").drop("k")
-    named = classes.select(F.col("h1").alias("c"), "vid")
+        for b in batches:
+            s, size = b.column(1).flatten().to_numpy(), pa.compute.list_value_length(b.column(1)).to_numpy().astype(np.int64)
+            c, x, row = shared.value[s & (ORDER - 1)], s.astype(np.int32), np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((x, c, row))
+            c, x = c[order], x[order]
+            at = np.arange(len(s)) - (np.cumsum(size) - size)[row]
+            head = at < (size - np.ceil(SIMILAR * size - 1e-9).astype(np.int64) + 1)[row]
+            again = np.zeros(len(s), dtype=bool)
+            again[1:] = (x[1:] == x[:-1]) & (row[1:] == row[:-1])
+            keep = np.flatnonzero(head & (c > 1) & ~again)  # a shingle met once joins nothing
+            held = np.bincount(row[keep], minlength=len(size))
+            cuts = pa.array(np.concatenate(([0], np.cumsum(held))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(v[keep].astype(np.int32))) for v in (x, at)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int32)), *lists], names=["c", "n", "keys", "at"]).filter(pa.array(held > 0))
+
+    id_type = sets.schema["doc_id"].dataType.simpleString()
+    heads = staged(sets.select("doc_id", "s").mapInArrow(run, f"c {id_type}, n int, keys array<int>, at array<int>"), "heads")
+    named = classes.select("vid")  # equal own words are one class, of which one post is asked
     if placed is not None:
-        named = named.join(placed, F.col("vid") == F.col("node"), "left").select("c", "vid", "root")
+        named = named.join(placed, F.col("vid") == F.col("node"), "left").select("vid", F.coalesce("root", "vid").alias("root"))
     else:
-        named = named.withColumn("root", F.lit(None).cast(classes.schema["vid"].dataType))
-    filed = staged(staged(filed, "prefixes").join(named, "c").withColumn("root", F.coalesce("root", "vid")), "prefixes")
-    a, b = filed.alias("a"), filed.alias("b")
+        named = named.withColumn("root", F.col("vid"))
+    filed = staged(heads.join(named, F.col("c") == F.col("vid")).select("vid", "root", "n", "keys", "at"), "prefixes")
+    dropped(heads)
+    passes = max(1, min(PASSES, math.ceil((filed.agg(F.sum(F.size("keys"))).first()[0] or 0) / ROWS)))
     needed = F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-6)
     on = (
         (F.col("a.key") == F.col("b.key")) & (F.col("a.vid") < F.col("b.vid")) & (F.col("a.root") != F.col("b.root"))
         & (F.least("a.n", "b.n") >= F.lit(SIMILAR) * F.greatest("a.n", "b.n") - F.lit(1e-6))
         & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= needed)
     )
-    return a.join(b, on).select(F.col("a.vid").alias("a"), F.col("b.vid").alias("b")).distinct()
+    found = []
+    for i in range(passes):
+        rows = filed.select("vid", "root", "n", F.explode(F.arrays_zip("keys", "at")).alias("x")).select("vid", "root", "n", F.col("x.keys").alias("key"), F.col("x.at").alias("at")).where(F.pmod("key", F.lit(passes)) == i)
+        found.append(rows.alias("a").join(rows.alias("b"), on).select(F.col("a.vid").alias("a"), F.col("b.vid").alias("b")).distinct())
+    return _together(found, "met")
 
 
-def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, prints: DataFrame, sets=None) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of SIMILAR or more.
 
-    Two sets share at most as many shingles as the smaller counts of their gauges add up to; pairs that fail by this
-    bound never meet their sets.
+    A bit that one set has and the other has not is a shingle that they do not share, which bounds what they share; pairs that fail by this
+    bound never meet their sets. ``sets`` gives doc_id and s of the posts of a table of doc_id (else they are in ``prints``).
     """
+    sets = sets or (lambda wanted: prints.select("doc_id", "s").join(wanted, "doc_id", "left_semi"))
 
-    def joined(p: DataFrame, column: str) -> DataFrame:
-        wanted = p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        held = staged(prints.select("doc_id", column, F.size("s").alias("n")).join(wanted, "doc_id", "left_semi"), "held")
-        side = lambda x: held.select(F.col("doc_id").alias(x), F.col(column).alias(f"x{x}"), F.col("n").alias(f"n{x}"))
+    def joined(p: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
+        side = lambda x: held.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in columns])
         return p.join(side("a"), "a").join(side("b"), "b")
 
+    def wanted(p: DataFrame) -> DataFrame:
+        return p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
     def alike(common: Column) -> Column:
         return common >= SIMILAR * (F.col("na") + F.col("nb") - common) - 1e-6
 
-    most = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    able = staged(joined(pairs, "g").where(alike(most)).select("a", "b"), "able")
-    return joined(able, "s").where(alike(F.size(F.array_intersect("xa", "xb")))).select("a", "b")
+    def folded(x: Column, y: Column) -> Column:
+        """x at the size of y, which is the same or half of it (or else y is folded)."""
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseOR(q))).otherwise(x)
+
+    def apart(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+
+    ga, gb = F.col("ga"), F.col("gb")
+    most = F.least(F.col("na") - apart(folded(ga, gb), folded(gb, ga)), F.col("nb") - apart(folded(gb, ga), folded(ga, gb)))
+    near = F.least("na", "nb") >= F.lit(SIMILAR) * F.greatest("na", "nb") - F.lit(1e-6)  # so that bitmaps differ by one fold at most
+    held = staged(prints.select("doc_id", "g", "n").join(wanted(pairs), "doc_id", "left_semi"), "held")
+    able = staged(joined(pairs, held, ["g", "n"]).where(F.when(near, alike(most))).select("a", "b", "na", "nb"), "able")
+    dropped(held)
+    if able.isEmpty():
+        return able.select("a", "b")
+    held = staged(sets(wanted(able)), "held")
+    kept = staged(joined(able, held, ["s"]).where(alike(F.size(F.array_intersect("sa", "sb")))).select("a", "b"), "kept")
+    dropped(held, able)
+    return kept
 
 
 def least_nodes(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +341,9 @@ def components(links: DataFrame) -> DataFrame:
     before, state = None, (edges.count(),)
     while state != before:
         if state[0] <= LOCAL:
-            return staged(edges.coalesce(1).mapInPandas(joined, f"node {id_type}, root {id_type}"), "rooted")
+            rooted = staged(edges.coalesce(1).mapInPandas(joined, f"node {id_type}, root {id_type}"), "rooted")
+            dropped(edges)
+            return rooted
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -249,7 +352,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = staged(small, "stars")
+        edges, old = staged(small, "stars"), edges
+        dropped(old)
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     rooted = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     roots = rooted.select(F.col("root").alias("node"), "root").distinct()
@@ -274,16 +378,20 @@ def keeps_company(prints: DataFrame) -> DataFrame:
     counts = staged(counts.where(F.col("lit") | (F.col("classes") >= LEAST)), "counts")
     shared = staged(rows.join(counts.select("k", "beside").hint("merge"), "k").select("h1", "k", F.col("piece").alias("near"), "beside"), "shared")
     trusted = new = staged(counts.where("lit").select("k"), "trusted")
+    dropped(rows, counts)
     other = shared  # rows of sentences that are not trusted; ``near``: beside furniture or a trusted one
     while True:
         met = other.join(new.withColumn("met", F.lit(True)).hint("merge"), "k", "left")
         near = F.col("near") | F.coalesce(F.max("met").over(Window.partitionBy("h1")), F.lit(False))
-        other = staged(met.withColumn("near", near).where("met is null").drop("met"), "other")
+        other, old = staged(met.withColumn("near", near).where("met is null").drop("met"), "other"), other
+        if old is not shared:
+            dropped(old)
         met = other.where("near").groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.first("beside").alias("beside"))
         new = staged(met.where((F.col("c") >= LEAST) & (F.col("c") >= COMPANY * F.col("beside"))).select("k"), "newly")
         if new.isEmpty():
             break
         trusted = trusted.unionByName(new)
+    dropped(other)
     # every sentence of the class is trusted
     wanted = prints.where("size(said) > 0").select("h1", F.size("said").alias("n")).distinct()
     has = shared.join(trusted.hint("merge"), "k", "left_semi").groupBy("h1").agg(F.count(F.lit(1)).alias("c"))
@@ -332,18 +440,23 @@ def classify(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     Null texts, and posts that only quote, have no row; post ids must
     be unique; repeated texts are posts of their own; empty in, empty out.
     """
-    prints = staged(fingerprints(docs, doc_id, text), "prints")
+    whole = staged(fingerprints(docs, doc_id, text, counted=True).drop("s"), "prints")
+    prints, hits = whole.where("doc_id is not null").drop("hits"), whole.where("doc_id is null").select("hits")
     alone = F.col("template") | ((F.size("said") > 0) & F.forall("lit", lambda x: x))
     kept = keeps_company(prints).distinct().withColumn("kept", F.lit(True))
     classes = staged(
-        prints.select("h1", "h2", "doc_id", "sim", F.size("s").alias("n"), "template", alone.alias("trusted")).groupBy("h1", "h2")
+        prints.select("h1", "h2", "doc_id", "sim", "n", "template", alone.alias("trusted")).groupBy("h1", "h2")
         .agg(F.min("doc_id").alias("vid"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.max("template").alias("template"), F.max("trusted").alias("trusted"))
         .join(kept, "h1", "left").withColumn("told", F.col("trusted") | F.coalesce("kept", F.lit(False))).drop("kept"),
         "classes",
     )
-    stars = staged(verified(staged(near_pairs(classes), "near"), prints), "stars")
-    rest = verified(staged(prefix_pairs(prints, classes, components(stars)), "pairs"), prints)
+    sets = lambda wanted: shingled(docs.join(wanted.select(F.col("doc_id").alias("__wanted")), doc_id == F.col("__wanted"), "left_semi"), doc_id, text)
+    near = staged(near_pairs(classes), "near")
+    stars = verified(near, prints, sets)
+    pairs = staged(prefix_pairs(shingled(docs, doc_id, text), classes, components(stars), hits), "pairs")
+    rest = verified(pairs, prints, sets)
     links = staged(stars.unionByName(rest).distinct(), "verified")
+    dropped(near, pairs)
     comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     placed = staged(

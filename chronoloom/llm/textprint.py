@@ -122,6 +122,15 @@ def fingerprint(joined: str, vocabularies: list[np.ndarray] = ()) -> Prints:
     )
 
 
+def shingle_sets(joined: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """``texts`` and ``shingles`` of ``fingerprint``, without the rest."""
+    code, _, _, at, _, token = _tokens(joined)
+    doc = np.concatenate(([0], np.cumsum(code == 0)))[at]
+    texts, first = np.unique(doc, return_index=True)
+    last = np.append(first[1:], len(doc))
+    return texts, shingles(token, np.repeat(np.arange(len(texts)), last - first), _spans(token, first, last))
+
+
 def _counted(flag: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     upto = np.concatenate(([0], np.cumsum(flag)))
     return upto[last] - upto[first]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
 _WATCHED: list[bool] = []
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -64,18 +65,36 @@ def sweep(spark: SparkSession) -> int:
     return n
 
 
-def staged(df: DataFrame, label: str = "stage") -> DataFrame:
+def staged(df: DataFrame, label: str = "stage", tidy: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The result has no lineage: executors can be lost without recomputing what lies before
     it, and columns and predicates of later steps are pushed into the written table. The files go when the
-    session stops, or with ``sweep``.
+    session stops, or with ``sweep`` or ``dropped``. With ``tidy`` the shuffle files of the write go when it ends, not when the driver happens
+    to collect its garbage.
     """
     spark = df.sparkSession
     _watch(spark)
     path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_TIDY)
+    try:
+        if tidy:
+            spark.conf.set(_TIDY, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``staged`` returned; nothing may read them any more."""
+    for t in tables:
+        if t._written in _WRITTEN:
+            _WRITTEN.remove(t._written)
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written)
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _watch(spark: SparkSession) -> None:

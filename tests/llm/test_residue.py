@@ -1,8 +1,11 @@
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronoloom import session
 from chronoloom.llm import residue, tokens
 from chronoloom.llm import residue_rules as rules
 from chronoloom.llm.ownwords import own_words
@@ -269,6 +272,51 @@ def test_a_family_is_a_star(spark):
     assert comp.count() == 1000 and {r.root for r in comp.collect()} == {0} and residue.prefix_pairs(prints, classes, comp).count() == 0
 
 
+def test_passes_lose_no_pair(spark, monkeypatch):
+    """Tables and prefixes in several passes meet what one pass meets, and nothing of the passes stays on disk."""
+    frame = spark.createDataFrame(near_texts(7), "doc_id long, text string")
+    prints = residue.staged(residue.fingerprints(frame, F.col("doc_id"), F.col("text")), "prints")
+    classes = residue.staged(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("vid"), F.first("sim").alias("sim"), F.first("n").alias("n")), "classes")
+
+    def pairs():
+        return [{(r.a, r.b) for r in x.collect()} for x in (residue.near_pairs(classes), residue.prefix_pairs(prints, classes), residue.prefix_pairs(residue.shingled(frame, F.col("doc_id"), F.col("text")), classes))]
+
+    once = pairs()
+    monkeypatch.setattr(residue, "ROWS", 500)
+    monkeypatch.setattr(residue, "TABLES", 2)
+    before = len(session._WRITTEN)
+    assert pairs() == once and len(once[1]) > 150 and once[1] == once[2]
+    assert len(session._WRITTEN) == before + 5  # three results and the prefixes of two
+
+
+def test_bitmaps_bound_what_two_sets_share():
+    rnd = random.Random(3)
+    for n in (1, 31, 32, 33, 60, 64, 65, 2000):
+        a = [rnd.getrandbits(64) for _ in range(n)]
+        b = a[: int(0.9 * n)] + [rnd.getrandbits(64) for _ in range(n // 5)] or [rnd.getrandbits(64)]
+        x, y = ({i * 64 + j for i, w in enumerate(residue.bits_of(np.array(v, dtype=np.uint64)).view(np.uint64).tolist()) for j in range(64) if w >> j & 1} for v in (a, b))
+        size = 64 * min(len(residue.bits_of(np.array(v, dtype=np.uint64))) for v in (a, b))
+        x, y = {i % size for i in x}, {i % size for i in y}
+        assert size >= 1.6 * n and x == {v % size for v in a} and len(set(a) & set(b)) <= min(len(a) - len(x - y), len(b) - len(y - x))
+
+
+def test_little_stays_on_disk(spark):
+    """Shingles are written nowhere for all posts; what a step wrote or shuffled is gone when it has been used."""
+    frame = spark.createDataFrame(near_texts(6), "doc_id long, text string")
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(".data" in str(f) for f in disk.getAllFiles().mkString(" ").split(" "))
+    before, files = len(session._WRITTEN), shuffled()
+    got = residue.classify(frame, F.col("doc_id"), F.col("text"))
+    left = session._WRITTEN[before:]
+    assert not [x for x in left if any(f"chronoloom-{label}-" in x for label in ("heads", "met", "held", "able", "near", "pairs", "sentences", "counts", "other", "links"))]
+    assert all("s" not in spark.read.parquet(x).columns for x in left)
+    for _ in range(100):
+        if shuffled() - files <= 10:  # those of counts that are read, not written
+            break
+        time.sleep(0.1)
+    assert shuffled() - files <= 10 and got.count() == len(near_texts(6))
+
+
 def test_tables_grow_with_the_classes():
     few, many = residue.table_masks(1000), residue.table_masks(10**9)
     assert len(few) < len(many) and bin(few[0] & (2**64 - 1)).count("1") == 8 and bin(many[0] & (2**64 - 1)).count("1") == 26
