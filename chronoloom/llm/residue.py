@@ -25,7 +25,7 @@ join; shingles are larger than the texts and are made again where they are neede
 been used, and joins of lists (tables, prefixes) run in passes, so that little lies on disk at a time. The order of the prefix join comes from a
 table of ORDER counters (the only thing collected). Sentences, links and components stay distributed (alternating
 large-star and small-star rounds over written tables, until one task can hold the links that are left). Rounds join by
-merging only: what is broadcast passes through the driver, round by round. A family of classes that resemble each other becomes a star
+merging only, as does every other join: what is broadcast passes through the driver, and Spark sizes a table too low after an explode or a Python step. A family of classes that resemble each other becomes a star
 in each table, not all its pairs; the prefix join meets no two members of one component. Candidates are first tested by
 an upper bound of their overlap (a bitmap of shingles each), so that whole shingle sets travel for few.
 """
@@ -188,7 +188,7 @@ def near_pairs(classes: DataFrame, every: bool = False) -> DataFrame:
     for at in range(0, len(masks), each):
         tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("sim").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in masks[at : at + each]])
         filed = classes.select("vid", "sim", "n", F.explode(tables).alias("f")).select("vid", "sim", "n", "f.t", "f.key")
-        met = filed.alias("a").join(filed.alias("b"), on).select(F.col("a.t").alias("t"), F.col("a.key").alias("key"), F.col("a.vid").alias("a"), F.col("b.vid").alias("b"))
+        met = filed.alias("a").hint("merge").join(filed.alias("b"), on).select(F.col("a.t").alias("t"), F.col("a.key").alias("key"), F.col("a.vid").alias("a"), F.col("b.vid").alias("b"))
         found.append((met if every else met.groupBy("t", "key", "b").agg(F.min("a").alias("a"))).select("a", "b").distinct())
     return _together(found, "met")
 
@@ -249,10 +249,10 @@ def prefix_pairs(sets: DataFrame, classes: DataFrame, placed: DataFrame | None =
     heads = staged(sets.select("doc_id", "s").mapInArrow(run, f"c {id_type}, n int, keys array<int>, at array<int>"), "heads")
     named = classes.select("vid")  # equal own words are one class, of which one post is asked
     if placed is not None:
-        named = named.join(placed, F.col("vid") == F.col("node"), "left").select("vid", F.coalesce("root", "vid").alias("root"))
+        named = named.join(placed.hint("merge"), F.col("vid") == F.col("node"), "left").select("vid", F.coalesce("root", "vid").alias("root"))
     else:
         named = named.withColumn("root", F.col("vid"))
-    filed = staged(heads.join(named, F.col("c") == F.col("vid")).select("vid", "root", "n", "keys", "at"), "prefixes")
+    filed = staged(heads.join(named.hint("merge"), F.col("c") == F.col("vid")).select("vid", "root", "n", "keys", "at"), "prefixes")
     dropped(heads)
     passes = max(1, min(PASSES, math.ceil((filed.agg(F.sum(F.size("keys"))).first()[0] or 0) / ROWS)))
     needed = F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-6)
@@ -264,7 +264,7 @@ def prefix_pairs(sets: DataFrame, classes: DataFrame, placed: DataFrame | None =
     found = []
     for i in range(passes):
         rows = filed.select("vid", "root", "n", F.explode(F.arrays_zip("keys", "at")).alias("x")).select("vid", "root", "n", F.col("x.keys").alias("key"), F.col("x.at").alias("at")).where(F.pmod("key", F.lit(passes)) == i)
-        found.append(rows.alias("a").join(rows.alias("b"), on).select(F.col("a.vid").alias("a"), F.col("b.vid").alias("b")).distinct())
+        found.append(rows.alias("a").hint("merge").join(rows.alias("b"), on).select(F.col("a.vid").alias("a"), F.col("b.vid").alias("b")).distinct())
     return _together(found, "met")
 
 
@@ -274,11 +274,11 @@ def verified(pairs: DataFrame, prints: DataFrame, sets=None) -> DataFrame:
     A bit that one set has and the other has not is a shingle that they do not share, which bounds what they share; pairs that fail by this
     bound never meet their sets. ``sets`` gives doc_id and s of the posts of a table of doc_id (else they are in ``prints``).
     """
-    sets = sets or (lambda wanted: prints.select("doc_id", "s").join(wanted, "doc_id", "left_semi"))
+    sets = sets or (lambda wanted: prints.select("doc_id", "s").join(wanted.hint("merge"), "doc_id", "left_semi"))
 
     def joined(p: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
         side = lambda x: held.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in columns])
-        return p.join(side("a"), "a").join(side("b"), "b")
+        return p.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
 
     def wanted(p: DataFrame) -> DataFrame:
         return p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -297,7 +297,7 @@ def verified(pairs: DataFrame, prints: DataFrame, sets=None) -> DataFrame:
     ga, gb = F.col("ga"), F.col("gb")
     most = F.least(F.col("na") - apart(folded(ga, gb), folded(gb, ga)), F.col("nb") - apart(folded(gb, ga), folded(ga, gb)))
     near = F.least("na", "nb") >= F.lit(SIMILAR) * F.greatest("na", "nb") - F.lit(1e-6)  # so that bitmaps differ by one fold at most
-    held = staged(prints.select("doc_id", "g", "n").join(wanted(pairs), "doc_id", "left_semi"), "held")
+    held = staged(prints.select("doc_id", "g", "n").join(wanted(pairs).hint("merge"), "doc_id", "left_semi"), "held")
     able = staged(joined(pairs, held, ["g", "n"]).where(F.when(near, alike(most))).select("a", "b", "na", "nb"), "able")
     dropped(held)
     if able.isEmpty():
@@ -401,10 +401,10 @@ def keeps_company(prints: DataFrame) -> DataFrame:
 def travelled(placed: DataFrame, docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     """``vid`` of the classes that the exact check accepts as what the residue of their component is."""
     mixed = placed.groupBy("class_id").agg(F.max("told").alias("some"), F.min("told").alias("every")).where("some and not every")
-    members = staged(placed.join(mixed, "class_id", "left_semi").select("vid", "class_id", "told", "template"), "members")
+    members = staged(placed.join(mixed.hint("merge"), "class_id", "left_semi").select("vid", "class_id", "told", "template"), "members")
     if members.isEmpty():
         return members.select("vid")
-    rows = docs.select(doc_id.alias("vid"), text.alias("text")).join(members, "vid")
+    rows = docs.select(doc_id.alias("vid"), text.alias("text")).join(members.hint("merge"), "vid")
     id_type = rows.schema["vid"].dataType.simpleString()
 
     def evidence(batches):
@@ -447,10 +447,10 @@ def classify(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     classes = staged(
         prints.select("h1", "h2", "doc_id", "sim", "n", "template", alone.alias("trusted")).groupBy("h1", "h2")
         .agg(F.min("doc_id").alias("vid"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.max("template").alias("template"), F.max("trusted").alias("trusted"))
-        .join(kept, "h1", "left").withColumn("told", F.col("trusted") | F.coalesce("kept", F.lit(False))).drop("kept"),
+        .join(kept.hint("merge"), "h1", "left").withColumn("told", F.col("trusted") | F.coalesce("kept", F.lit(False))).drop("kept"),
         "classes",
     )
-    sets = lambda wanted: shingled(docs.join(wanted.select(F.col("doc_id").alias("__wanted")), doc_id == F.col("__wanted"), "left_semi"), doc_id, text)
+    sets = lambda wanted: shingled(docs.join(wanted.select(F.col("doc_id").alias("__wanted")).hint("merge"), doc_id == F.col("__wanted"), "left_semi"), doc_id, text)
     near = staged(near_pairs(classes), "near")
     stars = verified(near, prints, sets)
     pairs = staged(prefix_pairs(shingled(docs, doc_id, text), classes, components(stars), hits), "pairs")
@@ -460,11 +460,11 @@ def classify(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     placed = staged(
-        classes.drop("sim", "n").join(comp, classes["vid"] == comp["node"], "left").drop("node").join(degree, F.col("vid") == F.col("node"), "left")
+        classes.drop("sim", "n").join(comp.hint("merge"), classes["vid"] == comp["node"], "left").drop("node").join(degree.hint("merge"), F.col("vid") == F.col("node"), "left")
         .select("vid", "h1", "h2", "template", "trusted", "told", F.coalesce("root", "vid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")),
         "placed",
     )
     linked = travelled(placed, docs, doc_id, text).withColumn("linked", F.lit(True))
     reason = F.when(F.col("trusted"), "seed").when(F.col("told"), "company").when(F.col("linked"), "component")
-    verdict = placed.join(linked, "vid", "left").select("h1", "h2", "class_id", "links", "trusted", reason.isNotNull().alias("residue"), reason.alias("reason"))
-    return prints.select("doc_id", "h1", "h2").join(verdict, ["h1", "h2"]).select("doc_id", "class_id", "links", "trusted", "residue", "reason")
+    verdict = placed.join(linked.hint("merge"), "vid", "left").select("h1", "h2", "class_id", "links", "trusted", reason.isNotNull().alias("residue"), reason.alias("reason"))
+    return prints.select("doc_id", "h1", "h2").join(verdict.hint("merge"), ["h1", "h2"]).select("doc_id", "class_id", "links", "trusted", "residue", "reason")
