@@ -272,13 +272,16 @@ def verified(pairs: DataFrame, prints: DataFrame, sets=None) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of SIMILAR or more.
 
     A bit that one set has and the other has not is a shingle that they do not share, which bounds what they share; pairs that fail by this
-    bound never meet their sets. ``sets`` gives doc_id and s of the posts of a table of doc_id (else they are in ``prints``).
+    bound never meet their sets. Pairs go in passes by their first end, each of ROWS pairs or of twice as many as there are posts. ``sets`` gives doc_id and s of the posts of a table of doc_id (else they are in ``prints``).
     """
     sets = sets or (lambda wanted: prints.select("doc_id", "s").join(wanted.hint("merge"), "doc_id", "left_semi"))
 
-    def joined(p: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
-        side = lambda x: held.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in columns])
-        return p.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    def passed(p: DataFrame, held: DataFrame, columns: list[str], most: int, test: Column, names: list[str], label: str) -> DataFrame:
+        passes = max(1, math.ceil(p.count() / most))
+        mine = lambda df, c, i: df.where(F.pmod(F.xxhash64(c), F.lit(passes)) == i) if passes > 1 else df
+        side = lambda x, of: of.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in columns])
+        found = [mine(p, "a", i).join(side("a", mine(held, "doc_id", i)).hint("merge"), "a").join(side("b", held).hint("merge"), "b").where(test).select(*names) for i in range(passes)]
+        return _together(found, label) if passes > 1 else staged(found[0], label)
 
     def wanted(p: DataFrame) -> DataFrame:
         return p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -298,12 +301,12 @@ def verified(pairs: DataFrame, prints: DataFrame, sets=None) -> DataFrame:
     most = F.least(F.col("na") - apart(folded(ga, gb), folded(gb, ga)), F.col("nb") - apart(folded(gb, ga), folded(ga, gb)))
     near = F.least("na", "nb") >= F.lit(SIMILAR) * F.greatest("na", "nb") - F.lit(1e-6)  # so that bitmaps differ by one fold at most
     held = staged(prints.select("doc_id", "g", "n").join(wanted(pairs).hint("merge"), "doc_id", "left_semi"), "held")
-    able = staged(joined(pairs, held, ["g", "n"]).where(F.when(near, alike(most))).select("a", "b", "na", "nb"), "able")
+    able = passed(pairs, held, ["g", "n"], max(ROWS, 2 * held.count()), F.when(near, alike(most)), ["a", "b", "na", "nb"], "able")
     dropped(held)
     if able.isEmpty():
         return able.select("a", "b")
     held = staged(sets(wanted(able)), "held")
-    kept = staged(joined(able, held, ["s"]).where(alike(F.size(F.array_intersect("sa", "sb")))).select("a", "b"), "kept")
+    kept = passed(able, held, ["s"], max(ROWS, 2 * held.count()) // 16, alike(F.size(F.array_intersect("sa", "sb"))), ["a", "b"], "kept")  # sets take some 16 times as much as bitmaps
     dropped(held, able)
     return kept
 

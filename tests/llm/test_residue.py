@@ -294,6 +294,11 @@ def test_passes_lose_no_pair(spark, monkeypatch):
     before = len(session._WRITTEN)
     assert pairs() == once and len(once[1]) > 150 and once[1] == once[2]
     assert len(session._WRITTEN) == before + 5  # three results and the prefixes of two
+    monkeypatch.setattr(residue, "ROWS", 1 << 20)
+    near = residue.staged(residue.prefix_pairs(prints, classes), "pairs")
+    want = {(r.a, r.b) for r in residue.verified(near, prints).collect()}
+    monkeypatch.setattr(residue, "ROWS", 1)  # then passes have twice as many pairs as posts, or an eighth
+    assert {(r.a, r.b) for r in residue.verified(near, prints).collect()} == want and len(want) > 150
 
 
 def test_bitmaps_bound_what_two_sets_share():
